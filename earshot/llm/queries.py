@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality
+from . import jaccard, line_dedup, mixing, quality
 from .common import materialize, read
 
 
+def op1_ngram_jaccard(spark, sf_dir):
+    return jaccard.near_components(read(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -20,7 +24,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(docs, measured).drop("lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (op4_mix_sources, op6_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_mix_sources, op6_line_dedup, op10_quality_rules)}
 
 ORACLE = {
     "op4_mix_sources": r"""
