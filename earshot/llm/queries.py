@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import jaccard, line_dedup, mixing, quality
+from . import decontaminate, jaccard, line_dedup, mixing, quality
 from .common import materialize, read
 
 
@@ -14,6 +14,10 @@ def op4_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("rid")
+
+
 def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
 
@@ -24,7 +28,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(docs, measured).drop("lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_mix_sources, op6_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_mix_sources, op5_decontaminate, op6_line_dedup, op10_quality_rules)}
 
 ORACLE = {
     "op4_mix_sources": r"""
