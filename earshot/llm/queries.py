@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, line_dedup, mixing, quality, warc
+from . import decontaminate, html_text, jaccard, line_dedup, mixing, quality, warc
 from .common import materialize, read
 
 
@@ -10,6 +10,10 @@ def op1_ngram_jaccard(spark, sf_dir):
     return jaccard.near_components(read(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark, sf_dir):
+    return html_text.main_text(read(spark, sf_dir, "pages"))
+
+
 def op3_warc(spark, sf_dir):
     return warc.archive_digests(read(spark, sf_dir, "pages"))
 
@@ -32,7 +36,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(docs, measured).drop("lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_text, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op10_quality_rules)}
 
 ORACLE = {
     "op4_mix_sources": r"""
