@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, jaccard, line_dedup, mixing, quality, warc
+from . import chat, decontaminate, html_text, jaccard, line_dedup, mixing, quality, url_filter, warc
 from .common import materialize, read
 
 
@@ -30,13 +30,21 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
 
 
+def op8_chat_quotes(spark, sf_dir):
+    return chat.reply_order(read(spark, sf_dir, "conversations"))
+
+
+def op9_url_filter(spark, sf_dir):
+    return url_filter.filtered_pages(read(spark, sf_dir, "pages"))
+
+
 def op10_quality_rules(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     measured = materialize(quality.quality_measures(docs), "quality-measures")
     return quality.quality_rules(docs, measured).drop("lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_text, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_text, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op8_chat_quotes, op9_url_filter, op10_quality_rules)}
 
 ORACLE = {
     "op4_mix_sources": r"""
@@ -66,4 +74,5 @@ select d.doc_id,
   case when c.gone is null then d.text else coalesce(array_to_string(list_transform(list_filter(range(0, len(d.ls)), lambda i: not list_contains(c.gone, i)), lambda i: d.ls[i + 1]), chr(10)), '') end as text,
   coalesce(len(c.gone), 0)::bigint as n_removed_lines
 from d left join c using (doc_id)""",
+    "op9_url_filter": url_filter.SQL,
 }
