@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, html_text, jaccard, line_dedup, mixing, quality, url_filter, warc
+from . import chat, decontaminate, html_text, jaccard, language_model, line_dedup, mixing, quality, url_filter, warc
 from .common import materialize, read
 
 
@@ -30,6 +30,10 @@ def op6_line_dedup(spark, sf_dir):
     return line_dedup.line_dedup(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed_lines")
 
 
+def op7_language_model(spark, sf_dir):
+    return language_model.score(read(spark, sf_dir, "documents"))
+
+
 def op8_chat_quotes(spark, sf_dir):
     return chat.reply_order(read(spark, sf_dir, "conversations"))
 
@@ -44,7 +48,7 @@ def op10_quality_rules(spark, sf_dir):
     return quality.quality_rules(docs, measured).drop("lang", "source")
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_text, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op8_chat_quotes, op9_url_filter, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_text, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op7_language_model, op8_chat_quotes, op9_url_filter, op10_quality_rules)}
 
 ORACLE = {
     "op4_mix_sources": r"""
