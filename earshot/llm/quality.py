@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: Relative error of the sketches: bucket k holds values in (G**(k-1), G**k].
 ERROR = 0.01
@@ -64,7 +66,11 @@ def quality_measures(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", "lang", "source", F.col("text").alias("_text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in slim.schema if f.name != "_text") + ", " + MEASURES
     out = slim.mapInArrow(_measured, schema)
-    return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    return out.withColumn("base_failed", _failed())
+
+
+def _failed():
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
 #: Ratios: numerator, denominator, whether a low value counts against a document, and the least width of its fence.
@@ -115,6 +121,14 @@ def fences(measured: DataFrame, reach: float = 6.0, enough: int = 200) -> DataFr
     return q.groupBy("lang", "source").agg(*[pick(k, "high").alias(f"high_{k}") for k in RATIOS], *[pick(k, "low").alias(f"low_{k}") for k, v in RATIOS.items() if v[2]])
 
 
+def _outside():
+    bad = [F.col(f"m.{k}") > F.col(f"l.high_{k}") for k in RATIOS] + [F.col(f"m.{k}") < F.col(f"l.low_{k}") for k, v in RATIOS.items() if v[2]]
+    outside = bad[0]
+    for x in bad[1:]:
+        outside = outside | x
+    return F.coalesce(outside, F.lit(False))
+
+
 def quality_rules(docs: DataFrame, measured: DataFrame | None = None, reach: float = 6.0, enough: int = 200) -> DataFrame:
     """One row a document: doc_id, lang, source, the counts, base_failed and kept.
 
@@ -126,10 +140,16 @@ def quality_rules(docs: DataFrame, measured: DataFrame | None = None, reach: flo
     """
     m = _ratios(quality_measures(docs) if measured is None else measured).alias("m")
     lim = fences(m, reach, enough).alias("l")
-    bad = [F.col(f"m.{k}") > F.col(f"l.high_{k}") for k in RATIOS] + [F.col(f"m.{k}") < F.col(f"l.low_{k}") for k, v in RATIOS.items() if v[2]]
-    outside = bad[0]
-    for x in bad[1:]:
-        outside = outside | x
-    kept = ~F.col("m.base_failed") & ~F.coalesce(outside, F.lit(False))
+    kept = ~F.col("m.base_failed") & ~_outside()
     return m.join(lim, F.expr("m.lang <=> l.lang and m.source <=> l.source"), "left").select(
         *[f"m.{c}" for c in ("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"))
+
+
+def keep_good(docs: DataFrame, reach: float = 6.0, enough: int = 200) -> DataFrame:
+    """The documents that quality_rules keeps, with their columns as they are. The texts are measured once."""
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", F.col("text").alias("_text"))
+    schema = f"_row {whole.schema['_row'].dataType.simpleString()}, lang {whole.schema['lang'].dataType.simpleString()}, source {whole.schema['source'].dataType.simpleString()}, {MEASURES}"
+    measured = materialize(whole.mapInArrow(_measured, schema).withColumn("base_failed", _failed()), "measured")
+    lim = materialize(fences(measured, reach, enough), "fences").alias("l")
+    good = _ratios(measured.where("not base_failed")).alias("m").join(lim, F.expr("m.lang <=> l.lang and m.source <=> l.source"), "left").where(~_outside())
+    return good.select("_row.*")
