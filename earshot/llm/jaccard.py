@@ -13,9 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, release_shuffles
+from .common import discard, materialize, parallelism
 from .graph import components
-from .shingles import BITS, parity, set_key, shingle_sets
+from .shingles import BITS, folded, parity, set_key, shingle_sets
 
 #: A pair links if its overlap is at least 4/9 of the sizes together, which is a Jaccard similarity of 0.8.
 NUM, DEN = 4, 9
@@ -23,6 +23,8 @@ NUM, DEN = 4, 9
 COMMON = 0.002
 #: Rows of a block, and of a part of a list that one task handles.
 BLOCK, PART = 32, 2048
+#: Elements before the one at hand that a row of a list brings along.
+BEFORE = 4
 WORDS = BITS // 64
 
 
@@ -50,6 +52,7 @@ def _local_counts(share: float):
 def common_elements(docs: DataFrame, share: float = COMMON) -> np.ndarray:
     """Sorted hashes of elements that at least that share of the documents hold, as far as each task's own counts show them. Any set here gives right joins."""
     counted = docs.select("text").mapInArrow(_local_counts(share), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    counted = materialize(counted, "counted")
     total = counted.where("token is null").agg(F.sum("n")).first()[0] or 0
     found = counted.where(F.col("token").isNotNull() & (F.col("n") >= share * total)).select("token").toArrow()
     return np.sort(found.column(0).to_numpy().astype(np.int64).view(np.uint64))
@@ -65,14 +68,15 @@ def _ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
 def _signed(common):
     def run(batches):
         for b in batches:
-            n, key, bits, head = [], [], [], []
+            n, key, wide, bits, head = [], [], [], [], []
             for s in shingle_sets(b.column(1)):
                 n.append(len(s))
                 key.append(int(set_key(s).view(np.int64)) if len(s) else None)
-                bits.append(parity(s))
+                wide.append(parity(s))
+                bits.append(folded(wide[-1]))
                 head.append(_ordered(s, common.value)[: len(s) - (NUM * len(s) + NUM) // (NUM + 1) + 1] if len(s) else s)
             lists = lambda x: pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum([len(y) for y in x]))).astype(np.int32), np.concatenate([*x, np.zeros(0, dtype=np.int64)]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), lists(bits), lists([h.view(np.int64) for h in head])], names=["doc_id", "n", "cls", "bits", "head"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(key, pa.int64()), lists(wide), lists(bits), lists([h.view(np.int64) for h in head])], names=["doc_id", "rid", "n", "cls", "wide", "bits", "head"])
 
     return run
 
@@ -121,7 +125,7 @@ def _row_pairs(a, na, b, nb, most: int = 1 << 20):
 
 def _compared(batches):
     """Pairs of sets in different components that the lists leave over, from rows sorted by list and size."""
-    names = ["token", "s", "t", "seg", "n", "pos", "cls", "comp", *[f"b{k}" for k in range(WORDS)]]
+    names = ["token", "s", "t", "seg", "n", "pos", "cls", "comp", *[f"b{k}" for k in range(WORDS)], *[f"p{k}" for k in range(BEFORE)]]
 
     def pairs(x):
         group = np.cumsum(np.concatenate(([0], (np.diff(x["token"]) != 0) | (np.diff(x["s"]) != 0) | (np.diff(x["t"]) != 0))))
@@ -140,6 +144,13 @@ def _compared(batches):
                     apart += np.bitwise_count(w[i] ^ w[j])
                 ok = n[i] + n[j] - apart >= 2 * need
                 i, j = i[ok], j[ok]
+                # A pair with another common element just before meets in that list too: the first such list has it.
+                early = np.zeros(len(i), dtype=bool)
+                for k in range(BEFORE):
+                    for m in range(BEFORE):
+                        p = x[f"p{k}"][i]
+                        early |= (p == x[f"p{m}"][j]) & (p != 0)
+                i, j = i[~early], j[~early]
                 found.append(np.stack((np.minimum(cls[i], cls[j]), np.maximum(cls[i], cls[j])), axis=1))
         got = np.unique(np.concatenate(found), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(got[:, 0]), pa.array(got[:, 1])], names=["a", "b"])
@@ -160,8 +171,19 @@ def _compared(batches):
         yield pairs(held)
 
 
-def _apart(a: str, b: str):
-    return sum((F.bit_count(F.get(f"{a}.bits", F.lit(k)).bitwiseXOR(F.get(f"{b}.bits", F.lit(k)))) for k in range(WORDS)), F.lit(0))
+def _able(classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures leave possible, with apart, the least number of elements they differ in."""
+    info = classes.select("cls", "n", "wide")
+    both = pairs.join(info.alias("x"), F.col("a") == F.col("x.cls")).select("a", "b", F.col("x.n").alias("na"), F.col("x.wide").alias("wa"))
+    both = both.join(info.alias("y"), F.col("b") == F.col("y.cls")).select("a", "b", "na", F.col("y.n").alias("nb"), "wa", F.col("y.wide").alias("wb"))
+    both = both.where((NUM + 1) * F.least("na", "nb") >= NUM * F.greatest("na", "nb"))
+    # The longer signature folds to the length of the other; sizes so alike differ by one doubling at most.
+    half = lambda w: F.zip_with(F.slice(w, 1, (F.size(w) / 2).cast("int")), F.slice(w, (F.size(w) / 2).cast("int") + 1, F.size(w)), lambda p, q: p.bitwiseXOR(q))
+    for w, v in (("wa", "wb"), ("wb", "wa")):
+        both = both.withColumn(w, F.when(F.size(w) > F.size(v), half(F.col(w))).otherwise(F.col(w)))
+    apart = F.aggregate(F.zip_with("wa", "wb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda x, y: x + y)
+    both = both.select("a", "b", "na", "nb", apart.alias("apart"))
+    return both.where(F.col("na") + F.col("nb") - F.col("apart") >= 2 * F.ceil(NUM * (F.col("na") + F.col("nb")) / DEN)).select("a", "b", "apart")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
@@ -172,7 +194,6 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str)
     sets = texts.join(wanted, "rep").select("cls", "text").mapInArrow(_sets, "cls long, set array<long>")
     # Rows that share an id can hold other texts; a set that isn't the class's own goes by its size.
     sets = materialize(sets.dropDuplicates(["cls"]), name)
-    release_shuffles(docs.sparkSession)
     x, y = sets.alias("x"), sets.alias("y")
     joined = pairs.join(x, F.col("a") == F.col("x.cls")).select("a", "b", F.col("x.set").alias("sa")).join(y, F.col("b") == F.col("y.cls"))
     inter = F.size(F.array_intersect("sa", "y.set"))
@@ -180,7 +201,7 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str)
 
 
 def near_components(docs: DataFrame, share: float = COMMON) -> DataFrame:
-    """One row a document: doc_id, n_shingles, cls (key of its set) and component_id, the least doc_id that links lead to.
+    """One row a document: doc_id, n_shingles, component_id (the least doc_id that links lead to), cls (key of its set), root (of its component) and rid (of the row).
 
     - Documents link where the Jaccard similarity of their sets is at least 0.8; equal sets are one class and always link.
     - Null or empty text, or text without words: no shingles, null cls, linked with nothing; component_id is its own doc_id.
@@ -189,45 +210,57 @@ def near_components(docs: DataFrame, share: float = COMMON) -> DataFrame:
     - Sets and elements go by 64-bit hashes.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), row_key(docs).alias("rid"))
     common = spark.sparkContext.broadcast(common_elements(docs, share))
-    signed = materialize(docs.mapInArrow(_signed(common), "doc_id long, n long, cls long, bits array<long>, head array<long>"), "signed")
+    signed = materialize(docs.mapInArrow(_signed(common), "doc_id long, rid long, n long, cls long, wide array<long>, bits array<long>, head array<long>"), "signed")
     some = signed.where("n > 0")
-    classes = materialize(some.groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.coalesce(F.min("doc_id"), F.lit(-(2**63) + 1)).alias("rep")), "classes")
+    rows = materialize(signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), "cls"), "rows")
+    classes = materialize(some.groupBy("cls").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("bits").alias("bits"), F.coalesce(F.min("doc_id"), F.lit(-(2**63) + 1)).alias("rep")), "classes")
 
     postings = some.select("cls", "n", F.posexplode("head").alias("pos", "token"))
     of_list = Window.partitionBy("token")
     live = postings.withColumns({"lo": F.min("cls").over(of_list), "hi": F.max("cls").over(of_list)}).where("lo <> hi").select("token", "cls", "n", F.col("pos").cast("long").alias("pos"))
     live = materialize(live.dropDuplicates(["token", "cls"]), "postings")
-    release_shuffles(spark)
+    discard(signed)
 
     # Answers of the most similar neighbour: one comparison a set at most.
     along = of_list.orderBy("n", "cls")
     beside = live.select(F.col("cls").alias("b"), F.array_distinct(F.array(F.lag("cls").over(along), F.first("cls").over(along))).alias("near"))
     beside = beside.select("b", F.explode("near").alias("a")).where("a <> b").distinct()
-    known = beside.join(classes.alias("x"), F.col("a") == F.col("x.cls")).join(classes.alias("y"), F.col("b") == F.col("y.cls"))
-    known = known.select("a", "b", F.col("x.n").alias("na"), F.col("y.n").alias("nb"), _apart("x", "y").alias("apart"))
-    able = known.where(((NUM + 1) * F.least("na", "nb") >= NUM * F.greatest("na", "nb")) & (F.col("na") + F.col("nb") - F.col("apart") >= 2 * F.ceil(NUM * (F.col("na") + F.col("nb")) / DEN)))
+    able = _able(classes, beside)
     first = materialize(able.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("a")), "nearest")
     links = materialize(_verified(docs, classes, first, "sets"), "links")
     roots = materialize(components(links, "a", "b"), "roots")
 
     # What lists still hold of different components.
     told = classes.join(roots, classes.cls == roots.node, "left").select("cls", F.coalesce("root", "cls").alias("comp"), *[F.get("bits", F.lit(k)).alias(f"b{k}") for k in range(WORDS)])
-    mixed = live.join(told, "cls").withColumns({"lo": F.min("comp").over(of_list), "hi": F.max("comp").over(of_list), "len": F.count(F.lit(1)).over(of_list)}).where("lo <> hi")
+    along = Window.partitionBy("cls").orderBy("pos")
+    mixed = live.withColumns({f"p{k}": F.coalesce(F.lag("token", k + 1).over(along), F.lit(0)) for k in range(BEFORE)}).join(told, "cls").withColumns({"lo": F.min("comp").over(of_list), "hi": F.max("comp").over(of_list), "len": F.count(F.lit(1)).over(of_list)}).where("lo <> hi")
     parts = F.ceil(F.col("len") / PART).cast("long")
     mixed = mixed.withColumn("parts", parts).withColumn("seg", F.pmod(F.xxhash64("cls"), F.col("parts")))
     spread = mixed.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select(
-        "token", F.least("seg", "o").alias("s"), F.greatest("seg", "o").alias("t"), "seg", "n", "pos", "cls", "comp", *[f"b{k}" for k in range(WORDS)])
+        "token", F.least("seg", "o").alias("s"), F.greatest("seg", "o").alias("t"), "seg", "n", "pos", "cls", "comp", *[f"b{k}" for k in range(WORDS)], *[f"p{k}" for k in range(BEFORE)])
     spread = spread.repartition(parallelism(spark), "token", "s", "t").sortWithinPartitions("token", "s", "t", "n", "pos")
-    rest = materialize(spread.mapInArrow(_compared, "a long, b long").distinct(), "pairs")
-    release_shuffles(spark)
+    rest = materialize(_able(classes, spread.mapInArrow(_compared, "a long, b long").distinct()).select("a", "b"), "pairs")
     late = _verified(docs, classes, rest, "sets").union(roots.where("node <> root").select("node", "root"))
     final = materialize(components(late, "a", "b"), "roots")
 
     member = classes.select("cls", "rep").join(final, F.col("cls") == F.col("node"), "left").select("cls", "rep", F.coalesce("root", "cls").alias("root"))
     real = F.when(F.col("rep") != -(2**63) + 1, F.col("rep"))
-    named = member.join(member.groupBy("root").agg(F.min(real).alias("component_id")), "root").select("cls", "component_id")
-    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "cls")
+    named = member.join(member.groupBy("root").agg(F.min(real).alias("component_id")), "root").select("cls", "component_id", "root")
     out = rows.join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls")
+    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "cls", "root", "rid")
+
+
+def row_key(docs: DataFrame):
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+
+
+def one_of_each(docs: DataFrame, share: float = COMMON) -> DataFrame:
+    """The documents without near copies: of each component that with the least doc_id (nulls last), once; those without words all stay. Columns are as they were."""
+    found = materialize(near_components(docs, share), "components")
+    winners = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))["rid"].alias("rid")).select("rid")
+    bare = found.where("n_shingles = 0").select("rid").distinct()
+    keyed = docs.withColumn("_rid", row_key(docs))
+    once = keyed.join(winners, F.col("_rid") == F.col("rid"), "left_semi").dropDuplicates(["_rid"])
+    return once.union(keyed.join(bare, F.col("_rid") == F.col("rid"), "left_semi")).select(*[F.col(f"`{c}`") for c in docs.columns])

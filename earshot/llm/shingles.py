@@ -95,6 +95,12 @@ def set_key(s: np.ndarray) -> np.ndarray:
 
 
 def parity(s: np.ndarray) -> np.ndarray:
-    """BITS bits as 64-bit words; an element flips one of them. Two sets differ in at least as many elements as their signatures do in bits."""
-    odd = np.bincount((s >> _U(17)).astype(np.int64) & (BITS - 1), minlength=BITS).astype(np.uint8) & 1
-    return np.packbits(odd).view(np.int64)
+    """A signature of 64-bit words, at least BITS and at least two bits an element; each element flips one bit. Two sets differ in at least as many elements as their signatures do in bits."""
+    size = max(BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else BITS
+    odd = np.bincount((s >> _U(17)).astype(np.int64) & (size - 1), minlength=size).astype(np.uint8) & 1
+    return np.packbits(odd, bitorder="little").view(np.int64)
+
+
+def folded(signature: np.ndarray) -> np.ndarray:
+    """The signature of the same set at BITS bits."""
+    return np.bitwise_xor.reduce(signature.reshape(-1, BITS // 64), axis=0)
