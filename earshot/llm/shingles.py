@@ -38,7 +38,7 @@ def scramble(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
-def text_chunks(column: pa.Array):
+def text_chunks(column: pa.Array, size: int = _CHUNK):
     """Runs of rows with their bytes: (first row, byte offsets of the rows and of the end, bytes). Null counts as empty."""
     column = pa.array(column).cast(pa.large_string()).fill_null("")
     n = len(column)
@@ -49,7 +49,7 @@ def text_chunks(column: pa.Array):
     data = np.frombuffer(buffers[2], dtype=np.uint8) if buffers[2] is not None else np.zeros(0, dtype=np.uint8)
     i = 0
     while i < n:
-        j = max(i + 1, int(np.searchsorted(off, off[i] + _CHUNK, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(off, off[i] + size, "right")) - 1)
         yield i, off[i : j + 1] - off[i], data[off[i] : off[j]]
         i = j
 
