@@ -32,12 +32,28 @@ def plays_by(tracks: DataFrame, stats: DataFrame, *keys: str) -> DataFrame:
     return tracks.join(stats, "seq").where("plays > 0").groupBy(*keys).agg(F.sum("plays").alias("plays"))
 
 
+def artist_of() -> Column:
+    """The artist a track counts for: that of the album, else its own, else ''. Blank is missing."""
+    return F.coalesce(F.nullif("album_artist", F.lit("")), F.nullif("artist", F.lit("")), F.lit(""))
+
+
+def engagement() -> Column:
+    """Plays and rating of a track, less half a point a skip."""
+    stars = F.when(F.col("rating") >= 4, 3.0).when(F.col("rating").between(1, 2), -2.0).otherwise(0.0)
+    return F.col("plays") + stars - 0.5 * F.col("skips")
+
+
+def beside_total(df: DataFrame, *totals: Column) -> DataFrame:
+    """Every row with totals over all rows. They are one row, so it is broadcast; no window pulls the rows together."""
+    return df.join(F.broadcast(df.agg(*totals)), F.lit(True))
+
+
 def affinity(rated: DataFrame, by: str, now: int) -> DataFrame:
-    """by, affinity in (0, 1]: what positive contributions of the group's tracks add up to, over the largest group's."""
-    stars = F.when(F.col("rating") > 0, (F.col("rating") - 2.5) / 2.5).otherwise(0.0)
-    part = F.log1p("plays") * (0.5 + 0.5 * recency(now)) + stars - 0.5 * F.col("skips")
-    sums = rated.select(F.col(by).alias("k"), part.alias("c")).where("c > 0 and k is not null").groupBy("k").agg(F.sum("c").alias("s"))
-    return sums.select(F.col("k").alias(by), (F.col("s") / F.max("s").over(Window.partitionBy())).alias("affinity"))
+    """by (artist or genre), affinity in (0, 1]: what positive contributions of the group's tracks add up to, over the largest group's. Recent listening weighs more."""
+    key = F.nullif(artist_of() if by == "artist" else F.col(by), F.lit(""))
+    part = engagement() * (0.3 + 0.7 * recency(now))
+    sums = rated.select(key.alias("k"), part.alias("c")).where("c > 0 and k is not null").groupBy("k").agg(F.sum("c").alias("s"))
+    return beside_total(sums, F.max("s").alias("top")).select(F.col("k").alias(by), (F.col("s") / F.col("top")).alias("affinity"))
 
 
 def rank_diverse(scored: DataFrame, n: int, per: int, group: str = "artist") -> DataFrame:
@@ -68,7 +84,7 @@ def hour_preferences(clock: DataFrame, hour: int) -> DataFrame:
     """kind, pref: counts of the hour, half of those beside it, over the largest."""
     near = F.least(F.pmod(F.col("hour") - hour, F.lit(24)), F.pmod(F.lit(hour) - F.col("hour"), F.lit(24)))
     w = clock.where(near <= 1).groupBy("kind").agg(F.sum(F.when(near == 0, F.col("n")).otherwise(F.col("n") * 0.5)).alias("w"))
-    return w.select("kind", (F.col("w") / F.max("w").over(Window.partitionBy())).alias("pref"))
+    return beside_total(w, F.max("w").alias("top")).select("kind", (F.col("w") / F.col("top")).alias("pref"))
 
 
 def shelf(rated: DataFrame, name: str, now: int) -> DataFrame:

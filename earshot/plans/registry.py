@@ -7,20 +7,15 @@ from pyspark.sql import functions as F
 from earshot.operators import catalogue as c
 from earshot.operators import recommend as r
 from earshot.operators import vectors as v
+from earshot.plans import feed
+from earshot.plans.sql import EVENTS as _E
+from earshot.plans.sql import NOW, WHO
+from earshot.plans.sql import PART as _PART
+from earshot.plans.sql import STATS as _S
+from earshot.plans.sql import TRACK_STATS as _TS
+from earshot.plans.sql import TRACKS as _T
 from earshot.sources.tables import fingerprints, listens, stats, tracks
 
-NOW = 1_706_572_800
-
-_T = """t as (select '/lib/' || p_type || '/' || p_brand || '/' || p_partkey || '.mp3' as path, p_name as title, p_brand as artist, p_brand || ' ' || p_type as album,
-  case when p_partkey % 3 = 0 then 'VA ' || p_brand end as album_artist, p_type as genre, 1950 + p_size as year, 60.0::double + p_size * 10 as duration,
-  (1706572800 - p_partkey * 3600)::double as mtime, p_partkey as seq from part)"""
-_S = """s as (select l_partkey as seq, count(*) as plays, max(epoch(l_shipdate))::bigint as last_played, least(10, count(*) filter (l_returnflag = 'R'))::bigint as skips,
-  (1 + l_partkey % 5)::bigint as rating from lineitem group by l_partkey)"""
-_TS = f"{_T}, {_S}, ts as (select t.*, coalesce(plays, 0) as plays, coalesce(last_played, 0) as last_played, coalesce(skips, 0) as skips, coalesce(rating, 0) as rating from t left join s using (seq))"
-_E = """e as (select json_extract_string(props, '$.k')::bigint as track, case event_type when 'purchase' then 'Like' when 'signup' then 'AddedManually' when 'view' then 'FullPlay' when 'click' then 'SkipMid' when 'error' then 'SkipEarly' end as kind,
-  floor(epoch(ts))::bigint as ts, event_id as seq from events)"""
-
-
 def _rated(spark, d):
     return r.with_stats(tracks(spark, d), stats(spark, d))
 
@@ -30,8 +25,8 @@ QUERIES: dict = {
     "library_count": lambda s, d: c.count(tracks(s, d), c.TrackFilter(search="a", decade=1970)),
     "library_albums": lambda s, d: c.albums(tracks(s, d)),
     "library_artists": lambda s, d: c.artists(tracks(s, d), c.TrackFilter(decade=1960)),
-    "library_upsert": lambda s, d: c.upsert(tracks(s, d), tracks(s, d).where("seq % 7 = 0").withColumn("title", F.concat(F.lit("New "), "title"))).select("path", "title", "seq"),
-    "scan_diff": lambda s, d: c.scan_diff(tracks(s, d).where("seq % 5 <> 0").select("path", F.when(F.col("seq") % 11 != 0, F.col("mtime")).alias("mtime")), tracks(s, d).where("seq % 7 <> 0").select("path", (F.col("mtime") + (F.col("seq") % 4 == 0).cast("int")).alias("mtime"))),
+    "library_upsert": lambda s, d: c.upsert(tracks(s, d), tracks(s, d).where("year < 1980").withColumn("title", F.concat(F.lit("New "), "title"))).select("path", "title", "seq"),
+    "scan_diff": lambda s, d: c.scan_diff(tracks(s, d).where("year > 1955").select("path", F.when(F.col("year") != 1970, F.col("mtime")).alias("mtime")), tracks(s, d).where("year < 1995").select("path", (F.col("mtime") + (F.col("seq") % 4 == 0).cast("int")).alias("mtime"))),
     "folder_totals": lambda s, d: c.folder_totals(tracks(s, d)),
     "listening_stats": lambda s, d: r.listening_stats(tracks(s, d), stats(s, d)),
     "plays_by_artist": lambda s, d: r.plays_by(tracks(s, d), stats(s, d), "artist"),
@@ -55,22 +50,21 @@ QUERIES: dict = {
 _SHELVES = {
     "liked": "rating >= 4", "forgotten": f"(rating >= 4 or plays >= 3) and last_played < {NOW - 14 * 86400} and plays > 0", "quick": "duration <= 150", "long": "duration >= 480",
     "new": f"mtime > {NOW - 7 * 86400}", "gems": "plays <= 1 and skips = 0 and rating >= 4"}
-_PART = f"ln(1 + plays) * (0.5 + 0.5 * case when last_played > 0 then pow(0.5, greatest(0.0, ({NOW} - last_played) / 86400.0::double) / 30) else 0 end) + case when rating > 0 then (rating - 2.5) / 2.5 else 0 end - 0.5 * skips"
-_AFF = lambda k: f"with {_TS}, a as (select {k}, {_PART} as c from ts), g as (select {k}, sum(c)::double as s from a where c > 0 and {k} is not null group by {k}) select {k}, s / max(s) over () as affinity from g"
+_AFF = lambda k, of: f"with {_TS}, a as (select nullif({of}, '') as {k}, {_PART} as c from ts), g as (select {k}, sum(c)::double as s from a where c > 0 and {k} is not null group by {k}) select {k}, s / max(s) over () as affinity from g"
 
 ORACLE: dict[str, str] = {
     "library_page": f"with {_T} select path, title, artist, year from t where year >= 1980 and year < 1990 order by lower(artist) nulls first, lower(title) nulls first, path limit 50 offset 5",
     "library_count": f"with {_T} select count(*) as n from t where lower(title || ' ' || artist || ' ' || album) like '%a%' and year >= 1970 and year < 1980",
     "library_albums": f"with {_T} select coalesce(nullif(album_artist, ''), artist) as artist, album, count(*) as n, min(path) as cover from t group by 1, 2",
     "library_artists": f"with {_T} select coalesce(nullif(album_artist, ''), artist) as artist, count(*) as n from t where year >= 1960 and year < 1970 group by 1",
-    "library_upsert": f"with {_T} select path, case when seq % 7 = 0 then 'New ' || title else title end as title, seq from t",
-    "scan_diff": f"with {_T}, k as (select path, case when seq % 11 <> 0 then mtime end as was from t where seq % 5 <> 0), f as (select path, mtime + case when seq % 4 = 0 then 1 else 0 end as now from t where seq % 7 <> 0) select coalesce(k.path, f.path) as path, case when f.path is null then 'removed' when was = now then 'unchanged' else 'changed' end as state from k full join f on k.path = f.path",
+    "library_upsert": f"with {_T} select path, case when year < 1980 then 'New ' || title else title end as title, seq from t",
+    "scan_diff": f"with {_T}, k as (select path, case when year <> 1970 then mtime end as was from t where year > 1955), f as (select path, mtime + case when seq % 4 = 0 then 1 else 0 end as now from t where year < 1995) select coalesce(k.path, f.path) as path, case when f.path is null then 'removed' when was = now then 'unchanged' else 'changed' end as state from k full join f on k.path = f.path",
     "folder_totals": f"with {_T}, p as (select unnest(['/lib', '/lib/' || genre, '/lib/' || genre || '/' || artist]) as folder from t) select folder, count(*) as n from p group by folder",
     "listening_stats": f"with {_T}, {_S} select (select sum(plays)::bigint from s) as total_plays, (select count(*) from s where rating >= 4) as favs, sum(duration * plays)::double as listen_sec, count(*) filter (plays > 0) as played from t join s using (seq)",
     "plays_by_artist": f"with {_T}, {_S} select artist, sum(plays)::bigint as plays from t join s using (seq) group by artist",
     "plays_by_album": f"with {_T}, {_S} select artist, album, sum(plays)::bigint as plays from t join s using (seq) group by artist, album",
-    "artist_affinity": _AFF("artist"),
-    "genre_affinity": _AFF("genre"),
+    "artist_affinity": _AFF("artist", WHO),
+    "genre_affinity": _AFF("genre", "genre"),
     "rank_diverse": f"with {_TS}, x as (select seq, artist, plays * 10 - skips as score from ts), y as (select *, row_number() over (partition by artist order by score desc, seq) as rn from x) select seq, artist, score from y where rn <= 3 order by score desc, seq limit 60",
     "diversify": f"with {_T}, y as (select seq, artist, row_number() over (partition by artist order by seq) as turn, min(seq) over (partition by artist) as group_rank from t) select * from y where turn <= 4",
     "event_scores": f"with {_E} select track, count(*) as events, sum(case kind when 'Like' then 1.5 when 'AddedManually' then 0.8 when 'FullPlay' then 0.5 when 'SkipMid' then -0.5 else -1.0 end::double * pow(0.5::double, ({NOW} - ts) / 86400.0::double / 90)) as score from e where track is not null group by track",
@@ -84,3 +78,7 @@ ORACLE: dict[str, str] = {
     "vector_centroids": "with l as (select label, unnest(embedding)::double as x, unnest(range(0, len(embedding)))::int as dim from embeddings), m as (select label, dim, avg(x) as mean from l group by label, dim) select label, dim, mean / sqrt(sum(mean * mean) over (partition by label)) as x from m",
     "bpm_fold": "with b as (select vec_id as id, (60.0 + (vec_id * 7) % 140)::double as b from embeddings) select id, case when b < 70 then b * 2 when b >= 180 then b / 2 else b end as bpm from b",
 }
+
+for _more in (feed,):
+    QUERIES |= _more.QUERIES
+    ORACLE |= _more.ORACLE
