@@ -43,7 +43,7 @@ def _lyrics(s, d):
 
 
 def _positions(s, d):
-    return read(s, d, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 60 + F.col("l_quantity") * 3).cast("double").alias("at")).distinct()
+    return _items(s, d).select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 60 + F.col("l_quantity") * 3).cast("double").alias("at")).distinct()
 
 
 def _points(s, d):

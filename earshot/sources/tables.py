@@ -31,7 +31,10 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """EVENT rows from events."""
-    e = read(spark, sf_dir, "events")
+    return as_listens(read(spark, sf_dir, "events"))
+
+
+def as_listens(e: DataFrame) -> DataFrame:
     kinds = {"purchase": "Like", "signup": "AddedManually", "view": "FullPlay", "click": "SkipMid", "error": "SkipEarly"}
     return e.select(
         F.get_json_object("props", "$.k").cast("long").alias("track"), F.element_at(F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv]), F.col("event_type")).alias("kind"),
