@@ -189,10 +189,9 @@ def _able(classes: DataFrame, pairs: DataFrame) -> DataFrame:
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """The pairs (a, b) whose sets are as similar as asked, by their whole sets."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-    wanted = ids.join(classes.select("cls", "rep"), "cls")
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63) + 1)).alias("rep"), "text")
-    sets = texts.join(wanted, "rep").select("cls", "text").mapInArrow(_sets, "cls long, set array<long>")
-    # Rows that share an id can hold other texts; a set that isn't the class's own goes by its size.
+    wanted = ids.join(classes.select("cls", "rid"), "cls")
+    sets = docs.select("rid", "text").join(wanted, "rid").select("cls", "text").mapInArrow(_sets, "cls long, set array<long>")
+    # A row's key covers its text, so whichever of the rows with that key comes first has the class's own set.
     sets = materialize(sets.dropDuplicates(["cls"]), name)
     x, y = sets.alias("x"), sets.alias("y")
     joined = pairs.join(x, F.col("a") == F.col("x.cls")).select("a", "b", F.col("x.set").alias("sa")).join(y, F.col("b") == F.col("y.cls"))
@@ -215,7 +214,7 @@ def near_components(docs: DataFrame, share: float = COMMON) -> DataFrame:
     signed = materialize(docs.mapInArrow(_signed(common), "doc_id long, rid long, n long, cls long, wide array<long>, bits array<long>, head array<long>"), "signed")
     some = signed.where("n > 0")
     rows = materialize(signed.select("doc_id", "rid", F.col("n").alias("n_shingles"), "cls"), "rows")
-    classes = materialize(some.groupBy("cls").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("bits").alias("bits"), F.coalesce(F.min("doc_id"), F.lit(-(2**63) + 1)).alias("rep")), "classes")
+    classes = materialize(some.groupBy("cls").agg(F.first("n").alias("n"), F.first("wide").alias("wide"), F.first("bits").alias("bits"), F.coalesce(F.min("doc_id"), F.lit(-(2**63) + 1)).alias("rep"), F.min("rid").alias("rid")), "classes")
 
     postings = some.select("cls", "n", F.posexplode("head").alias("pos", "token"))
     of_list = Window.partitionBy("token")

@@ -72,6 +72,14 @@ def test_jaccard_null_ids_and_no_rows(spark):
     assert jaccard.near_components(docs.where("false")).collect() == []
 
 
+def test_jaccard_other_texts_under_null_and_repeated_ids(spark):
+    texts = [t for t in some_texts(8, 30) if shingles(t)]
+    want = collections.Counter(roots({i: shingles(t) for i, t in enumerate(texts)}).values())
+    docs = documents(spark, texts, [None if i % 2 else i // 6 for i in range(len(texts))])
+    got = collections.Counter(r.root for r in jaccard.near_components(docs, share=0.05).collect())
+    assert sorted(got.values()) == sorted(want.values())
+
+
 def test_html(spark):
     page = "<!DOCTYPE html><head><title>T</title></head><body><nav>menu</nav><div class='ad big'>buy</div><article><h1>Head &amp; more</h1><p><b>One\n two<p>three<br>four<div class=\"comments\"><p>reader</p></div><script>x='</p>'</script></article><footer>f"
     assert [t for t, z in html_text.blocks(page) if z == html_text.ARTICLE] == ["Head & more", "One two", "three four"]
