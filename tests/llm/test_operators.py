@@ -145,6 +145,30 @@ def test_language_model(spark):
     assert language_model.score(docs.where("false")).collect() == []
 
 
+def test_language_model_counts_every_context_apart():
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    symbol, edge = r.integers(0, 128, 60_000), np.array([0, 9, 9, 20_000, 60_000])
+    keys = language_model.contexts(symbol, edge)
+    assert (1, 2, 3) in language_model.CONTEXTS
+    want = collections.Counter(zip(np.concatenate(keys).tolist(), np.tile(symbol, len(keys)).tolist(), strict=True))
+    rows = pa.array([symbol[a:b].astype(np.uint8).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
+    got = collections.Counter()
+    for b in language_model._counted([pa.RecordBatch.from_arrays([rows], names=["symbols"])]):
+        got.update({(c, s): n for c, s, n in zip(*[x.to_pylist() for x in b.columns], strict=True)})
+    assert got == want
+    by = collections.defaultdict(list)
+    for (c, s), n in got.items():
+        by[c].append((s, n))
+    counts = language_model.Counts(pa.table({"ctx": list(by), "sym": [[s for s, _ in x] for x in by.values()], "n": [[n for _, n in x] for x in by.values()]}))
+    for k in keys:
+        heap, row = counts.spread(k[:300])
+        assert [int(heap[row[i], 128 + symbol[i]]) for i in range(300)] == [want[int(k[i]), int(symbol[i])] for i in range(300)]
+        assert (heap[:, 1] == heap[:, 128:].sum(axis=1)).all() and (heap[:, 5] == heap[:, 160:192].sum(axis=1)).all()
+
+
 def test_chat(spark):
     rows = [(1, 0, "user", "Hello there.\nSecond line, here"), (1, 1, "assistant", "Fine reply"), (1, 2, "user", "On Monday A wrote:\n> Hello there\n>> nothing\nmy answer"), (1, 3, "user", "> Fine reply\n>> second line here\nok\n"), (2, 0, "user", None), (None, 1, "user", "> Fine reply"), (1, 600, "user", "> hello THERE"), (1, 601, "user", "> ...")]
     got = {(r.conv_id, r.turn): r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
