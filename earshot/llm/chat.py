@@ -1,7 +1,8 @@
 """Chat formatting by quotation linking, in DataFrame operations only.
 
-Lines that begin with > are quotes, nested by the number of >. Quoted lines and paragraphs are normalised and hashed, and
-joined to the latest earlier message of the conversation that says the same in its own words; that message is the one replied to.
+Lines that begin with > are quotes, nested by the number of >. Quoted lines, and windows of words of the paragraphs that lines of
+one level make up, are normalised and hashed, and joined to the latest earlier message of the conversation that says the same in
+its own words, however its lines are broken; that message is the one replied to.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Turns of one bucket of a conversation in the as-of join.
 SPAN = 256
+#: Words of a window; shorter passages link as whole lines only.
+WINDOW = 4
 _QUOTE = r"^((?:[ \t]*>)+)[ \t]?(.*)$"
 _WROTE = r"(?i)^on\b.{0,300}\bwrote:\s*$"
 
@@ -48,24 +51,47 @@ def parsed(messages: DataFrame) -> DataFrame:
 
 
 def quote_links(messages: DataFrame) -> DataFrame:
-    """Quoted passages with the message they come from: mid, conv_id, t, level, passage (hash), chars, source_turn (null: not found)."""
+    """Quoted lines with the message they come from: mid, conv_id, t, level, passage (hash), chars, source_turn (null: not found).
+
+    A line of WINDOW words or more comes from the message that says it as a line; else from the one that says most of the windows
+    over it, the later in a tie. For a shorter line the windows of its paragraph come first, as many messages may say it by itself.
+    """
     p = parsed(messages).dropDuplicates(["mid"])
     long_enough = F.length("n") > 0
     quoting = p.where("max_level > 0").select("mid", "conv_id", "t", F.posexplode(F.arrays_zip("lines", "levels")).alias("at", "x")).select(
         "mid", "conv_id", "t", "at", F.col("x.levels").alias("level"), F.regexp_extract("x.lines", _QUOTE, 2).alias("line")).where("level > 0")
-    quoting = quoting.withColumn("n", _norm(F.col("line"))).where(long_enough)
-    asked = quoting.select("mid", "conv_id", "t", "level", F.xxhash64("n").alias("passage"), F.length("n").alias("chars")).distinct()
+    quoting = quoting.withColumn("n", _norm(F.col("line"))).where(long_enough).withColumn("passage", F.xxhash64("n"))
+    asked = quoting.select("mid", "conv_id", "t", "level", "passage", F.length("n").alias("chars"), (F.size(F.split("n", " ")) < WINDOW).alias("short")).distinct()
     # Only conversations with quotes are searched, and only lines that are their author's own.
-    own = p.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "t", F.explode(F.split("body", "\n")).alias("line")).withColumn("n", _norm(F.col("line"))).where(long_enough)
-    said = own.select("conv_id", F.xxhash64("n").alias("passage"), "t").distinct()
-    found = latest_before(asked.select("conv_id", "passage", "t"), said, ["conv_id", "passage"]).withColumnRenamed("before", "source_turn")
-    return asked.join(found, ["conv_id", "passage", "t"], "left").select("mid", "conv_id", "t", "level", "passage", "chars", "source_turn")
+    own = p.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "t", "body")
+    lines = own.select("conv_id", "t", F.explode(F.split("body", "\n")).alias("line")).withColumn("n", _norm(F.col("line"))).where(long_enough)
+    said = lines.select("conv_id", F.xxhash64("n").alias("passage"), "t").distinct()
+    found = latest_before(asked.select("conv_id", "passage", "t"), said, ["conv_id", "passage"]).withColumnRenamed("before", "as_line")
+
+    # A paragraph is a run of lines of one level; a quoted line without words ends it.
+    run = F.col("at") - F.row_number().over(Window.partitionBy("mid", "level").orderBy("at"))
+    word = lambda l: F.transform(F.split(l["n"], " "), lambda w: F.struct(l["passage"].alias("passage"), w.alias("w")))  # noqa: E731, E741
+    runs = quoting.withColumn("run", run).groupBy("mid", "conv_id", "t", "level", "run").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "n", "passage"))), word)).alias("words"))
+    asking = runs.select("mid", "conv_id", "t", "level", F.explode(_windows(F.col("words"))).alias("x")).select("mid", "conv_id", "t", "level", F.xxhash64(F.array_join("x.w", " ")).alias("h"), F.array_distinct("x.passage").alias("passages"))
+    telling = own.select("conv_id", "t", F.explode(_windows(F.split(_norm(F.col("body")), " "))).alias("x")).select("conv_id", F.xxhash64(F.array_join("x", " ")).alias("h"), "t").distinct()
+    at = latest_before(asking.select("conv_id", "h", "t"), telling, ["conv_id", "h"]).where("before is not null")
+    votes = asking.join(at, ["conv_id", "h", "t"]).select("mid", "level", "before", F.explode("passages").alias("passage")).groupBy("mid", "level", "passage", "before").agg(F.count(F.lit(1)).alias("n"))
+    voted = votes.groupBy("mid", "level", "passage").agg(F.max(F.struct("n", "before"))["before"].alias("as_words"))
+    linked = asked.join(found, ["conv_id", "passage", "t"], "left").join(voted, ["mid", "level", "passage"], "left")
+    source = F.when(F.col("short"), F.coalesce("as_words", "as_line")).otherwise(F.coalesce("as_line", "as_words"))
+    return linked.select("mid", "conv_id", "t", "level", "passage", "chars", source.alias("source_turn"))
+
+
+def _windows(words):
+    """Every WINDOW words that follow one another; none where there are fewer."""
+    last = F.size(words) - WINDOW + 1
+    return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(words, i, WINDOW)))
 
 
 def reply_order(messages: DataFrame) -> DataFrame:
     """One row a message: conv_id, turn, role, text without quotes, parent_turn, quote_levels, n_quotes, n_linked.
 
-    - parent_turn is the message whose lines the first level of quotes holds most of (in characters, the later one in a tie);
+    - parent_turn is the message whose words the first level of quotes holds most of (in characters, the later one in a tie);
       without such quotes the turn before in the conversation; null for the first. Parents come before replies in order of turn.
     - Lines such as "On Monday X wrote:" go with the quote they introduce. A quote is linked only within its conversation.
     - Null text is empty. Messages with null conv_id or turn keep their row and have no parent. Repeated rows give a row each.

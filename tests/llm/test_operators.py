@@ -177,6 +177,14 @@ def test_chat(spark):
     assert got[1, 3].n_linked == 2 and got[1, 2].n_linked == 1 and got[None, 1].parent_turn is None and got[2, 0].text == ""
 
 
+def test_chat_links_passages_across_lines(spark):
+    said = "It was late when we came. The old boat had left the harbour\nand nobody knew where it went. ok"
+    rows = [(1, 0, "a", said), (1, 1, "b", "ok"), (1, 2, "a", "Well, ok"), (1, 3, "b", "> the old boat had left the\n> harbour and nobody\n> knew\nTrue"), (1, 4, "a", "> The old boat had left\nno"), (1, 5, "b", "> where it went.\n> ok\n\n> it was early\nyes"), (1, 6, "a", "> old boat harbour nobody\nno")]
+    got = {r.turn: r for r in chat.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [got[t].parent_turn for t in range(7)] == [None, 0, 1, 0, 0, 0, 5]
+    assert [(got[t].n_quotes, got[t].n_linked) for t in range(3, 7)] == [(3, 3), (1, 1), (3, 2), (1, 0)]
+
+
 def test_urls(spark):
     events = spark.sql("""select list_name, key, kind, action, date(at) at from values ('l','a.org','block','add','2024-01-10'),('l','a.org','block','remove','2024-02-01'),('l','a.org','block','add','2024-03-01'),
       ('m','x.a.org/ok','allow','add','2024-01-01'),('l',null,'block','add','2024-01-01'),('l','a.org','block','add','2024-01-10') as t(list_name,key,kind,action,at)""")
