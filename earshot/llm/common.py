@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
 import uuid
 
@@ -19,38 +21,71 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and every executor see: spark.checkpoint.dir, or one of our own where that is unset, as in tests."""
+    """The folder that the driver and every executor see: spark.checkpoint.dir. Where that is unset a local master gets a folder of this machine, any other an error."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     made = spark.sparkContext.getCheckpointDir()
     if not made:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
         made = spark.sparkContext.getCheckpointDir()
     return made.rstrip("/")
 
 
+#: Tables written for the result at hand; a pipeline deletes them once its next stage is stored.
+_written: list[str] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to a new table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
+    """Write df to a new table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. Its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    release_shuffles(spark)
+    with shuffles_dropped(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table that materialize() wrote, once all that was made from it is written too."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession):
+    """What is executed inside deletes its own shuffle files at its end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote, once all that was made from them is written too."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            _delete(df.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = [p for p in _written if p.rpartition("/")[2] != folder.rpartition("/")[2]]
+
+
+@contextlib.contextmanager
+def tables_of(spark: SparkSession):
+    """Tables written inside are deleted at the end, but for those that the caller takes off the list it gets."""
+    before = set(_written)
+    mine: list[str] = []
+    yield mine
+    for path in [p for p in _written if p not in before and p not in mine]:
+        _delete(spark, path)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Ask the driver's JVM to collect garbage so that Spark's cleaner removes shuffle files no plan refers to any more."""
-    spark.sparkContext._jvm.System.gc()
+def packed(docs: DataFrame, **keys) -> DataFrame:
+    """docs as one column, row, beside the keys: no column of the caller's can clash with one of ours. select("row.*") brings them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
 
 
 def parallelism(spark: SparkSession) -> int:

@@ -94,6 +94,14 @@ def set_key(s: np.ndarray) -> np.ndarray:
     return scramble(scramble(s * _U(_BASE)).sum(dtype=np.uint64, keepdims=True) + _U(len(s)))[0]
 
 
+def min_hashes(s: np.ndarray) -> np.ndarray:
+    """The first elements of a sorted set in four orders. Two sets share each of them with the chance of their similarity."""
+    if not len(s):
+        return s
+    other = s * _MUL[0]
+    return scramble(np.array([s[0], s[-1], other.min(), other.max()]) + np.arange(4, dtype=np.uint64))
+
+
 def parity(s: np.ndarray) -> np.ndarray:
     """A signature of 64-bit words, at least BITS and at least two bits an element; each element flips one bit. Two sets differ in at least as many elements as their signatures do in bits."""
     size = max(BITS, 1 << (2 * len(s) - 1).bit_length()) if len(s) else BITS
