@@ -25,6 +25,8 @@ NUM, DEN = 4, 9
 COMMON = 0.002
 #: Rows of a block, and of a part of a list that one task handles.
 BLOCK, PART = 32, 2048
+#: Rows of a side of a cell of a pivot's grid.
+CELL = 512
 #: A member differs from its pivot in at most this share of their sizes together.
 PIVOT = 0.25
 #: Elements before the one at hand that a row of a list brings along.
@@ -317,7 +319,7 @@ def _inside(classes: DataFrame, members: DataFrame) -> DataFrame:
     group = group.join(total, "pivot")
     sure = group.where("safe = 1 and safe_docs > docs").select("cls", F.lit(None).cast("long").alias("other"), (F.col("safe_docs") - F.col("docs")).alias("docs"))
     near = group.where("safe = 1 and cls <> pivot").select("cls", F.col("pivot").alias("other"), F.lit(0).cast("long").alias("docs"))
-    parts = lambda c: F.ceil(F.col(c) / PART).cast("long")
+    parts = lambda c: F.ceil(F.col(c) / CELL).cast("long")
     cells = group.where("unsafe > 0").withColumns({"rows": parts("unsafe"), "columns": parts("all")})
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     columns = ["pivot", "i", "j", "side", "cls", "n", "d", "docs", "safe", "diff"]

@@ -68,6 +68,7 @@ def check(spark, texts, ids, **how):
 @pytest.mark.parametrize("part,block,pivot", [(2048, 32, 0.25), (7, 4, 0.25), (7, 4, 0.0)])
 def test_links_equal_brute_force(spark, monkeypatch, part, block, pivot):
     monkeypatch.setattr(jaccard, "PART", part)
+    monkeypatch.setattr(jaccard, "CELL", part)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     monkeypatch.setattr(jaccard, "PIVOT", pivot)
     texts = [*groups(1), "a b", "A  B", "a b c"]
