@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, ascii_lower, materialize
+from .common import SPACE, ascii_lower, materialize, packed
 
 WIDTH = 5
 #: Widths of the bit blocks, and the bits that may differ in the block at hand. By the pigeonhole principle every fingerprint
@@ -75,7 +75,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
     - A shingle weighs ln(1 + items / items that hold it); what no item holds counts as held by one.
     - Windows have an item's length and lie where a shingle of it lies in both, or cover the whole of a shorter document.
     - Null or empty texts of documents and items match nothing. Rows with equal doc_id and text are one document here.
-    - A null doc_id or item_id is an id like others. Empty tables give an empty result. Other columns are ignored.
+    - A null doc_id or item_id is an id like others. Empty tables give an empty result. Other columns are ignored, whatever their names.
+    - Texts of any length are taken whole; of equal windows of an item the first is named.
     """
     items = benchmark.select("item_id", _word_hashes(F.col("text")).alias("words")).withColumn("m", F.size("words")).where("m > 0")
     items = items.select("item_id", F.xxhash64("item_id", "words").alias("iid"), "m", _shingles(F.col("words"), F.col("m")).alias("sh")).dropDuplicates(["iid"])
@@ -86,11 +87,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
 
     texts = docs.select("doc_id", _rid(docs).alias("rid"), _word_hashes(F.col("text")).alias("words")).withColumn("n", F.size("words"))
     found = texts.select("doc_id", "rid", "n", F.posexplode(_shingles(F.col("words"), F.col("n"))).alias("p", "h"))
-    hits = found.join(items.select("h", "q", "m").distinct(), "h")
+    hits = found.join(items.select("iid", "h", "q", "m"), "h")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("m")))
-    windows = materialize(hits.select("doc_id", "rid", start.alias("start"), F.least("m", "n").alias("m")).distinct(), "windows")
+    asked = materialize(hits.select("doc_id", "rid", start.alias("start"), F.least("m", "n").alias("m"), "iid").distinct(), "asked")
+    windows = asked.select("doc_id", "rid", "start", "m").distinct()
 
-    picked = docs.join(windows.select("rid").distinct(), _rid(docs) == F.col("rid"), "left_semi").select(_rid(docs).alias("rid"), "text").dropDuplicates(["rid"])
+    picked = packed(docs, rid=_rid(docs)).join(windows.select("rid").distinct(), "rid", "left_semi").select("rid", F.col("row.text").alias("text")).dropDuplicates(["rid"])
     picked = picked.select("rid", _word_hashes(F.col("text")).alias("words"))
     cut = windows.join(picked, "rid").select("doc_id", "rid", "start", "m", F.slice("words", F.col("start") + 1, F.col("m")).alias("words"))
     key = ["doc_id", "rid", "start", "m"]
@@ -100,10 +102,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
     own = items.groupBy("item_id", "iid", "h").agg(F.count(F.lit(1)).alias("c")).join(weights, "h").withColumn("w", F.col("c") * F.col("w"))
     own = materialize(own, "item-shingles")
 
-    fp_items = _fingerprints(own, ["item_id", "iid"]).withColumnRenamed("fp", "fp_item")
-    fp_windows = _fingerprints(shingled, key)
-    index = _indexed(fp_items.withColumnRenamed("fp_item", "fp"), probe=True).withColumnRenamed("fp", "fp_item")
-    near = _indexed(fp_windows, probe=False).join(index, ["k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item"))) <= RADIUS).select(*key, "item_id", "iid").distinct()
+    # A window meets only the items whose shingle placed it, so the blocks of one item never gather all windows.
+    fp_items = _fingerprints(own, ["item_id", "iid"])
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in key]
+    fp_asked = asked.alias("a").join(_fingerprints(shingled, key).alias("b"), same).select(*[F.col(f"a.{c}").alias(c) for c in key], "a.iid", "b.fp")
+    index = _indexed(fp_items, probe=True).withColumnRenamed("fp", "fp_item")
+    near = _indexed(fp_asked, probe=False).join(index, ["iid", "k", "v"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_item"))) <= RADIUS).select(*key, "item_id", "iid").distinct()
 
     total = lambda df, keys, name: df.groupBy(*keys).agg(F.sum("w").alias(name))
     i, s = own.select("iid", "h", F.col("w").alias("wi")), shingled.select(*key, "h", "w")
@@ -118,6 +122,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The documents that hold no benchmark item, with their columns as they are."""
+    """The documents that hold no benchmark item, with their columns as they are, whatever their names. Other cases are as in contaminated."""
     bad = contaminated(docs, benchmark, similarity).select("rid").distinct()
-    return docs.join(bad, _rid(docs) == bad["rid"], "left_anti")
+    return packed(docs, rid=_rid(docs)).join(bad, "rid", "left_anti").select("row.*")
