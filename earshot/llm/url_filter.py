@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import packed
+
 _URL = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::[0-9]*)?([^?#]*)"
 
 
@@ -22,15 +24,21 @@ def intervals(events: DataFrame) -> DataFrame:
     return e.withColumn("until", F.lead("at").over(order)).where("action = 'add' and (until is null or at < until)").select("list_name", "key", "kind", F.col("at").alias("since"), "until")
 
 
-def url_keys(url):
-    """Keys that may list a URL: its host and every parent domain, and its host with each beginning of the path that ends at a slash or the end."""
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 1)), r"\.$", "")
-    path = F.regexp_extract(url, _URL, 2)
+def url_host(url):
+    return F.regexp_replace(F.lower(F.regexp_extract(url, _URL, 1)), r"\.$", "")
+
+
+def host_keys(host):
+    """Keys that may list a host: the host and every parent domain."""
     labels = F.split(host, r"\.")
-    steps = F.filter(F.split(path, "/"), lambda s: s != "")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    paths = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: F.concat(host, F.lit("/"), F.lower(F.array_join(F.slice(steps, F.lit(1), i), "/"))))
-    return F.when(F.coalesce(host, F.lit("")) != "", F.array_distinct(F.concat(hosts, F.when(F.size(steps) > 0, paths).otherwise(F.array().cast("array<string>")))))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+
+
+def path_keys(url):
+    """Keys that may list a URL by its path: the host with each beginning of the path that ends at a slash or the end. None without a path."""
+    steps = F.filter(F.split(F.regexp_extract(url, _URL, 2), "/"), lambda s: s != "")
+    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps), F.lit(1))), lambda i: F.concat(url_host(url), F.lit("/"), F.lower(F.array_join(F.slice(steps, F.lit(1), i), "/"))))
+    return F.when(F.size(steps) > 0, F.array_distinct(keys)).otherwise(F.array().cast("array<string>"))
 
 
 def filter_urls(captures: DataFrame, events: DataFrame) -> DataFrame:
@@ -38,19 +46,28 @@ def filter_urls(captures: DataFrame, events: DataFrame) -> DataFrame:
 
     - The longest key active at fetched_at decides; of equal keys 'allow' wins over 'block', then the first list by name.
     - n_active counts the active entries that cover the URL. Null or unreadable URLs and null times match nothing and aren't blocked.
-    - Repeated captures each keep their row. An empty list blocks nothing. Columns of the captures with one of the new names are replaced.
+    - Repeated captures each keep their row. An empty list blocks nothing; no captures give no rows. URLs of any length are taken whole.
+    - Columns of the captures with one of the new names are replaced; others stay, whatever their names.
+
+    Domains are looked up once a host and paths only under hosts that an entry with a path names, so no capture is spread over the
+    keys of its top-level domain.
     """
     valid = intervals(events)
     own = [c for c in captures.columns if c not in ("blocked", "matched_key", "matched_list", "n_active")]
     # One row a URL and time: repeats and hot URLs are one row before anything is spread over keys.
-    seen = captures.select("url", "fetched_at").where("url is not null and fetched_at is not null").distinct()
-    keyed = seen.withColumn("key", F.explode(url_keys(F.col("url"))))
-    active = keyed.join(valid, "key").where("since <= fetched_at and (until is null or fetched_at < until)")
+    seen = captures.select("url", "fetched_at").where("url is not null and fetched_at is not null").distinct().withColumn("host", url_host(F.col("url"))).where("host <> ''")
+    wide, deep = valid.where(~F.col("key").contains("/")), valid.where(F.col("key").contains("/"))
+    listed = seen.select("host").distinct().withColumn("key", F.explode(host_keys(F.col("host")))).join(wide, "key")
+    columns = ["url", "fetched_at", "key", "list_name", "kind", "since", "until"]
+    by_host = seen.join(listed, "host").select(*columns)
+    rooms = deep.select(F.substring_index("key", "/", 1).alias("host")).distinct()
+    by_path = seen.join(rooms, "host", "left_semi").withColumn("key", F.explode(path_keys(F.col("url")))).join(deep, "key").select(*columns)
+    active = by_host.union(by_path).where("since <= fetched_at and (until is null or fetched_at < until)")
     rank = F.struct((-F.length("key")).alias("shortness"), "kind", "list_name", "key")
     verdict = active.groupBy("url", "fetched_at").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("n"))
-    c, v = captures.select(*own).alias("c"), verdict.alias("v")
-    return c.join(v, (F.col("c.url") == F.col("v.url")) & (F.col("c.fetched_at") == F.col("v.fetched_at")), "left").select(
-        *[F.col(f"c.`{x}`") for x in own], F.coalesce(F.col("v.best.kind") == "block", F.lit(False)).alias("blocked"), F.col("v.best.key").alias("matched_key"),
+    c, v = packed(captures, u=captures["url"], f=captures["fetched_at"]).alias("c"), verdict.alias("v")
+    return c.join(v, (F.col("c.u") == F.col("v.url")) & (F.col("c.f") == F.col("v.fetched_at")), "left").select(
+        *[F.col(f"c.row.`{x}`").alias(x) for x in own], F.coalesce(F.col("v.best.kind") == "block", F.lit(False)).alias("blocked"), F.col("v.best.key").alias("matched_key"),
         F.col("v.best.list_name").alias("matched_list"), F.coalesce("v.n", F.lit(0).cast("long")).alias("n_active"))
 
 
