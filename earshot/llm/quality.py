@@ -14,8 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, packed
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 #: Relative error of the sketches: bucket k holds values in (G**(k-1), G**k].
@@ -73,12 +74,12 @@ def _failed():
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-#: Ratios: numerator, denominator, whether a low value counts against a document, and the least width of its fence.
+#: Ratios: numerator, denominator, whether a low value counts against a document, and the least width of its fence, which keeps clean documents where most have one value.
 RATIOS = {
     "word_length": ("word_chars", "n_words", True, 1.0),
     "symbols": ("n_symbols", "n_words", False, 0.10),
-    "dup_lines": ("n_dup_lines", "n_lines", False, 0.30),
-    "repeats": ("n_repeat_words", "n_words", False, 0.20),
+    "dup_lines": ("n_dup_lines", "n_lines", False, 0.40),
+    "repeats": ("n_repeat_words", "n_words", False, 0.30),
 }
 
 
@@ -104,16 +105,21 @@ def quantiles(sketch: DataFrame, level: list[str], at=(0.25, 0.5, 0.75)) -> Data
     return s.groupBy(*keys).agg(F.sum("n").alias("n_docs"), *[F.min(F.when(F.col("upto") >= F.lit(q) * F.col("all"), F.col("value"))).alias(f"q{i}") for i, q in enumerate(at)])
 
 
-def fences(measured: DataFrame, reach: float = 6.0, enough: int = 200) -> DataFrame:
-    """low_* and high_* per (lang, source): quartiles -+ reach times the spread between them. Groups of fewer than enough documents take their language's quartiles.
+def fences(measured: DataFrame, reach: float = 6.0, weight: float = 200.0) -> DataFrame:
+    """low_* and high_* per (lang, source): quartiles -+ reach times the spread between them.
 
-    The spread counts as at least a fixed width per ratio, so a group of near-equal clean documents keeps them all.
+    The sketch of a group's language counts in it as weight documents more: a small group follows its language, a large one itself,
+    with no size at which the rule changes. The spread counts as at least a fixed width per ratio, so a group of near-equal clean
+    documents keeps them all.
     """
     fine = ratio_sketches(measured, ["lang", "source"])
     coarse = fine.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))  # sketches merge by adding
-    f, c = quantiles(fine, ["lang", "source"]).alias("f"), quantiles(coarse, ["lang"]).alias("c")
-    q = f.join(c, F.expr("f.lang <=> c.lang and f.ratio = c.ratio")).select(
-        "f.lang", "f.source", "f.ratio", *[F.when(F.col("f.n_docs") >= enough, F.col(f"f.q{i}")).otherwise(F.col(f"c.q{i}")).alias(f"q{i}") for i in range(3)])
+    share = F.lit(float(weight)) * F.col("n") / F.sum("n").over(Window.partitionBy("lang", "ratio"))
+    coarse = coarse.select("lang", "ratio", "bucket", share.alias("n"))
+    groups = fine.select("lang", "source").distinct()
+    lent = groups.alias("g").join(coarse.alias("c"), F.expr("g.lang <=> c.lang")).select("g.lang", "g.source", "c.ratio", "c.bucket", "c.n")
+    merged = fine.withColumn("n", F.col("n").cast("double")).unionByName(lent).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    q = quantiles(merged, ["lang", "source"])
     width = F.create_map(*[x for k, v in RATIOS.items() for x in (F.lit(k), F.lit(v[3]))])
     spread = F.greatest(F.col("q2") - F.col("q0"), F.element_at(width, F.col("ratio")) / reach)
     q = q.withColumn("low", F.col("q0") - reach * spread).withColumn("high", F.col("q2") + reach * spread)
@@ -129,27 +135,30 @@ def _outside():
     return F.coalesce(outside, F.lit(False))
 
 
-def quality_rules(docs: DataFrame, measured: DataFrame | None = None, reach: float = 6.0, enough: int = 200) -> DataFrame:
+def quality_rules(docs: DataFrame, measured: DataFrame | None = None, reach: float = 6.0, weight: float = 200.0) -> DataFrame:
     """One row a document: doc_id, lang, source, the counts, base_failed and kept.
 
     - Null or empty text has no words and fails the base. A null language or source is a group of its own.
     - Repeated rows are judged alike, each one giving a row. Groups in which all documents fail have no fences, and none is needed.
+    - A text of any length is measured whole. Groups whose values tie have fences of the least width around them.
     - An empty table gives an empty result; columns other than doc_id, text, lang and source are ignored.
 
     measured: the result of quality_measures(docs) where the caller has stored it; without it the texts are read twice.
     """
     m = _ratios(quality_measures(docs) if measured is None else measured).alias("m")
-    lim = fences(m, reach, enough).alias("l")
+    lim = fences(m, reach, weight).alias("l")
     kept = ~F.col("m.base_failed") & ~_outside()
     return m.join(lim, F.expr("m.lang <=> l.lang and m.source <=> l.source"), "left").select(
         *[f"m.{c}" for c in ("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")], kept.alias("kept"))
 
 
-def keep_good(docs: DataFrame, reach: float = 6.0, enough: int = 200) -> DataFrame:
-    """The documents that quality_rules keeps, with their columns as they are. The texts are measured once."""
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), "lang", "source", F.col("text").alias("_text"))
-    schema = f"_row {whole.schema['_row'].dataType.simpleString()}, lang {whole.schema['lang'].dataType.simpleString()}, source {whole.schema['source'].dataType.simpleString()}, {MEASURES}"
-    measured = materialize(whole.mapInArrow(_measured, schema).withColumn("base_failed", _failed()), "measured")
-    lim = materialize(fences(measured, reach, enough), "fences").alias("l")
+def keep_good(docs: DataFrame, reach: float = 6.0, weight: float = 200.0) -> DataFrame:
+    """The documents that quality_rules keeps, with their columns as they are, whatever their names. The texts are measured once. Nulls, repeats and empty tables are as in quality_rules."""
+    whole = packed(docs, _lang=docs["lang"], _source=docs["source"], _text=docs["text"])
+    kind = lambda c: whole.schema[c].dataType
+    schema = StructType([StructField("row", kind("row")), StructField("lang", kind("_lang")), StructField("source", kind("_source")), *[StructField(x.split()[0], LongType()) for x in MEASURES.split(", ")]])
+    measured = whole.select("row", F.col("_lang").alias("lang"), F.col("_source").alias("source"), "_text").mapInArrow(_measured, schema)
+    measured = materialize(measured.withColumn("base_failed", _failed()), "measured")
+    lim = materialize(fences(measured, reach, weight), "fences").alias("l")
     good = _ratios(measured.where("not base_failed")).alias("m").join(lim, F.expr("m.lang <=> l.lang and m.source <=> l.source"), "left").where(~_outside())
-    return good.select("_row.*")
+    return good.select("row.*")
