@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import discard, materialize
+
 #: Turns of one bucket of a conversation in the as-of join.
 SPAN = 256
 #: Words of a window; shorter passages link as whole lines only.
@@ -88,14 +90,34 @@ def _windows(words):
     return F.when(last > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.slice(words, i, WINDOW)))
 
 
+def reply_paths(quoting: DataFrame) -> DataFrame:
+    """For each message that replies to a quoted one, (conv_id, t, quoted_turn), its path: what each reply by quotation on the way to it quotes, negative, and its turn.
+
+    A message without quotes follows the turn before, so between two replies by quotation lies a run of turns with one path. Paths
+    grow by doubling: each round appends to a path that of the run it came from, and halves what is left of the way.
+    """
+    runs = quoting.select("conv_id", "t").distinct()
+    at = latest_before(quoting.select("conv_id", (F.col("quoted_turn") + 1).alias("t")).distinct(), runs, ["conv_id"]).select("conv_id", (F.col("t") - 1).alias("quoted_turn"), F.col("before").alias("up"))
+    step = F.array(F.struct((-F.col("quoted_turn")).alias("quoted"), F.col("t").alias("turn")))
+    state = materialize(quoting.join(at, ["conv_id", "quoted_turn"], "left").select("conv_id", "t", "up", step.alias("path")), "paths")
+    while state.where("up is not null").take(1):
+        over = state.select("conv_id", F.col("t").alias("up"), F.col("up").alias("next"), F.col("path").alias("above"))
+        grown = state.join(over, ["conv_id", "up"], "left").select("conv_id", "t", F.col("next").alias("up"), F.concat(F.coalesce("above", F.array().cast("array<struct<quoted:bigint,turn:bigint>>")), "path").alias("path"))
+        before, state = state, materialize(grown, "paths")
+        discard(before)
+    return state.select("conv_id", "t", "path")
+
+
 def reply_order(messages: DataFrame) -> DataFrame:
-    """One row a message: conv_id, turn, role, text without quotes, parent_turn, quote_levels, n_quotes, n_linked.
+    """One row a message: conv_id, turn, role, text without quotes, parent_turn, root_turn, depth, reply_path, quote_levels, n_quotes, n_linked.
 
     - parent_turn is the message whose words the first level of quotes holds most of (in characters, the later one in a tie);
-      without such quotes the turn before in the conversation; null for the first. Parents come before replies in order of turn.
+      without such quotes the turn before in the conversation; null for the first. root_turn is where its thread begins.
+    - depth counts the replies by quotation on the way from the root, and reply_path lists them: ordered by conv_id, reply_path and turn,
+      each message comes after the one it replies to and before what comes later to an earlier one (see conversations).
     - Lines such as "On Monday X wrote:" go with the quote they introduce. A quote is linked only within its conversation.
     - Null text is empty. Messages with null conv_id or turn keep their row and have no parent. Repeated rows give a row each.
-    - Passages without letters or digits link to nothing. An empty table gives an empty result. Other columns are ignored.
+    - Passages without letters or digits link to nothing. An empty table gives an empty result. A text of any length is one row. Other columns are ignored.
     """
     links = quote_links(messages)
     by_source = links.where("level = 1 and source_turn is not null").groupBy("mid", "source_turn").agg(F.sum("chars").alias("chars"))
@@ -103,8 +125,25 @@ def reply_order(messages: DataFrame) -> DataFrame:
     counts = links.groupBy("mid").agg(F.count(F.lit(1)).alias("n_quotes"), F.count("source_turn").alias("n_linked"))
     told = counts.join(parents, "mid", "left")
     turns = messages.where("conv_id is not null and turn is not null").select("conv_id", F.col("turn").cast("long").alias("t")).distinct()
-    before = latest_before(turns, turns, ["conv_id"])
+    before = latest_before(turns, turns, ["conv_id"]).join(turns.groupBy("conv_id").agg(F.min("t").alias("root_turn")), "conv_id")
     p = parsed(messages.select("conv_id", "turn", "role", "text")).drop("lines", "levels")
-    rows = p.join(told, "mid", "left").join(before, ["conv_id", "t"], "left")
+    rows = materialize(p.join(told, "mid", "left").join(before, ["conv_id", "t"], "left"), "messages")
+    path = "array<struct<quoted:bigint,turn:bigint>>"
+    quoting = rows.where("quoted_turn is not null").groupBy("conv_id", "t").agg(F.max("quoted_turn").alias("quoted_turn"))
+    if quoting.take(1):
+        paths = reply_paths(quoting)
+        run = latest_before(turns.select("conv_id", (F.col("t") + 1).alias("t")), paths.select("conv_id", "t"), ["conv_id"]).select("conv_id", (F.col("t") - 1).alias("t"), F.col("before").alias("run"))
+        placed = run.join(paths.select("conv_id", F.col("t").alias("run"), "path"), ["conv_id", "run"]).select("conv_id", "t", "path")
+        rows = rows.join(placed, ["conv_id", "t"], "left")
+    else:
+        rows = rows.withColumn("path", F.lit(None).cast(path))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
-    return rows.select("conv_id", F.col("t").alias("turn"), "role", F.col("body").alias("text"), F.coalesce("quoted_turn", "before").alias("parent_turn"), F.coalesce("max_level", F.lit(0)).cast("long").alias("quote_levels"), zero("n_quotes"), zero("n_linked"))
+    full = F.coalesce("path", F.array().cast(path))
+    return rows.select(
+        "conv_id", F.col("t").alias("turn"), "role", F.col("body").alias("text"), F.coalesce("quoted_turn", "before").alias("parent_turn"), "root_turn", F.size(full).cast("long").alias("depth"), full.alias("reply_path"),
+        F.coalesce(F.col("max_level"), F.lit(0)).cast("long").alias("quote_levels"), zero("n_quotes"), zero("n_linked"))
+
+
+def conversations(messages: DataFrame) -> DataFrame:
+    """reply_order's rows in reply order: all of them sorted by conversation, path and turn, a long conversation over many tasks."""
+    return reply_order(messages).orderBy("conv_id", "reply_path", "turn", "role", "text")
