@@ -33,53 +33,6 @@ def some_texts(seed=3, n=60):
     return [*out, None, "", " \n ", "a b", "A  B", "a b c d e f " * 4000]
 
 
-def shingles(text):
-    w = WORDS.findall((text or "").translate(LOW))
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
-
-
-def roots(sets):
-    parent = {k: k for k in sets}
-
-    def find(a):
-        while parent[a] != a:
-            a = parent[a]
-        return a
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
-                x, y = sorted((find(a), find(b)))
-                parent[y] = x
-    return {k: find(k) for k in sets}
-
-
-def test_jaccard_equals_brute_force(spark):
-    texts = some_texts()
-    docs = documents(spark, texts)
-    want = roots({i: shingles(t) for i, t in enumerate(texts)})
-    got = jaccard.near_components(docs.union(docs.where("doc_id = 0")), share=0.05).collect()
-    assert len(got) == len(texts) + 1
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(shingles(t)), want[i]) for i, t in enumerate(texts)}
-    kept = jaccard.one_of_each(docs.union(docs.where("doc_id = 0"))).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(i for i, t in enumerate(texts) if want[i] == i)
-    assert kept[0].__fields__ == docs.columns
-
-
-def test_jaccard_null_ids_and_no_rows(spark):
-    docs = documents(spark, ["a b c d e f"] * 3, [None, None, 7])
-    assert [r.component_id for r in jaccard.near_components(docs).collect()] == [7, 7, 7]
-    assert jaccard.near_components(docs.where("false")).collect() == []
-
-
-def test_jaccard_other_texts_under_null_and_repeated_ids(spark):
-    texts = [t for t in some_texts(8, 30) if shingles(t)]
-    want = collections.Counter(roots({i: shingles(t) for i, t in enumerate(texts)}).values())
-    docs = documents(spark, texts, [None if i % 2 else i // 6 for i in range(len(texts))])
-    got = collections.Counter(r.root for r in jaccard.near_components(docs, share=0.05).collect())
-    assert sorted(got.values()) == sorted(want.values())
-
-
 def test_html(spark):
     page = "<!DOCTYPE html><head><title>T</title></head><body><nav>menu</nav><div class='ad big'>buy</div><article><h1>Head &amp; more</h1><p><b>One\n two<p>three<br>four<div class=\"comments\"><p>reader</p></div><script>x='</p>'</script></article><footer>f"
     assert [t for t, z in html_text.blocks(page) if z == html_text.ARTICLE] == ["Head & more", "One two", "three four"]
@@ -130,7 +83,7 @@ def test_lines(spark):
 def test_language_model(spark):
     texts = [*some_texts(9, 80), None]
     docs = documents(spark, texts)
-    got = {r.doc_id: r for r in language_model.score(docs).collect()}
+    got = {r.doc_id: r for r in language_model.score(docs, share=0.005).collect()}
     tokens = {i: [*WORDS.findall((t or "").translate(LOW)), None] for i, t in enumerate(texts)}
     held = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i in tokens}
     c = collections.Counter(w for i in tokens if not held[i] for w in tokens[i])
@@ -139,34 +92,77 @@ def test_language_model(spark):
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-6)
-        assert r.score < 0
-    out = [r for r in got.values() if r.held_out]
-    assert sum(r.score for r in out) > sum(r.base_score for r in out)
+        assert r.score < 0 and r.n_bytes == len((texts[i] or "").encode()) and (r.bits_per_byte is None) == (not r.n_bytes)
     assert language_model.score(docs.where("false")).collect() == []
 
 
-def test_language_model_counts_every_context_apart():
-    import numpy as np
+def test_language_model_gains_where_all_words_are_known(spark):
+    """Four invented languages: what came before tells which words may come, which the base can't know."""
+    r = random.Random(8)
+    words = [[f"{chr(97 + 6 * k)}{a}{b}" for a in "aeiouy" for b in "lmnrst"] for k in range(4)]
+    texts = [" ".join(r.choice(words[i % 4]) for _ in range(60)) for i in range(400)]
+    got = [x for x in language_model.score(documents(spark, texts)).collect() if x.held_out and x.n_known == x.n_tokens]
+    assert len(got) > 40
+    gain = sum(x.score - x.base_score for x in got) / sum(x.n_tokens for x in got)
+    assert gain > 0.35  # a quarter of the words are possible: log10(4) is 0.6
+
+
+def _model(alphabet, rows):
     import pyarrow as pa
 
+    from earshot.llm.mixing_model import Counts, Gathered, counted, gathered
+
+    column = pa.array(rows, pa.binary())
+    got = pa.Table.from_batches(list(counted(alphabet)([pa.RecordBatch.from_arrays([column], names=["symbols"])])))
+    table = pa.Table.from_batches(list(gathered(got.sort_by([("ctx", "ascending"), ("sym", "ascending")]).to_batches(max_chunksize=1000))))
+    first = alphabet.first_gathered()
+    low = [c.as_py() < first for c in table.column("ctx")]
+    return Gathered(alphabet, Counts(alphabet, table.filter(pa.array(low))), Counts(alphabet, table.filter(pa.array([not x for x in low])))), table
+
+
+def test_bits_count_every_context_and_symbols_add_up_to_one():
+    import numpy as np
+
+    from earshot.llm.mixing_model import Alphabet, Counts, Dense
+
     r = np.random.default_rng(6)
-    symbol, edge = r.integers(0, 128, 60_000), np.array([0, 9, 9, 20_000, 60_000])
-    keys = language_model.contexts(symbol, edge)
-    assert (1, 2, 3) in language_model.CONTEXTS
+    rows = [r.integers(0, 128, n).astype(np.uint8).tobytes() for n in (9, 0, 20_000, 3000, 1)]
+    symbol, edge = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in rows]).astype(np.int64), np.cumsum([0, *map(len, rows)])
+    alphabet = Alphabet(7, 95, ((), (1,), (1, 2), (2, 3), (1, 2, 3)), 2)
+    keys = alphabet.keys(symbol, edge)
     want = collections.Counter(zip(np.concatenate(keys).tolist(), np.tile(symbol, len(keys)).tolist(), strict=True))
-    rows = pa.array([symbol[a:b].astype(np.uint8).tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
-    got = collections.Counter()
-    for b in language_model._counted([pa.RecordBatch.from_arrays([rows], names=["symbols"])]):
-        got.update({(c, s): n for c, s, n in zip(*[x.to_pylist() for x in b.columns], strict=True)})
-    assert got == want
-    by = collections.defaultdict(list)
-    for (c, s), n in got.items():
-        by[c].append((s, n))
-    counts = language_model.Counts(pa.table({"ctx": list(by), "sym": [[s for s, _ in x] for x in by.values()], "n": [[n for _, n in x] for x in by.values()]}))
+    gathered, table = _model(alphabet, rows)
+    counts = Counts(alphabet, table)
     for k in keys:
-        heap, row = counts.spread(k[:300])
-        assert [int(heap[row[i], 128 + symbol[i]]) for i in range(300)] == [want[int(k[i]), int(symbol[i])] for i in range(300)]
-        assert (heap[:, 1] == heap[:, 128:].sum(axis=1)).all() and (heap[:, 5] == heap[:, 160:192].sum(axis=1)).all()
+        n, back = counts.paths(k[:300], symbol[:300])
+        assert [int(n[back[i], 7]) for i in range(300)] == [want[int(k[i]), int(symbol[i])] for i in range(300)]
+        assert [int(n[back[i], 2]) for i in range(40)] == [sum(want[int(k[i]), s] for s in range(128) if s >> 5 == symbol[i] >> 5) for i in range(40)]
+    places = language_model.contexts(np.arange(128) % 16)
+    keys = np.concatenate([k << 7 | symbol for k in places(symbol, edge)])
+    key, n = np.unique(keys, return_counts=True)
+    dense = Dense(7, places, Dense.tables(7, language_model.ROWS, key, n), len(language_model.SIZES))
+    for model in (gathered, dense):
+        model.learn(symbol, edge)
+        for past in ([], [3], [3, 99, 7], [int(x) for x in symbol[:5]]):
+            total = sum(10 ** model.log10(np.array([*past, s]), np.array([0, len(past) + 1]))[-1] for s in range(128))
+            assert abs(total - 1) < 1e-5
+    copy = Dense(7, places, (dense.stretch, dense.n), len(language_model.SIZES))
+    copy.restore(dense.state())
+    assert np.allclose(copy.log10(symbol[:500], np.array([0, 500])), dense.log10(symbol[:500], np.array([0, 500])))
+
+
+def test_spelling_learns():
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(2)
+    word = lambda: "".join(r.choice(["ing", "er", "th", "on"]) for _ in range(r.randrange(1, 4))).encode() + b" "
+    known = sorted({word() for _ in range(400)})
+    model, _ = _model(language_model.SPELLED, known)
+    symbol = np.concatenate([np.frombuffer(x, dtype=np.uint8) for x in known]).astype(np.int64)
+    model.learn(symbol, np.cumsum([0, *map(len, known)]))
+    good, bad = model.row_scores(pa.array([b"thoning ", b"qzxv "], pa.binary()))
+    assert good > -4 and bad < good - 3
 
 
 def test_chat(spark):
