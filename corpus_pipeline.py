@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from earshot.llm import decontaminate, jaccard, line_dedup, mixing, quality
-from earshot.llm.common import materialize, read
+from earshot.llm.common import materialize, read, tables_of
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +40,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another. Tables that a stage wrote on its way go once its result is stored."""
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialize(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with tables_of(spark) as keep:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{k}")
+            keep.append(docs)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -133,3 +133,88 @@ def camelot_distance(a, b) -> Column:
     wheel, same = F.least(d, 12 - d), ring(a) == ring(b)
     ok = num(a).between(1, 12) & num(b).between(1, 12)
     return F.when(~F.coalesce(ok, F.lit(False)), 12).when(wheel == 0, F.when(same, 0).otherwise(1)).otherwise(wheel + F.when(same, 0).otherwise(2)).cast("int")
+
+
+# What a suffix is served as, pages that search lyrics, and what an XML text escapes.
+MIME = {"mp3": "audio/mpeg", "flac": "audio/flac", "wav": "audio/wav", "ogg": "audio/ogg", "oga": "audio/ogg", "opus": "audio/opus", "m4a": "audio/mp4", "mp4": "audio/mp4", "aac": "audio/mp4", "aiff": "audio/aiff", "aif": "audio/aiff"}
+LYRICS = {"genius": "https://genius.com/search?q=", "musixmatch": "https://www.musixmatch.com/search/", "azlyrics": "https://search.azlyrics.com/search.php?q=", "google": "https://www.google.com/search?q="}
+XML = {"&": "&amp;", "<": "&lt;", ">": "&gt;", '"': "&quot;"}
+
+
+def content_type(suffix) -> Column:
+    kinds = F.create_map(*[F.lit(x) for kv in MIME.items() for x in kv])
+    return F.coalesce(F.element_at(kinds, F.lower(_c(suffix))), F.lit("application/octet-stream"))
+
+
+def capitalised(c) -> Column:
+    """Every word with a capital first letter; the other letters stay."""
+    return F.array_join(F.transform(F.split(_c(c), " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000_000))), " ")
+
+
+def token(path) -> Column:
+    """A stable name for a path: the md5 of it in hex."""
+    return F.md5(_c(path))
+
+
+def tree_path(uri) -> Column:
+    """The folder that a tree address of the primary volume stands for; null on another volume or for another address."""
+    doc = F.url_decode(F.nullif(F.regexp_extract(_c(uri), r"/tree/([^/]+)", 1), F.lit("")))
+    at = F.instr(doc, ":")
+    return F.when(F.substring_index(doc, ":", 1) == "primary", F.when(at > 0, F.substr(doc, at + 1)).otherwise(""))
+
+
+def encoded(c) -> Column:
+    """Percent-encoded as a part of an address, with %20 for a space."""
+    out = F.replace(F.url_encode(_c(c)), F.lit("+"), F.lit("%20"))
+    for a, b in (("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def lyrics_url(provider: str, artist, title) -> Column:
+    q = F.trim(F.concat(F.when(F.coalesce(_c(artist), F.lit("")) == "Unknown artist", "").otherwise(F.coalesce(_c(artist), F.lit(""))), F.lit(" "), F.coalesce(_c(title), F.lit(""))))
+    return F.concat(F.lit(LYRICS[provider]), encoded(F.concat(q, F.lit(" lyrics")) if provider == "google" else q))
+
+
+def url_host(url) -> Column:
+    """host:port of an address."""
+    c = _c(url)
+    return F.substring_index(F.when(F.instr(c, "://") > 0, F.get(F.split(c, "://", 3), F.lit(1))).otherwise(c), "/", 1)
+
+
+def joined_url(base, path) -> Column:
+    """A path, as it is or from the root of base's host."""
+    b, p = _c(base), _c(path)
+    root = F.concat(F.substring_index(b, "://", 1), F.lit("://"), F.substring_index(F.get(F.split(b, "://", 2), F.lit(1)), "/", 1))
+    return F.when(p.rlike("^https?://") | (F.instr(b, "://") == 0), p).when(F.startswith(p, F.lit("/")), F.concat(root, p)).otherwise(F.concat(root, F.lit("/"), p))
+
+
+def header_value(text, name: str) -> Column:
+    """The value of the first header line of that name, in whatever case; null if there is none."""
+    lines = F.filter(F.split(_c(text), "\r?\n"), lambda x: (F.instr(x, ":") > 0) & (F.lower(F.trim(F.substring_index(x, ":", 1))) == name.lower()))
+    first = F.get(lines, F.lit(0))
+    return F.trim(F.substr(first, F.instr(first, ":") + 1))
+
+
+def tag_text(xml, tag: str) -> Column:
+    """The text of the first element of that name without attributes; null if there is none."""
+    return F.when(_c(xml).rlike(f"(?s)<{tag}>.*?</{tag}>"), F.trim(F.regexp_extract(_c(xml), f"(?s)<{tag}>(.*?)</{tag}>", 1)))
+
+
+def escaped_xml(c) -> Column:
+    out = _c(c)
+    for a, b in XML.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def unescaped_xml(c) -> Column:
+    out = F.replace(_c(c), F.lit("&#39;"), F.lit("'"))
+    for a, b in reversed(XML.items()):
+        out = F.replace(out, F.lit(b), F.lit(a))
+    return out
+
+
+def path_parts(c) -> Column:
+    """The folders of a path with either slash."""
+    return F.filter(F.split(F.replace(_c(c), F.lit("\\"), F.lit("/")), "/"), lambda x: x != "")

@@ -75,10 +75,9 @@ def artists(tracks: DataFrame, where: TrackFilter = TrackFilter()) -> DataFrame:
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str = "path", at: str = "seq") -> DataFrame:
-    """Rows of both with the last of each key, by at, rows of new after those of old."""
-    both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
-    last = Window.partitionBy(key).orderBy(F.desc("_new"), F.desc(at))
-    return both.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn", "_new")
+    """old, which has a row a key, with the rows of new, the last by at of those with one key. Only new is grouped; old is passed over once."""
+    last = new.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in new.columns]), at).alias("r")).select("r.*")
+    return old.join(last.select(key), key, "left_anti").select(*old.columns).unionByName(last, allowMissingColumns=True)
 
 
 def scan_diff(known: DataFrame, found: DataFrame) -> DataFrame:

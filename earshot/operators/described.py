@@ -34,24 +34,38 @@ def tempo_window(c):
     return F.when(a.isNotNull(), window(F.least(a, b), F.greatest(a, b))).when(x.isNotNull(), window(x - 6, x + 6))
 
 
+def _deletions(c):
+    """A word, and all it can become by leaving out one letter or two."""
+    less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.substr(w, F.lit(1), i - 1), F.substr(w, i + 1, F.length(w))))
+    return F.array_distinct(F.concat(F.array(c), less(c), F.flatten(F.transform(less(c), less))))
+
+
+def bounded(row: DataFrame, c: str, most: int = 100_000) -> DataFrame:
+    """A lexicon as one row for every task; one of more than most entries is an error."""
+    return row.withColumn(c, F.when(F.size(c) <= most, F.col(c)).otherwise(F.raise_error(F.lit("the lexicon is too large"))))
+
+
 def expanded(queries: DataFrame, triggers: DataFrame, synonyms: DataFrame) -> DataFrame:
     """id, q (lower case), said: q followed by the triggers its synonyms stand for, and by those that unknown words come close to.
 
     A word of four letters or more that is neither known nor a stop word takes the known word with its stem, or the nearest within one edit
-    (two from six letters on). Candidates meet on stems and on the lexicon, whose size is not that of the data.
+    (two from six letters on). Candidates meet on stems and on what is left of words without a letter or two, so no text meets the whole lexicon.
     """
     q = queries.select("id", F.lower(F.coalesce("text", F.lit(""))).alias("q"))
     meant = synonyms.groupBy().agg(F.sort_array(F.collect_list(F.struct("word", "trigger"))).alias("syn"))
     vocab = triggers.where("not contains(word, ' ')").select("word", F.col("word").alias("means")).union(synonyms.select("word", F.col("trigger").alias("means")))
     known = vocab.groupBy("word").agg(F.max("means").alias("means"))
     tokens = q.select(F.explode(F.split("q", "[^a-z0-9]+")).alias("tok")).distinct().where((F.length("tok") >= 4) & ~F.col("tok").isin(*STOP))
-    unknown = tokens.join(F.broadcast(known.select(F.col("word").alias("tok"))), "tok", "left_anti")
+    unknown = tokens.join(known.select(F.col("word").alias("tok")), "tok", "left_anti")
     most = F.when(F.length("tok") <= 5, 1).otherwise(2)
-    near = unknown.join(F.broadcast(known), (stem("tok") == stem("word")) | ((F.abs(F.length("tok") - F.length("word")) <= 2) & (F.levenshtein("tok", "word", 2) >= 0)))
+    # Words of one stem, or within two edits of one another, share a key: the stem, or a word less two letters or fewer.
+    keys = lambda c: F.concat(F.array(F.concat(F.lit("="), stem(c))), _deletions(c))
+    words = unknown.select("tok", F.explode(keys(F.col("tok"))).alias("k")).join(known.select("word", "means", F.explode(keys(F.col("word"))).alias("k")), "k").select("tok", "word", "means").distinct()
+    near = words.where((stem("tok") == stem("word")) | (F.levenshtein("tok", "word", 2) >= 0))
     near = near.withColumn("d", F.when(stem("tok") == stem("word"), 0).otherwise(F.levenshtein("tok", "word", 2))).where(F.col("d") <= most)
     best = near.groupBy("tok").agg(F.min(F.struct("d", "word", "means")).alias("b")).select("tok", F.col("b.means").alias("means"))
     found = q.select("id", F.explode(F.array_distinct(F.split("q", "[^a-z0-9]+"))).alias("tok")).join(best, "tok").groupBy("id").agg(F.sort_array(F.collect_list("means")).alias("fuzzy"))
-    t = q.join(F.broadcast(meant), F.lit(True)).join(found, "id", "left")
+    t = q.join(F.broadcast(bounded(meant, "syn")), F.lit(True)).join(found, "id", "left")
     more = F.transform(F.filter("syn", lambda s: F.contains(F.col("q"), s["word"])), lambda s: s["trigger"])
     return t.select("id", "q", F.array_join(F.concat(F.array("q"), more, F.coalesce("fuzzy", F.array().cast("array<string>"))), " ").alias("said"))
 
@@ -59,7 +73,9 @@ def expanded(queries: DataFrame, triggers: DataFrame, synonyms: DataFrame) -> Da
 def matches(said: DataFrame, terms: DataFrame, triggers: DataFrame) -> DataFrame:
     """id, q, term, label, strength, bpm_min, bpm_max of the terms a text names: by their first trigger in it, turned, strengthened or weakened by the words before."""
     words = triggers.groupBy("term").agg(F.sort_array(F.collect_list(F.struct("place", "word")))["word"].alias("words"))
-    t = said.join(F.broadcast(terms.join(words, "term")), F.exists("words", lambda w: F.contains(F.col("said"), w)))
+    lexicon = bounded(terms.join(words, "term").agg(F.collect_list(F.struct("term", "label", "bpm_min", "bpm_max", "words")).alias("all")), "all")
+    named = F.filter("all", lambda x: F.exists(x["words"], lambda w: F.contains(F.col("said"), w)))
+    t = said.join(F.broadcast(lexicon), F.lit(True)).select(*said.columns, F.explode(named).alias("x")).select(*said.columns, "x.*")
     t = t.withColumn("hit", F.get(F.filter("words", lambda w: F.contains(F.col("said"), w)), F.lit(0))).withColumn("at", F.instr("said", F.col("hit")))
     before = F.substr("said", F.greatest(F.lit(1), F.col("at") - 16), F.least(F.lit(16), F.col("at") - 1))
     ends = lambda ws: F.exists(F.array(*map(F.lit, ws)), lambda w: F.endswith(before, w))
@@ -69,7 +85,7 @@ def matches(said: DataFrame, terms: DataFrame, triggers: DataFrame) -> DataFrame
 
 def weights(named: DataFrame, pushes: DataFrame) -> DataFrame:
     """id, feature, weight: pushes of the named terms added up, between -2 and 2; those that cancel are left out."""
-    w = named.join(F.broadcast(pushes), "term").groupBy("id", "feature").agg(F.sum(F.col("weight") * F.col("strength")).alias("w"))
+    w = named.join(pushes, "term").groupBy("id", "feature").agg(F.sum(F.col("weight") * F.col("strength")).alias("w"))
     return w.select("id", "feature", F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("w"))).alias("weight")).where("weight <> 0")
 
 
@@ -84,5 +100,5 @@ def windows(named: DataFrame) -> DataFrame:
 
 def suggestions(adjectives: DataFrame, scenes: DataFrame) -> DataFrame:
     """phrase: scenes alone and with every adjective (word, mood low, high or null) that doesn't clash with their mood. Both are short lists."""
-    pairs = adjectives.select("word", F.col("mood").alias("m")).join(F.broadcast(scenes.select("scene", "mood")), F.coalesce(F.col("m") == F.col("mood"), F.lit(True)))
+    pairs = adjectives.select("word", F.col("mood").alias("m")).join(scenes.select("scene", "mood"), F.coalesce(F.col("m") == F.col("mood"), F.lit(True)))
     return scenes.select(F.initcap(F.substr("scene", F.lit(1), F.lit(1))).alias("a"), F.substr("scene", F.lit(2)).alias("b")).select(F.concat("a", "b").alias("phrase")).union(pairs.select(F.concat_ws(" ", "word", "scene"))).distinct()

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: A half width of smoothing, in whole numbers.
+SCALE = 1_000_000_000
 # A tier is entered at the first level and left below the second.
 ENTER = {1: (0.44, 0.34), 2: (0.72, 0.62)}
 
@@ -56,14 +58,9 @@ def _hysteresis(level: Column, enter: float, leave: float, begins: bool) -> Colu
 def tiers(points: DataFrame) -> DataFrame:
     """Adds level (the smoothed curve from its lower to its upper tenth as 0 to 1) and tier 0, 1 or 2. Needs n."""
     w = F.greatest(F.lit(2), F.floor(F.col("n") * 0.02))
-    by = Window.partitionBy("id").orderBy("i")
-    # The half width differs by id: a moving sum is the difference of two running sums at positions that differ by id.
-    run = points.withColumns({"w": w.cast("long"), "sums": F.sum("v").over(by)})
-    ends = run.select("id", F.col("i").alias("e"), F.col("sums").alias("s"))
-    hi = run.withColumn("e", F.least(F.col("i") + F.col("w"), F.col("n") - 1)).join(ends, ["id", "e"]).withColumn("upper", F.col("s")).drop("e", "s")
-    lo = hi.withColumn("e", F.col("i") - F.col("w") - 1).join(ends, ["id", "e"], "left")
-    width = F.least(F.col("i") + F.col("w"), F.col("n") - 1) - F.greatest(F.col("i") - F.col("w"), F.lit(0)) + 1
-    sm = lo.withColumn("sm", (F.col("upper") - F.coalesce("s", F.lit(0.0))) / width).drop("e", "s", "sums", "upper", "w")
+    # The half width differs by id, and a window's frame can't. Points are as far apart as one over their id's half width, so that a frame of fixed range holds it.
+    along = Window.partitionBy("id").orderBy("_x").rangeBetween(-SCALE - 100, SCALE + 100)
+    sm = points.withColumn("_x", F.floor(F.col("i").cast("double") * SCALE / w)).withColumn("sm", F.avg("v").over(along)).drop("_x")
     ranked = sm.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("sm")) - 1)
     pick = lambda q: F.max(F.when(F.col("rank") == F.floor(F.col("n") * q), F.col("sm"))).over(Window.partitionBy("id"))
     ranged = ranked.withColumns({"low": pick(0.1), "high": pick(0.9)}).withColumn("high", F.when(F.col("high") == 0, 1.0).otherwise(F.col("high")))

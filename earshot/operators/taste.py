@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,9 +94,19 @@ def transition_score(bpm_a, key_a, bpm_b, key_b) -> Column:
     return unit(0.45 * unit(1 - F.abs(ratio - 1) / 0.12) + 0.35 * unit(1 - camelot_distance(key_a, key_b) / 4.0) + 0.20)
 
 
+#: Centroids that a table may hold: they go to every task as one row.
+MOST_CENTROIDS = 10_000
+
+
+def _one_row(centroids: DataFrame, *fields: str) -> DataFrame:
+    """The centroids as one row, cs, in order of their fields; more than MOST_CENTROIDS are an error, as that row goes to every task."""
+    row = centroids.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("cs"))
+    return row.withColumn("cs", F.when(F.size("cs") <= MOST_CENTROIDS, F.col("cs")).otherwise(F.raise_error(F.lit("too many centroids"))))
+
+
 def taste_scores(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """id, score of vectors (id, v) against the listener's centroids (side 1 or -1, v, mass), of which there are 2 K at most."""
-    c = centroids.groupBy().agg(F.collect_list(F.struct("side", F.col("v").alias("c"), "mass")).alias("cs"))
+    c = _one_row(centroids.select("side", F.col("v").alias("c"), "mass"), "side", "c", "mass")
     t = vectors.join(F.broadcast(c), F.lit(True))
     best = lambda side: F.coalesce(F.array_max(F.transform(F.filter("cs", lambda x: x["side"] == side), lambda x: cosine(F.col("v"), x["c"]) * x["mass"] / (x["mass"] + SATURATE))), F.lit(0.0))
     return t.select("id", (best(1) - DISLIKE * best(-1)).alias("score"))
@@ -103,15 +114,15 @@ def taste_scores(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """id, v, cluster, sim: the most similar of at most a few dozen centroids (cluster, c)."""
-    c = centroids.groupBy().agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("cs"))
+    c = _one_row(centroids, "cluster", "c")
     scored = F.transform("cs", lambda x: F.struct(cosine(F.col("v"), x["c"]).alias("sim"), (-x["cluster"]).alias("o")))
     return vectors.join(F.broadcast(c), F.lit(True)).withColumn("b", F.array_max(scored)).select("id", "v", (-F.col("b.o")).alias("cluster"), F.col("b.sim").alias("sim"))
 
 
 def silhouette(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """One row: mean over vectors of how much nearer their own centroid is than the next one."""
-    c = centroids.groupBy().agg(F.collect_list("c").alias("cs"))
-    d = F.sort_array(F.transform("cs", lambda x: 1 - cosine(F.col("v"), x)))
+    c = _one_row(centroids, "c")
+    d = F.sort_array(F.transform("cs", lambda x: 1 - cosine(F.col("v"), x["c"])))
     t = vectors.join(F.broadcast(c), F.lit(True)).select(d.alias("d"))
     own, other = F.get("d", F.lit(0)), F.get("d", F.lit(1))
     top = F.greatest(own, other)
@@ -126,28 +137,41 @@ def _means(assigned: DataFrame) -> DataFrame:
     return c.select("cluster", F.when(n > 0, F.transform("c", lambda x: x / n)).otherwise(F.col("c")).alias("c"))
 
 
-def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 12) -> DataFrame:
-    """Centroids (cluster, c) of at most k clusters. Starts far apart: each next start is the vector least like those before (ties by id).
+def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 12, sample: int = 50) -> DataFrame:
+    """Centroids (cluster, c) of at most k clusters.
 
-    The driver holds the k centroids only; every round is one pass over the vectors. An emptied cluster goes.
+    Starts come from sample * k vectors at most, those of least hash: each next start is the one of them least like those before. Then every
+    round is one pass over all vectors, kept in memory or on disk; the driver holds the sample and the k centroids. An emptied cluster goes.
     """
     spark, schema = vectors.sparkSession, "cluster int, c array<double>"
     table = lambda cs: spark.createDataFrame(list(enumerate(cs)), schema)
-    first = vectors.orderBy("id").select("v").head()
-    centres = [] if first is None else [[float(x) for x in first.v]]
-    while centres and len(centres) < k:
-        far = nearest(vectors, table(centres)).orderBy("sim", "id").select("v", "sim").head()
-        if far.sim > 1 - 1e-9:
-            break
-        centres.append([float(x) for x in far.v])
+    vectors = vectors.select("id", "v").persist(StorageLevel.MEMORY_AND_DISK)
+    some = vectors.orderBy(F.xxhash64("id"), "id").limit(sample * k).select("v").collect()
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-12)
+    pool = unit(np.array([r.v for r in some], dtype=float)) if some else np.zeros((0, 1))
+    starts, near = ([0], pool @ pool[0]) if len(pool) else ([], None)
+    while len(starts) < min(k, len(pool)) and near.min() < 1 - 1e-9:
+        starts.append(int(near.argmin()))
+        near = np.maximum(near, pool @ pool[starts[-1]])
+    centres = pool[starts].tolist()
     for _ in range(rounds if centres else 0):
         means = _means(nearest(vectors, table(centres))).orderBy("cluster").select("c").collect()  # k rows
         was, centres = centres, [[float(x) for x in r.c] for r in means]
         if len(was) == len(centres) and np.allclose(was, centres, rtol=0, atol=1e-9):
             break
+    vectors.unpersist()
     return table(centres)
 
 
+def auto_clusters(vectors: DataFrame, least: int = 6, most: int = 16) -> DataFrame:
+    """Centroids (cluster, c) of the number of clusters, least to most, whose silhouette is best; of equal ones the fewer. None for fewer than two vectors."""
+    n = vectors.limit(most + 1).count()
+    if n < 2:
+        return vectors.sparkSession.createDataFrame([], "cluster int, c array<double>")
+    tried = [spherical_kmeans(vectors, k) for k in range(min(least, n - 1), min(most, n - 1) + 1)]
+    return max(tried, key=lambda c: silhouette(vectors, c).first()["silhouette"])
+
+
 class Model:
     """The centroids of one listener, in the order of events: a small fold with two lists of at most K vectors."""
 
@@ -187,17 +211,27 @@ class Model:
 
 
 def online_model(events: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Events (user_id, seq, kind, track) and vectors (id, v) to user_id, side, centroid, mass, v: the model after all events in order of seq."""
-    weight = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_WEIGHTS.items() for x in kv]), F.col("kind"))
-    e = events.withColumn("w", weight).where("w <> 0").join(vectors.select(F.col("id").alias("track"), "v"), "track").select("user_id", "seq", "w", "v")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, user = Model(), pdf["user_id"].iloc[0]
-        for r in pdf.sort_values("seq").itertuples():
-            m.add(np.asarray(r.v, dtype=float), r.w)
-        return pd.DataFrame([(user, s, i, mass, v) for i, (s, v, mass) in enumerate(m.rows())], columns=["user_id", "side", "centroid", "mass", "v"])
+    """Events (user_id, seq, kind, track) and vectors (id, v) to user_id, side, centroid, mass, v: the model after all events in order of seq.
 
-    return e.groupBy("user_id").applyInPandas(fold, "user_id long, side int, centroid int, mass double, v array<double>")
+    The order of a listener's events decides, so they are one group. A group holds its events as numbers, and each of its tracks' vectors once.
+    """
+    weight = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_WEIGHTS.items() for x in kv]), F.col("kind"))
+    e = events.withColumn("w", weight).where("w <> 0 and track is not null").select("user_id", "seq", "w", "track")
+    v = e.select("user_id", "track").distinct().join(vectors.select(F.col("id").alias("track"), F.col("v").cast("array<double>").alias("v")), "track").select(F.col("user_id").alias("user_id"), F.col("track").alias("track"), "v")
+
+    def fold(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        m = Model()
+        if len(v):
+            at = pd.Series(np.arange(len(v)), index=v["track"]).reindex(e["track"]).to_numpy(dtype=float)
+            known = np.flatnonzero(~np.isnan(at))
+            known = known[np.argsort(e["seq"].to_numpy()[known], kind="stable")]
+            rows, weights = np.stack(v["v"].to_numpy()), e["w"].to_numpy(dtype=float)
+            for i in known.tolist():
+                m.add(rows[int(at[i])], weights[i])
+        out = [(e["user_id"].iloc[0], s, i, mass, x) for i, (s, x, mass) in enumerate(m.rows())]
+        return pd.DataFrame(out, columns=["user_id", "side", "centroid", "mass", "v"])
+
+    return e.groupBy("user_id").cogroup(v.groupBy("user_id")).applyInPandas(fold, "user_id long, side int, centroid int, mass double, v array<double>")
 
 
 def _greedy(n: int, start: int, cost) -> list[int]:

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.functions.text import is_missing
+from earshot.operators.described import bounded
 from earshot.operators.vectors import cosine
 
+#: Seeds of a mix, which go to every task.
+MOST_SEEDS = 10_000
+
 
 def patched(tracks: DataFrame, patches: DataFrame, key: str = "path", only_missing: bool = False) -> DataFrame:
     """Tracks with the values of patches (key and some columns): null keeps, '' clears. only_missing fills what is null, blank or a stand-in, and clears nothing."""
@@ -56,15 +60,15 @@ def by_similarity(entries: DataFrame, ranks: DataFrame) -> DataFrame:
 
 
 def similar_to_each(vectors: DataFrame, seeds: DataFrame, n: int) -> DataFrame:
-    """seed, id, sim: for each of a few seeds (id) the n vectors most like it. Seeds are few by contract and broadcast."""
-    s = F.broadcast(vectors.join(F.broadcast(seeds), "id").select(F.col("id").alias("seed"), F.col("v").alias("q")))
-    t = vectors.join(s, F.col("id") != F.col("seed")).select("seed", "id", cosine("v", "q").alias("sim"))
+    """seed, id, sim: for each of a few seeds (id) the n vectors most like it. More than MOST_SEEDS seeds are an error, as they go to every task."""
+    one = bounded(vectors.join(seeds, "id").agg(F.collect_list(F.struct(F.col("id").alias("seed"), F.col("v").alias("q"))).alias("qs")), "qs", MOST_SEEDS)
+    t = vectors.join(F.broadcast(one), F.lit(True)).select("id", "v", F.explode("qs").alias("x")).where("id <> x.seed").select("x.seed", "id", cosine("v", "x.q").alias("sim"))
     return t.withColumn("rn", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("sim"), "id"))).where(F.col("rn") <= n).drop("rn")
 
 
 def recipe(vectors: DataFrame, seeds: DataFrame, taste: DataFrame, size: int) -> DataFrame:
     """id, score: the tracks of a mix from its seeds (id): three parts the likeness to the nearest seed, one part taste (id, score); seeds come first."""
-    s = F.broadcast(vectors.join(F.broadcast(seeds), "id").groupBy().agg(F.collect_list("v").alias("qs"), F.collect_list("id").alias("ids")))
+    s = F.broadcast(bounded(vectors.join(seeds, "id").groupBy().agg(F.collect_list("v").alias("qs"), F.collect_list("id").alias("ids")), "qs", MOST_SEEDS))
     near = F.coalesce(F.array_max(F.transform("qs", lambda q: cosine(F.col("v"), q))), F.lit(0.0))
     t = vectors.join(s, F.lit(True)).join(taste.select("id", F.col("score").alias("taste")), "id", "left")
     score = 0.75 * near + 0.25 * F.coalesce("taste", F.lit(0.0)) + F.when(F.array_contains("ids", F.col("id")), 1.0).otherwise(0.0)

@@ -9,8 +9,9 @@ from earshot.functions.text import camelot_distance
 from earshot.operators import taste as m
 from earshot.operators import vectors as v
 from earshot.plans.session import scratch
-from earshot.plans.sql import EVENTS
-from earshot.sources.tables import as_listens, fingerprints, listens, read
+from earshot.plans.sql import EVENTS, TRACKS
+from earshot.sources import stores
+from earshot.sources.tables import as_listens, as_tracks, fingerprints, listens, read, tracks
 from earshot.streaming import listening as st
 
 
@@ -61,7 +62,15 @@ QUERIES: dict = {
     "energy_set": lambda s, d: m.energy_set(_set_tracks(s, d), "peak", True, 12.0),
     "stream_counters": lambda s, d: _latest(_stream(s, d, "counters", st.counters, "update"), "track"),
     "stream_sessions": lambda s, d: _stream(s, d, "sessions", st.finished_sessions, "append").drop("batch"),
-    "stream_clock": lambda s, d: _latest(_stream(s, d, "clock", st.hourly_clock, "update"), "hour"),
+    "stream_clock": lambda s, d: _latest(_stream(s, d, "clock", st.hourly_clock, "update"), "user_id", "hour"),
+    "event_log": lambda s, d: st.event_log(listens(s, d), 20).select("user_id", "seq", "back"),
+    "last_played": lambda s, d: st.last_played(listens(s, d)),
+    "stream_last_played": lambda s, d: _latest(_stream(s, d, "last", st.last_played, "update"), "user_id", "track"),
+    "stream_scan": lambda s, d: st.drain(stores.scanned(as_tracks(st.events_stream(s, f"{d}/part.parque[t]")).select("path", "mtime"), tracks(s, d).where("year < 1980").select("path", (F.col("mtime") + (F.col("seq") % 4 == 0).cast("int")).alias("mtime"))), scratch(s, "scan")).drop("batch"),
+    "json_round_trip": lambda s, d: stores.from_json(stores.as_json(fingerprints(s, d).select("id", "bpm", "v"), "id"), "bpm double, v array<float>").select("id", "bpm", F.posexplode("v").alias("dim", "x")),
+    "sections_exported": lambda s, d: stores.section_files(tracks(s, d).select("title", "artist", "path", F.col("duration").alias("length"), F.lit(120.0).alias("bpm"), F.lit(0.5).alias("first_beat"), F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.5).alias("end"), F.lit(1).alias("tier"), F.lit("A").alias("label"))).alias("sections"))).select("name", F.get_json_object("text", "$.path").alias("path"), F.get_json_object("text", "$.sections[0].endSec").cast("double").alias("end_sec")),
+    "media_rows": lambda s, d: stores.below(stores.media_rows(tracks(s, d).select("path", F.when(F.col("seq") % 3 == 0, "<unknown>").when(F.col("seq") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "artist")).alias("artist")), "artist"), "/lib/PROMO POLISHED NICKEL").withColumn("album", stores.folder_album("path")),
+    "settings_backup": lambda s, d: stores.backup(read(s, d, "nation").select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "our-").otherwise("x-"), "n_name").alias("key"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey").cast("string")).alias("value")), "our-"),
     "stream_model": lambda s, d: _latest(_stream(s, d, "model", lambda e: st.taste_model(e, fingerprints(s, d)), "update"), "user_id").select("user_id", "side", "centroid", "mass"),
     "bucket_counts": lambda s, d: st.bucket_means(listens(s, d), "6 hours"),
 }
@@ -103,5 +112,12 @@ ORACLE: dict[str, str] = {
       g as (select *, case when row_number() over w > 1 and lag(track) over w is not distinct from track then 0 else 1 end as turn from x window w as (partition by user_id order by seq)),
       r as (select *, sum(turn) over (partition by user_id order by seq) as n from g), t as (select *, max(n) over (partition by user_id) as top from r)
       select user_id, any_value(track) as track, min(ts) as start, max(ts) as finish, count(*) as events from t where n < top group by user_id, n""",
+    "event_log": "select user_id, event_id as seq, (rn - 1)::int as back from (select *, row_number() over (partition by user_id order by event_id desc) as rn from events) where rn <= 20",
+    **{k: "select user_id, json_extract_string(props, '$.k')::bigint as track, max(floor(epoch(ts))::bigint) as ts from events where event_type not in ('purchase', 'signup') and json_extract_string(props, '$.k') is not null group by 1, 2" for k in ("last_played", "stream_last_played")},
+    "stream_scan": f"with {TRACKS} select path, mtime, case when year < 1980 and seq % 4 <> 0 then 'unchanged' else 'changed' end as state from t",
+    "json_round_trip": "select vec_id as id, (60.0 + (vec_id * 7) % 140)::double as bpm, unnest(range(0, len(embedding)))::int as dim, unnest(embedding) as x from embeddings",
+    "sections_exported": f"with {TRACKS} select regexp_replace(title, '[^\\w.-]+', '_', 'g') || '.sections.json' as name, path, duration * 0.5::double as end_sec from t",
+    "media_rows": f"with {TRACKS} select path, case when seq % 3 = 2 then artist end as artist, artist as album from t where starts_with(path, '/lib/PROMO POLISHED NICKEL/')",
+    "settings_backup": "select 'our-' || n_name as key, n_nationkey::varchar as value from nation where n_nationkey % 2 = 0 and n_nationkey % 3 <> 0",
     "bucket_counts": "select (floor(epoch(ts))::bigint // 21600 * 21600)::bigint as start, user_id, avg(value) as mean, count(*) as n from events group by 1, 2",
 }

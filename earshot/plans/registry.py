@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from earshot.operators import catalogue as c
 from earshot.operators import recommend as r
 from earshot.operators import vectors as v
-from earshot.plans import described, feed, models, series, upkeep
+from earshot.plans import described, details, edits, feed, mixes, models, series, upkeep
 from earshot.plans.sql import EVENTS as _E
 from earshot.plans.sql import NOW, WHO
 from earshot.plans.sql import PART as _PART
@@ -79,6 +79,6 @@ ORACLE: dict[str, str] = {
     "bpm_fold": "with b as (select vec_id as id, (60.0 + (vec_id * 7) % 140)::double as b from embeddings) select id, case when b < 70 then b * 2 when b >= 180 then b / 2 else b end as bpm from b",
 }
 
-for _more in (feed, series, models, described, upkeep):
+for _more in (feed, series, models, mixes, described, upkeep, edits, details):
     QUERIES |= _more.QUERIES
     ORACLE |= _more.ORACLE

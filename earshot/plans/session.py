@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -22,9 +23,11 @@ def local_session(cores: int = 8, partitions: int | None = None, memory: str = "
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder that the driver and every executor see, below spark.checkpoint.dir; below one of our own where that is unset, as in tests."""
+    """A new folder that the driver and every executor see, below spark.checkpoint.dir. Where that is unset a local master gets a folder of this machine, any other an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp"))
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

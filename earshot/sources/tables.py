@@ -12,7 +12,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """TRACK rows from part."""
-    p = read(spark, sf_dir, "part")
+    return as_tracks(read(spark, sf_dir, "part"))
+
+
+def as_tracks(p: DataFrame) -> DataFrame:
     return p.select(
         F.concat(F.lit("/lib/"), "p_type", F.lit("/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".mp3")).alias("path"),
         F.col("p_name").alias("title"), F.col("p_brand").alias("artist"), F.concat("p_brand", F.lit(" "), "p_type").alias("album"),

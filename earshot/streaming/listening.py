@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -52,19 +52,35 @@ def finished_sessions(events: DataFrame) -> DataFrame:
 
 
 def hourly_clock(events: DataFrame, cap: int = 240) -> DataFrame:
-    """hour, kind, weight: counts of the kinds heard in an hour of the day, all halved whenever one of them comes to the cap. Keyed by hour; sink in update mode."""
+    """user_id, hour, kind, weight: counts of the kinds that a listener heard in an hour of the day, all halved whenever one of them comes to the cap. Sink in update mode.
+
+    A batch's events come in pieces of bounded size, and no more than one piece is held; what is kept is one number a kind.
+    """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         kinds, weights = (list(x) for x in state.get) if state.exists else ([], [])
         clock = dict(zip(kinds, weights, strict=True))
-        for kind in pd.concat(batches).sort_values("seq")["kind"]:
-            clock[kind] = clock.get(kind, 0.0) + 1
-            if clock[kind] >= cap:
-                clock = {k: w / 2 for k, w in clock.items()}
+        for batch in batches:
+            for kind in batch.sort_values("seq")["kind"]:
+                clock[kind] = clock.get(kind, 0.0) + 1
+                if clock[kind] >= cap:
+                    clock = {k: w / 2 for k, w in clock.items()}
         state.update((list(clock), list(clock.values())))
-        yield pd.DataFrame([(key[0], k, w) for k, w in clock.items()], columns=["hour", "kind", "weight"])
+        yield pd.DataFrame([(*key, k, w) for k, w in clock.items()], columns=["user_id", "hour", "kind", "weight"])
+
+    t = events.where("kind is not null").select("user_id", F.hour(F.timestamp_seconds("ts")).cast("long").alias("hour"), "kind", "seq")
+    return t.groupBy("user_id", "hour").applyInPandasWithState(step, "user_id long, hour long, kind string, weight double", "kinds array<string>, weights array<double>", "update", GroupStateTimeout.NoTimeout)
+
+
+def event_log(events: DataFrame, most: int = 20_000) -> DataFrame:
+    """The last events of each listener, most of them at most, and for each the place from the end (0 is the last). For tables."""
+    by = Window.partitionBy("user_id").orderBy(F.desc("seq"))
+    return events.withColumn("back", F.row_number().over(by) - 1).where(F.col("back") < most)
+
 
-    t = events.where("kind is not null").select(F.hour(F.timestamp_seconds("ts")).cast("long").alias("hour"), "kind", "seq")
-    return t.groupBy("hour").applyInPandasWithState(step, "hour long, kind string, weight double", "kinds array<string>, weights array<double>", "update", GroupStateTimeout.NoTimeout)
+def last_played(events: DataFrame) -> DataFrame:
+    """user_id, track, ts of the last event that played a track: one that only liked, disliked or added it does not count. Also for streams, in complete or update mode."""
+    played = ~F.col("kind").isin("Like", "Dislike", "AddedManually") & F.col("track").isNotNull()
+    return events.where(played).groupBy("user_id", "track").agg(F.max("ts").alias("ts"))
 
 
 def taste_model(events: DataFrame, vectors: DataFrame) -> DataFrame:

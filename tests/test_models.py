@@ -120,13 +120,13 @@ def test_streamed_sessions_and_clock(spark, tmp_path):
     clock = st.drain(st.hourly_clock(st.events_stream(spark, str(tmp_path / "in"), 1), cap=5), str(tmp_path / "clock"), "update")
     hours: dict = {}
     for r in rows:
-        h = hours.setdefault(r.ts // 3600 % 24, {})
+        h = hours.setdefault((r.user_id, r.ts // 3600 % 24), {})
         h[r.kind] = h.get(r.kind, 0.0) + 1
         if h[r.kind] >= 5:
             for k in h:
                 h[k] /= 2
-    last = clock.join(clock.groupBy("hour").agg(F.max("batch").alias("batch")), ["hour", "batch"]).collect()
-    assert {(r.hour, r.kind): r.weight for r in last} == {(h, k): w for h, ks in hours.items() for k, w in ks.items()}
+    last = clock.join(clock.groupBy("user_id", "hour").agg(F.max("batch").alias("batch")), ["user_id", "hour", "batch"]).collect()
+    assert {((r.user_id, r.hour), r.kind): r.weight for r in last} == {(h, k): w for h, ks in hours.items() for k, w in ks.items()}
 
 
 def test_streamed_counters(spark, tmp_path):
