@@ -75,11 +75,12 @@ def _delete(spark: SparkSession, folder: str) -> None:
 
 @contextlib.contextmanager
 def tables_of(spark: SparkSession):
-    """Tables written inside are deleted at the end, but for those that the caller takes off the list it gets."""
+    """Tables written inside are deleted at the end, but for those that the caller puts on the list it gets."""
     before = set(_written)
-    mine: list[str] = []
-    yield mine
-    for path in [p for p in _written if p not in before and p not in mine]:
+    kept: list[DataFrame] = []
+    yield kept
+    names = {f.split("/")[-2] for df in kept for f in df.inputFiles()}
+    for path in [p for p in _written if p not in before and p.rpartition("/")[2] not in names]:
         _delete(spark, path)
 
 

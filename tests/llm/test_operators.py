@@ -140,13 +140,13 @@ def test_bits_count_every_context_and_symbols_add_up_to_one():
     places = language_model.contexts(np.arange(128) % 16)
     keys = np.concatenate([k << 7 | symbol for k in places(symbol, edge)])
     key, n = np.unique(keys, return_counts=True)
-    dense = Dense(7, places, Dense.tables(7, language_model.ROWS, key, n), len(language_model.SIZES))
+    dense = Dense(7, places, Dense.tables(7, language_model.ROWS, key, n), len(language_model.SIZES), 2)
     for model in (gathered, dense):
         model.learn(symbol, edge)
         for past in ([], [3], [3, 99, 7], [int(x) for x in symbol[:5]]):
             total = sum(10 ** model.log10(np.array([*past, s]), np.array([0, len(past) + 1]))[-1] for s in range(128))
             assert abs(total - 1) < 1e-5
-    copy = Dense(7, places, (dense.stretch, dense.n), len(language_model.SIZES))
+    copy = Dense(7, places, (dense.stretch, dense.n), len(language_model.SIZES), 2)
     copy.restore(dense.state())
     assert np.allclose(copy.log10(symbol[:500], np.array([0, 500])), dense.log10(symbol[:500], np.array([0, 500])))
 
