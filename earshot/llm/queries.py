@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, filter_audit, html_text, jaccard, language_model, line_dedup, mixing, pieces, quality, url_filter, warc
+from . import chat, collocations, decontaminate, filter_audit, html_text, jaccard, language_model, line_dedup, mixing, pieces, quality, url_filter, warc
 from .common import materialize, read
 
 
@@ -52,11 +52,15 @@ def op11_piece_encoding(spark, sf_dir):
     return pieces.digests(read(spark, sf_dir, "documents"))
 
 
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_text, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op7_language_model, op8_chat_quotes, op9_url_filter, op10_quality_rules, op11_piece_encoding, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_html_text, op3_warc, op4_mix_sources, op5_decontaminate, op6_line_dedup, op7_language_model, op8_chat_quotes, op9_url_filter, op10_quality_rules, op11_piece_encoding, op12_collocations, op13_filter_audit)}
 
 ORACLE = {
     "op4_mix_sources": r"""
@@ -87,5 +91,6 @@ select d.doc_id,
   coalesce(len(c.gone), 0)::bigint as n_removed_lines
 from d left join c using (doc_id)""",
     "op9_url_filter": url_filter.SQL,
+    "op12_collocations": collocations.SQL,
     "op13_filter_audit": filter_audit.SQL,
 }
