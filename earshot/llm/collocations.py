@@ -1,10 +1,10 @@
 """Phrases whose words go together, from exact counts.
 
-Texts become pieces, and equal pieces one row with a multiplicity, dealt into parts of bounded size. Phrases are counted by length, one
-length after the other: each part counts those that can still be frequent and asks their buckets for the totals; a bucket, which DuckDB
+Texts become pieces, and equal pieces one row with a multiplicity, dealt into parts of bounded size. Phrases are counted by length, from
+single words and pairs on: each part counts those that can still be frequent and asks their buckets for the totals; a bucket, which DuckDB
 adds up out of core, answers the parts that asked, and only of frequent phrases. A part keeps the runs of words in which all phrases so
-far are frequent. The least part that asked for a phrase owns it: the totals of all that the phrase is made of have come to the same part,
-so there it is scored. Phrases are compared as texts, never by a hash.
+far are frequent. (That most words are frequent makes it cheaper to count all pairs than to tell every part which words are.) The least part that asked for a phrase owns it. In the end every part asks once for each text that a phrase of its own
+can be cut into, the totals come to it, and there its phrases are scored. Phrases are compared as texts, never by a hash.
 """
 
 from __future__ import annotations
@@ -18,12 +18,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Most words of a phrase, least count of one, and phrases returned per language.
 LONGEST, LEAST, TOP = 5, 100, 2000
 #: Bytes of text that make a part; memory of a bucket, beyond which DuckDB spills into a folder that goes with the task.
-PART_BYTES, BUCKET_MEMORY = 1 << 22, "256MB"
+PART_BYTES, BUCKET_MEMORY = 1 << 23, "256MB"
 #: A-Z to a-z, everything that ends a piece to a line end, tabs to spaces.
 _PLAIN = bytearray(range(256))
 _PLAIN[65:91] = bytes(range(97, 123))
@@ -31,10 +31,11 @@ for _c in b".,;:!?\x0b\x0c\x0d":
     _PLAIN[_c] = 10
 _PLAIN[9] = 32
 _PLAIN = bytes(_PLAIN)
-_SEGMENT, _COUNT, _CANDIDATE, _COVERED = range(4)
-#: What parts write. Segments: lang, text, n (times). Counts: text is the key, n. Candidates: lang, text, a, l, r, n, score. Covered: lang and text.
-STATE = "kind int, part long, lang string, text string, a long, l long, r long, n long, score long"
-_NAMES = [x.split()[0] for x in STATE.split(", ")]
+_SEGMENT, _COUNT, _QUIET = range(3)
+#: What parts write. Segments: lang, text, n (times). Counts: text is the key, n. Quiet counts are answered to their owner alone.
+STATE = "kind int, part long, lang string, text string, n long"
+SCORED = "kind int, lang string, phrase string, a long, l long, r long, n long, score long"
+_CANDIDATE, _COVERED = range(2)
 
 
 def pieces_of(text: bytes) -> list[bytes]:
@@ -100,10 +101,12 @@ class Runs:
 
     def keys(self, first: np.ndarray, size: int) -> pa.Array:
         """Language, line end and text of the phrases that begin at these places."""
-        heads = [x.encode() + b"\n" for x in self.names]
-        raw = self.raw
-        of = zip(self.lang[self.row[first]].tolist(), self.begins[first].tolist(), self.ends[first + size - 1].tolist(), strict=True)
-        return pa.array([heads[g] + raw[x:y] for g, x, y in of], pa.large_binary())
+        heads, raw, out = [x.encode() + b"\n" for x in self.names], self.raw, []
+        for a in range(0, len(first), 1 << 16):
+            f = first[a : a + (1 << 16)]
+            of = zip(self.lang[self.row[f]].tolist(), self.begins[f].tolist(), self.ends[f + size - 1].tolist(), strict=True)
+            out.append(pa.array([heads[g] + raw[x:y] for g, x, y in of], pa.large_binary()))
+        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
 
     def counts(self, size: int):
         """Keys and counts of the phrases of so many words; with single words, each language's words in all, under its key without a text."""
@@ -133,23 +136,23 @@ class Runs:
         return pa.array(self.names, pa.string()).take(table.column("lang").combine_chunks()), table.column("text").combine_chunks(), table.column("m_sum").to_numpy()
 
 
-def _state(kind: int, rows: int, part, **columns) -> pa.Table:
-    """Rows of STATE; columns not given are null."""
-    types = {"kind": pa.int32(), "lang": pa.string(), "text": pa.string()}
-    given = {"kind": pa.repeat(pa.scalar(kind, pa.int32()), rows), "part": pa.repeat(part.cast(pa.int64()), rows)} | columns
-    return pa.table({c: pa.array(given[c]).cast(types.get(c, pa.int64())) if c in given else pa.nulls(rows, types.get(c, pa.int64())) for c in _NAMES})
+def _state(kind: int, part, lang, text, n) -> pa.Table:
+    """Rows of STATE."""
+    rows = len(text)
+    lang = pa.nulls(rows, pa.string()) if lang is None else pa.array(lang).cast(pa.string())
+    return pa.table({"kind": pa.repeat(pa.scalar(kind, pa.int32()), rows), "part": pa.repeat(part.cast(pa.int64()), rows), "lang": lang, "text": pa.array(text).cast(pa.string()), "n": pa.array(n).cast(pa.int64())})
 
 
 def _counts(runs: Runs, size: int, part) -> pa.Table:
     keys, n = runs.counts(size)
-    return _state(_COUNT, len(keys), part, text=keys.cast(pa.large_string()), n=n)
+    return _state(_COUNT if size > 1 else _QUIET, part, None, keys, n)
 
 
 def _begun(given: pa.Table) -> pa.Table:
-    """A part at first: its pieces, and counts of its words."""
+    """A part at first: its pieces, and counts of its words and pairs."""
     part = given.column("part")[0]
     runs = Runs(given.column("lang"), given.column("piece"), given.column("m").to_numpy())
-    return pa.concat_tables([_state(_SEGMENT, len(given), part, lang=given.column("lang").combine_chunks(), text=given.column("piece").combine_chunks(), n=given.column("m").combine_chunks()), _counts(runs, 1, part)])
+    return pa.concat_tables([_state(_SEGMENT, part, *(given.column(c).combine_chunks() for c in ("lang", "piece", "m"))), _counts(runs, 1, part), _counts(runs, 2, part)])
 
 
 def scored(key: bytes, total) -> tuple[int, int, int, int, int]:
@@ -165,36 +168,51 @@ def scored(key: bytes, total) -> tuple[int, int, int, int, int]:
     return best
 
 
-def _owned(keys: list[bytes], totals: dict[bytes, int], part) -> pa.Table:
-    """Candidates with their scores, and the phrases one word shorter that occur nowhere else."""
-    rows = [scored(key, totals.__getitem__) for key in keys]
-    covered = []
-    for key, row in zip(keys, rows, strict=True):
+def _cuts(key: bytes) -> list[bytes]:
+    """Keys of all that the score of a phrase needs besides itself: its language, and both sides of every cut."""
+    head, _, phrase = key.rpartition(b"\n")
+    head, words = head + b"\n", phrase.split(b" ")
+    return [head, *(head + b" ".join(x) for k in range(1, len(words)) for x in (words[:k], words[k:]))]
+
+
+def _asked(batches):
+    """What each part asks for to score its phrases."""
+    for b in batches:
+        part, key = [], []
+        for p, k in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            cuts = _cuts(k)
+            part += [p] * len(cuts)
+            key += cuts
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(key, pa.binary()).cast(pa.string())], names=["part", "key"])
+
+
+def _owned(own: pa.Table, totals: pa.Table) -> pa.Table:
+    """A part's phrases with their scores, and the phrases one word shorter that occur nowhere else."""
+    keys = own.column("key").cast(pa.binary()).to_pylist()
+    known = dict(zip(totals.column("key").cast(pa.binary()).to_pylist(), totals.column("f").to_pylist(), strict=True)) | dict(zip(keys, own.column("f").to_pylist(), strict=True))
+    rows = []
+    for key in keys:
         head, _, phrase = key.rpartition(b"\n")
-        words = phrase.split(b" ")
+        found, words = scored(key, known.__getitem__), phrase.split(b" ")
+        rows.append((_CANDIDATE, head.decode(), phrase.decode(), *found))
         if len(words) > 2:
-            covered += [s for s in {head + b"\n" + b" ".join(x) for x in (words[:-1], words[1:])} if 100 * row[0] >= 100 * totals[s]]
-    named = lambda ks: {"lang": pa.array([k.rpartition(b"\n")[0].decode() for k in ks], pa.string()), "text": pa.array([k.rpartition(b"\n")[2].decode() for k in ks], pa.string())}
-    numbers = {c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(("a", "l", "r", "n", "score"))}
-    return pa.concat_tables([_state(_CANDIDATE, len(keys), part, **named(keys), **numbers), _state(_COVERED, len(covered), part, **named(covered))])
+            shorter = {b" ".join(words[:-1]), b" ".join(words[1:])}
+            rows += [(_COVERED, head.decode(), x.decode(), *[None] * 5) for x in shorter if 100 * found[0] >= 100 * known[head + b"\n" + x]]
+    types = {"int": pa.int32(), "long": pa.int64(), "string": pa.string()}
+    columns = list(zip(*rows, strict=True)) or [()] * 8
+    return pa.table({c: pa.array(x, types[t]) for (c, t), x in zip((x.split() for x in SCORED.split(", ")), columns, strict=True)})
 
 
-def _step(size: int, longest: int):
-    """With the answers on phrases of up to size words: the part's own candidates, what is left of its segments, and counts of phrases one word longer."""
+def _step(size: int):
+    """With the answers on phrases of size words: what is left of a part's segments, and counts of phrases one word longer."""
     def run(given: pa.Table, answers: pa.Table) -> pa.Table:
         part = (given if len(given) else answers).column("part")[0]
-        keys = answers.column("key").combine_chunks().cast(pa.large_binary())
-        out = []
-        if size > 1:
-            mine = keys.filter(pc.and_(answers.column("own"), pc.equal(answers.column("size"), size)).combine_chunks()).to_pylist()
-            if mine:
-                out.append(_owned(sorted(mine), dict(zip(keys.to_pylist(), answers.column("f").to_pylist(), strict=True)), part))
-        if size < longest and len(given):
-            now = keys.filter(pc.equal(answers.column("size"), size).combine_chunks())
-            lang, text, m = Runs(given.column("lang"), given.column("text"), given.column("n").to_numpy()).kept(size, now)
+        if len(given):
+            keys = answers.column("key").combine_chunks().cast(pa.large_binary())
+            lang, text, m = Runs(given.column("lang"), given.column("text"), given.column("n").to_numpy()).kept(size, keys)
             if len(text):
-                out += [_state(_SEGMENT, len(text), part, lang=lang, text=text.cast(pa.large_string()), n=m), _counts(Runs(lang, text, m), size + 1, part)]
-        return pa.concat_tables(out) if out else _state(_SEGMENT, 0, part)
+                return pa.concat_tables([_state(_SEGMENT, part, lang, text, m), _counts(Runs(lang, text, m), size + 1, part)])
+        return _state(_SEGMENT, part, [], [], []).slice(0, 0)
 
     return run
 
@@ -203,13 +221,13 @@ def _answered(least: int, memory: str):
     """A bucket: totals of its keys over all parts, sent back to each part that asked, where they reach least. The least part that asked owns the key."""
     def run(batches):
         with tempfile.TemporaryDirectory(prefix="bucket-") as folder, duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": folder, "preserve_insertion_order": False}) as con:
-            con.execute("create table asked(part bigint, key varchar, n bigint)")
+            con.execute("create table asked(part bigint, key varchar, n bigint, quiet boolean)")
             for b in batches:
                 con.register("batch", pa.Table.from_batches([b]))
-                con.execute("insert into asked select part, key, n from batch")
+                con.execute("insert into asked select part, key, n, quiet from batch")
                 con.unregister("batch")
             found = con.execute(
-                "select part, key, f, part = least_part as own from asked join (select key, sum(n)::bigint as f, min(part) as least_part from asked group by key having sum(n) >= ? or ends_with(key, chr(10))) using (key)", [least])
+                "select part, key, f, part = least_part as own from asked join (select key, sum(n)::bigint as f, min(part) as least_part from asked group by key having sum(n) >= ? or ends_with(key, chr(10))) using (key) where not quiet or part = least_part", [least])
             while chunk := found.fetchmany(1 << 16):
                 part, key, f, own = zip(*chunk, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(key, pa.string()), pa.array(f, pa.int64()), pa.array(own, pa.bool_())], names=["part", "key", "f", "own"])
@@ -223,18 +241,25 @@ def candidates(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part
     parts = max(1, -(-(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
     cut = given.mapInArrow(_cut, "lang string, piece string, m long").withColumn("part", F.pmod(F.xxhash64("lang", "piece"), F.lit(parts)))
     once = cut.groupBy("part", "lang", "piece").agg(F.sum("m").alias("m")) if parts == 1 else cut.repartition("part").groupBy("part", "lang", "piece").agg(F.sum("m").alias("m"))
-    state = materialize(once.groupBy("part").applyInArrow(_begun, STATE), "pieces")
-    states, answers = [], None
-    for size in range(1, longest + 1):
-        asked = state.where(F.col("kind") == _COUNT).select("part", F.col("text").alias("key"), "n").repartition("key")
-        found = materialize(asked.mapInArrow(_answered(least, memory), "part long, key string, f long, own boolean").withColumn("size", F.lit(size)), "answers")
-        answers = found if answers is None else answers.union(found)
-        segments = state.where(F.col("kind") == _SEGMENT).select("part", "lang", "text", "n")
-        state = materialize(segments.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_step(size, longest), STATE), "phrases")
-        states.append(state)
-    of = lambda kind, *columns: [s.where(F.col("kind") == kind).select("lang", F.col("text").alias("phrase"), *columns) for s in states[1:]]
+    state, totals, spent = materialize(once.groupBy("part").applyInArrow(_begun, STATE), "pieces"), [], []
+    for size in range(2, longest + 1):
+        asked = state.where(F.col("kind") != _SEGMENT).select("part", F.col("text").alias("key"), "n", (F.col("kind") == _QUIET).alias("quiet")).repartition("key")
+        answers = materialize(asked.mapInArrow(_answered(least, memory), "part long, key string, f long, own boolean"), "answers")
+        totals.append(answers.where("own").select("part", "key", "f"))
+        spent.append(answers)
+        before = state
+        if size < longest:
+            segments = before.where(F.col("kind") == _SEGMENT).select("part", "lang", "text", "n")
+            state = materialize(segments.groupBy("part").cogroup(answers.select("part", "key").groupBy("part")).applyInArrow(_step(size), STATE), "phrases")
+        discard(before)
     union = lambda tables: tables[0] if len(tables) == 1 else tables[0].union(union(tables[1:]))
-    return union(of(_CANDIDATE, "a", "l", "r", "n", "score")), union(of(_COVERED))
+    phrases = F.substring_index("key", "\n", -1).contains(" ")
+    owned = union([totals[0].where(phrases), *totals[1:]])
+    asked = owned.select("part", "key").mapInArrow(_asked, "part long, key string").distinct()
+    known = asked.join(union(totals).select("key", "f"), "key").select("part", "key", "f")
+    done = materialize(owned.groupBy("part").cogroup(known.groupBy("part")).applyInArrow(_owned, SCORED), "scored")
+    discard(*spent)
+    return done.where(F.col("kind") == _CANDIDATE).drop("kind"), done.where(F.col("kind") == _COVERED).select("lang", "phrase")
 
 
 def collocations(docs: DataFrame, top: int = TOP, longest: int = LONGEST, least: int = LEAST, part_bytes: int = PART_BYTES) -> DataFrame:
