@@ -1,15 +1,16 @@
 """Phrases whose words go together, from exact counts.
 
 Texts become pieces, and equal pieces one row with a multiplicity, dealt into parts of bounded size. Phrases are counted by length, from
-single words and pairs on: each part counts those that can still be frequent and asks their buckets for the totals; a bucket, which DuckDB
-adds up out of core, answers the parts that asked, and only of frequent phrases. A part keeps the runs of words in which all phrases so
-far are frequent. (That most words are frequent makes it cheaper to count all pairs than to tell every part which words are.) The least part that asked for a phrase owns it. In the end every part asks once for each text that a phrase of its own
+single words and pairs on: each part counts those that can still be frequent and asks their buckets for the totals, one row a part and
+bucket; a bucket, which DuckDB adds up out of core, answers with a bit for each text asked, set where it is frequent. A part keeps the runs
+of words in which all phrases so far are frequent. (That most words are frequent makes it cheaper to count all pairs than to tell every part which words are.) The least part that asked for a phrase owns it. In the end every part asks once for each text that a phrase of its own
 can be cut into, the totals come to it, and there its phrases are scored. Phrases are compared as texts, never by a hash.
 """
 
 from __future__ import annotations
 
 import tempfile
+import zlib
 
 import duckdb
 import numpy as np
@@ -22,8 +23,8 @@ from .common import discard, materialize
 
 #: Most words of a phrase, least count of one, and phrases returned per language.
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Bytes of text that make a part; memory of a bucket, beyond which DuckDB spills into a folder that goes with the task.
-PART_BYTES, BUCKET_MEMORY = 1 << 23, "256MB"
+#: Bytes of text that make a part; buckets at most, and memory of one, beyond which DuckDB spills into a folder that goes with the task.
+PART_BYTES, BUCKETS, BUCKET_MEMORY = 1 << 23, 1 << 16, "256MB"
 #: A-Z to a-z, everything that ends a piece to a line end, tabs to spaces.
 _PLAIN = bytearray(range(256))
 _PLAIN[65:91] = bytes(range(97, 123))
@@ -32,8 +33,9 @@ for _c in b".,;:!?\x0b\x0c\x0d":
 _PLAIN[9] = 32
 _PLAIN = bytes(_PLAIN)
 _SEGMENT, _COUNT, _QUIET = range(3)
-#: What parts write. Segments: lang, text, n (times). Counts: text is the key, n. Quiet counts are answered to their owner alone.
-STATE = "kind int, part long, lang string, text string, n long"
+#: What parts write. Segments: lang, text, n (times). Counts: the keys of one bucket and how often each occurs. Quiet counts are not answered.
+STATE = "kind int, part long, lang string, text string, n long, bucket int, keys array<string>, ns array<long>"
+ANSWER = "part long, bucket int, mask binary, key string, f long"
 SCORED = "kind int, lang string, phrase string, a long, l long, r long, n long, score long"
 _CANDIDATE, _COVERED = range(2)
 
@@ -99,30 +101,38 @@ class Runs:
     def text(self, at: int, size: int) -> bytes:
         return self.raw[self.begins[at] : self.ends[at + size - 1]]
 
-    def keys(self, first: np.ndarray, size: int) -> pa.Array:
-        """Language, line end and text of the phrases that begin at these places."""
-        heads, raw, out = [x.encode() + b"\n" for x in self.names], self.raw, []
+    def keys(self, first: np.ndarray, size: int) -> tuple[pa.Array, np.ndarray]:
+        """Language, line end and text of the phrases that begin at these places, and a hash of each."""
+        heads, raw, out, hashes = [x.encode() + b"\n" for x in self.names], self.raw, [pa.array([], pa.large_binary())], [np.zeros(0, dtype=np.int64)]
         for a in range(0, len(first), 1 << 16):
             f = first[a : a + (1 << 16)]
-            of = zip(self.lang[self.row[f]].tolist(), self.begins[f].tolist(), self.ends[f + size - 1].tolist(), strict=True)
-            out.append(pa.array([heads[g] + raw[x:y] for g, x, y in of], pa.large_binary()))
-        return pa.concat_arrays(out) if out else pa.array([], pa.large_binary())
+            keys = [heads[g] + raw[x:y] for g, x, y in zip(self.lang[self.row[f]].tolist(), self.begins[f].tolist(), self.ends[f + size - 1].tolist(), strict=True)]
+            out.append(pa.array(keys, pa.large_binary()))
+            hashes.append(np.fromiter(map(zlib.crc32, keys), dtype=np.int64, count=len(keys)))
+        return pa.concat_arrays(out), np.concatenate(hashes)
 
     def counts(self, size: int):
-        """Keys and counts of the phrases of so many words; with single words, each language's words in all, under its key without a text."""
+        """Keys, hashes and counts of the phrases of so many words; with single words, each language's words in all, under its key without a text."""
         at, code, first = self.phrases(size)
         n = np.bincount(code, weights=self.m[self.row[at]], minlength=len(first)).astype(np.int64)
-        keys = self.keys(first, size)
+        keys, hashes = self.keys(first, size)
         if size == 1 and len(first):
             total = np.bincount(self.lang[self.row], weights=self.m[self.row], minlength=len(self.names)).astype(np.int64)
-            keys = pa.concat_arrays([keys, pa.array([x.encode() + b"\n" for x in self.names], pa.large_binary())])
-            n = np.concatenate((n, total))
-        return keys, n
+            heads = [x.encode() + b"\n" for x in self.names]
+            keys, n = pa.concat_arrays([keys, pa.array(heads, pa.large_binary())]), np.concatenate((n, total))
+            hashes = np.concatenate((hashes, [zlib.crc32(x) for x in heads]))
+        return keys, hashes, n
 
-    def kept(self, size: int, answers: pa.Array):
-        """Runs of two and more phrases of so many words, each of them answered: language, text and times, equal ones together."""
+    def kept(self, size: int, buckets: int, masks: dict[int, bytes]):
+        """Runs of two and more phrases of so many words, each of them answered by a bit of its bucket's mask: language, text and times, equal ones together."""
         at, code, first = self.phrases(size)
-        yes = pc.is_in(self.keys(first, size), value_set=answers).to_numpy(zero_copy_only=False)
+        yes, bucket = np.zeros(len(first), dtype=bool), self.keys(first, size)[1] % buckets
+        order, edges = _dealt(bucket)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            mask = masks.get(int(bucket[order[a]]))
+            if mask is not None:
+                bits = np.unpackbits(np.frombuffer(mask, dtype=np.uint8), bitorder="little")[: b - a].astype(bool)
+                yes[order[a : a + len(bits)][bits]] = True
         on = at[yes[code]] if len(at) else at
         new = np.ones(len(on), dtype=bool)
         new[1:] = (on[1:] != on[:-1] + 1) | (self.row[on[1:]] != self.row[on[:-1]])
@@ -136,23 +146,42 @@ class Runs:
         return pa.array(self.names, pa.string()).take(table.column("lang").combine_chunks()), table.column("text").combine_chunks(), table.column("m_sum").to_numpy()
 
 
-def _state(kind: int, part, lang, text, n) -> pa.Table:
-    """Rows of STATE."""
-    rows = len(text)
-    lang = pa.nulls(rows, pa.string()) if lang is None else pa.array(lang).cast(pa.string())
-    return pa.table({"kind": pa.repeat(pa.scalar(kind, pa.int32()), rows), "part": pa.repeat(part.cast(pa.int64()), rows), "lang": lang, "text": pa.array(text).cast(pa.string()), "n": pa.array(n).cast(pa.int64())})
+def _dealt(bucket: np.ndarray):
+    """The order of things by bucket, their own order within one, and where each bucket begins in it."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    return order, np.concatenate((np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))), [len(order)])) if len(order) else np.zeros(1, dtype=np.int64)
 
 
-def _counts(runs: Runs, size: int, part) -> pa.Table:
-    keys, n = runs.counts(size)
-    return _state(_COUNT if size > 1 else _QUIET, part, None, keys, n)
+_TYPES = {"kind": pa.int32(), "part": pa.int64(), "lang": pa.string(), "text": pa.string(), "n": pa.int64(), "bucket": pa.int32(), "keys": pa.list_(pa.string()), "ns": pa.list_(pa.int64())}
 
 
-def _begun(given: pa.Table) -> pa.Table:
+def _state(kind: int, part, rows: int, **columns) -> pa.Table:
+    """Rows of STATE; columns not given are null."""
+    given = {"kind": pa.repeat(kind, rows), "part": pa.repeat(part, rows)} | columns
+    return pa.table({c: pa.array(given[c]).cast(t) if c in given else pa.nulls(rows, t) for c, t in _TYPES.items()})
+
+
+def _segments(part, lang, text, n) -> pa.Table:
+    return _state(_SEGMENT, part, len(text), lang=lang, text=text, n=n)
+
+
+def _counts(runs: Runs, size: int, part, buckets: int) -> pa.Table:
+    keys, hashes, n = runs.counts(size)
+    order, edges = _dealt(hashes % buckets)
+    lists = lambda values: pa.ListArray.from_arrays(edges.astype(np.int32), values.take(pa.array(order)))
+    first = order[edges[:-1]] if len(order) else order
+    return _state(_COUNT if size > 1 else _QUIET, part, len(edges) - 1, bucket=(hashes % buckets)[first], keys=lists(keys.cast(pa.string())), ns=lists(pa.array(n)))
+
+
+def _begun(buckets: int):
     """A part at first: its pieces, and counts of its words and pairs."""
-    part = given.column("part")[0]
-    runs = Runs(given.column("lang"), given.column("piece"), given.column("m").to_numpy())
-    return pa.concat_tables([_state(_SEGMENT, part, *(given.column(c).combine_chunks() for c in ("lang", "piece", "m"))), _counts(runs, 1, part), _counts(runs, 2, part)])
+    def run(given: pa.Table) -> pa.Table:
+        part, columns = given.column("part")[0], [given.column(c).combine_chunks() for c in ("lang", "piece", "m")]
+        runs = Runs(*columns)
+        return pa.concat_tables([_segments(part, *columns), _counts(runs, 1, part, buckets), _counts(runs, 2, part, buckets)])
+
+    return run
 
 
 def scored(key: bytes, total) -> tuple[int, int, int, int, int]:
@@ -203,34 +232,52 @@ def _owned(own: pa.Table, totals: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(x, types[t]) for (c, t), x in zip((x.split() for x in SCORED.split(", ")), columns, strict=True)})
 
 
-def _step(size: int):
+def _step(size: int, buckets: int):
     """With the answers on phrases of size words: what is left of a part's segments, and counts of phrases one word longer."""
     def run(given: pa.Table, answers: pa.Table) -> pa.Table:
         part = (given if len(given) else answers).column("part")[0]
         if len(given):
-            keys = answers.column("key").combine_chunks().cast(pa.large_binary())
-            lang, text, m = Runs(given.column("lang"), given.column("text"), given.column("n").to_numpy()).kept(size, keys)
+            masks = dict(zip(answers.column("bucket").to_pylist(), answers.column("mask").to_pylist(), strict=True))
+            lang, text, m = Runs(given.column("lang"), given.column("text"), given.column("n").to_numpy()).kept(size, buckets, masks)
             if len(text):
-                return pa.concat_tables([_state(_SEGMENT, part, lang, text, m), _counts(Runs(lang, text, m), size + 1, part)])
-        return _state(_SEGMENT, part, [], [], []).slice(0, 0)
+                return pa.concat_tables([_segments(part, lang, text, m), _counts(Runs(lang, text, m), size + 1, part, buckets)])
+        return _state(_SEGMENT, part, 0)
 
     return run
 
 
 def _answered(least: int, memory: str):
-    """A bucket: totals of its keys over all parts, sent back to each part that asked, where they reach least. The least part that asked owns the key."""
+    """Buckets: totals of their keys over all parts. For each part and bucket a mask of the keys that reach least, and for each such key one row with its total, for the least part that asked, which owns it."""
     def run(batches):
         with tempfile.TemporaryDirectory(prefix="bucket-") as folder, duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": folder, "preserve_insertion_order": False}) as con:
-            con.execute("create table asked(part bigint, key varchar, n bigint, quiet boolean)")
+            con.execute("create table asked(part bigint, bucket int, quiet boolean, pos int, key varchar, n bigint)")
             for b in batches:
-                con.register("batch", pa.Table.from_batches([b]))
-                con.execute("insert into asked select part, key, n, quiet from batch")
-                con.unregister("batch")
-            found = con.execute(
-                "select part, key, f, part = least_part as own from asked join (select key, sum(n)::bigint as f, min(part) as least_part from asked group by key having sum(n) >= ? or ends_with(key, chr(10))) using (key) where not quiet or part = least_part", [least])
+                for a in range(0, b.num_rows, 64):
+                    some = b.slice(a, 64)
+                    keys, ns, size = some.column("keys"), some.column("ns"), some.column("keys").value_lengths().to_numpy()
+                    of = pa.array(np.repeat(np.arange(some.num_rows), size))
+                    pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+                    con.register("batch", pa.table({"part": some.column("part").take(of), "bucket": some.column("bucket").take(of), "quiet": some.column("quiet").take(of), "pos": pos.astype(np.int32), "key": keys.flatten(), "n": ns.flatten()}))
+                    con.execute("insert into asked select part, bucket, quiet, pos, key, n from batch")
+                    con.unregister("batch")
+            con.execute("create table total as select key, sum(n)::bigint as f, min(part) as part, min(bucket) as bucket from asked group by key having sum(n) >= ? or ends_with(key, chr(10))", [least])
+
+            def rows(part, bucket, mask, key, f):
+                return pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(bucket, pa.int32()), pa.array(mask, pa.binary()), pa.array(key, pa.string()), pa.array(f, pa.int64())], names=["part", "bucket", "mask", "key", "f"])
+
+            found = con.execute("select part, bucket, key, f from total")
             while chunk := found.fetchmany(1 << 16):
-                part, key, f, own = zip(*chunk, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(key, pa.string()), pa.array(f, pa.int64()), pa.array(own, pa.bool_())], names=["part", "key", "f", "own"])
+                part, bucket, key, f = zip(*chunk, strict=True)
+                yield rows(part, bucket, [None] * len(part), key, f)
+            found = con.execute("select asked.part, asked.bucket, list(pos) as at from asked join total using (key) where not quiet group by 1, 2")
+            while chunk := found.fetchmany(256):
+                masks = []
+                for _, _, at in chunk:
+                    bits = np.zeros(max(at) + 1, dtype=np.uint8)
+                    bits[at] = 1
+                    masks.append(np.packbits(bits, bitorder="little").tobytes())
+                part, bucket, _ = zip(*chunk, strict=True)
+                yield rows(part, bucket, masks, [None] * len(part), [None] * len(part))
 
     return run
 
@@ -239,18 +286,20 @@ def candidates(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part
     """All phrases of 2 to longest words found least times or more in their language (lang, phrase, a, l, r, n, score), and those that occur only inside a longer one (lang, phrase)."""
     given = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     parts = max(1, -(-(given.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // part_bytes))
+    buckets = min(parts, BUCKETS)
     cut = given.mapInArrow(_cut, "lang string, piece string, m long").withColumn("part", F.pmod(F.xxhash64("lang", "piece"), F.lit(parts)))
-    once = cut.groupBy("part", "lang", "piece").agg(F.sum("m").alias("m")) if parts == 1 else cut.repartition("part").groupBy("part", "lang", "piece").agg(F.sum("m").alias("m"))
-    state, totals, spent = materialize(once.groupBy("part").applyInArrow(_begun, STATE), "pieces"), [], []
+    once = cut.repartition("part").groupBy("part", "lang", "piece").agg(F.sum("m").alias("m"))
+    state, totals, spent = materialize(once.groupBy("part").applyInArrow(_begun(buckets), STATE), "pieces"), [], []
     for size in range(2, longest + 1):
-        asked = state.where(F.col("kind") != _SEGMENT).select("part", F.col("text").alias("key"), "n", (F.col("kind") == _QUIET).alias("quiet")).repartition("key")
-        answers = materialize(asked.mapInArrow(_answered(least, memory), "part long, key string, f long, own boolean"), "answers")
-        totals.append(answers.where("own").select("part", "key", "f"))
+        asked = state.where(F.col("kind") != _SEGMENT).select("part", "bucket", "keys", "ns", (F.col("kind") == _QUIET).alias("quiet")).repartition("bucket")
+        answers = materialize(asked.mapInArrow(_answered(least, memory), ANSWER), "answers")
+        totals.append(answers.where("key is not null").select("part", "key", "f"))
         spent.append(answers)
         before = state
         if size < longest:
             segments = before.where(F.col("kind") == _SEGMENT).select("part", "lang", "text", "n")
-            state = materialize(segments.groupBy("part").cogroup(answers.select("part", "key").groupBy("part")).applyInArrow(_step(size), STATE), "phrases")
+            masks = answers.where("mask is not null").select("part", "bucket", "mask")
+            state = materialize(segments.groupBy("part").cogroup(masks.groupBy("part")).applyInArrow(_step(size, buckets), STATE), "phrases")
         discard(before)
     union = lambda tables: tables[0] if len(tables) == 1 else tables[0].union(union(tables[1:]))
     phrases = F.substring_index("key", "\n", -1).contains(" ")
