@@ -183,7 +183,7 @@ def browse_lists(rated: DataFrame, playlists: DataFrame) -> DataFrame:
     cut = lambda df, name, by, n: df.orderBy(*by).limit(n).select(F.lit(name).alias("list"), (F.row_number().over(Window.orderBy(*by)) - 1).alias("pos"), "seq")
     recent = cut(rated.where("last_played > 0"), "recent", (F.desc("last_played"), F.col("seq")), BROWSE["recent"])
     loved = cut(rated.where("rating >= 4"), "loved", (F.col("seq"),), BROWSE["loved"])
-    own = playlists.join(rated.select("seq"), "seq").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("pos")) - 1).where(F.col("rn") < BROWSE["playlist"])
+    own = playlists.join(rated.select("seq"), "seq").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("pos"))).where(F.col("rn") <= BROWSE["playlist"]).withColumn("rn", F.col("rn") - 1)
     return recent.union(loved).union(own.select(F.concat(F.lit("pl:"), F.col("id").cast("string")), "rn", "seq"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from earshot.functions.text import is_missing
 from earshot.operators.recommend import artist_of, beside_total
-from earshot.operators.vectors import EPSILON, cosine, dot, fold_bpm
+from earshot.operators.vectors import EPSILON, cosine, described, dot, fold_bpm, one_row, similar
 
 # Names of the dimensions, words for what is high or low in them, events of a cold start, seconds that count as just
 # played, the share of a token that names a cluster, likeness of two clusters taken for one, and the draw of a next track.
@@ -28,15 +28,21 @@ HEAT, EXPLORED = 0.3, 0.12
 
 
 def l2_normalised(v) -> Column:
-    """A vector at length 1; one without length stays."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > EPSILON, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    """A vector at length 1; one without length stays. The vector and its length are bound once, by a list of one: inside the inner function they would be computed for every number."""
+    v = F.transform(F.array(v), lambda x: F.struct(F.transform(x, lambda y: y.cast("double")).alias("v")))
+    v = F.transform(v, lambda x: F.struct(x["v"].alias("v"), F.sqrt(dot(x["v"], x["v"])).alias("n")))
+    return F.get(F.transform(v, lambda x: F.when(x["n"] > EPSILON, F.transform(x["v"], lambda y: y / x["n"])).otherwise(x["v"])), F.lit(0))
+
+
+def _first(t: DataFrame, name: str, by, n: int) -> DataFrame:
+    """The first n rows of each group with their places from 0. The filter is on row_number itself, so that every task cuts its own rows before they meet."""
+    return t.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= n).withColumn(name, F.col("_rn") - 1).drop("_rn")
 
 
 def fingerprints(raw: DataFrame) -> DataFrame:
     """Raw vectors (id, v, ...) as fingerprints: every dimension by its distance from the library's mean in deviations (0 where there is none), at length 1.
 
-    They depend on the whole library, so they are computed anew for all of it: see due_for_renormalising().
+    They depend on the whole library, so they are computed anew for all of it; operators/moments.py keeps them up as it grows.
     """
     long = raw.select(F.posexplode("v").alias("dim", "x")).groupBy("dim").agg(F.avg("x").alias("m"), F.when(F.count("x") > 1, F.stddev_samp("x")).otherwise(1.0).alias("s"))
     one = long.agg(F.sort_array(F.collect_list(F.struct("dim", "m", "s"))).alias("ms"))  # a row of as many numbers as there are dimensions
@@ -45,11 +51,6 @@ def fingerprints(raw: DataFrame) -> DataFrame:
     return t.withColumn("v", l2_normalised("v"))
 
 
-def due_for_renormalising(tracks: int, at_last: int) -> bool:
-    """Whether a library has grown by more than a tenth since its fingerprints were computed."""
-    return tracks > at_last * 1.1
-
-
 def phrase(name, value) -> Column:
     """A word for a dimension that stands out, by its name and the sign of its value; null where there is none."""
     c = lambda x: F.col(x) if isinstance(x, str) else x
@@ -81,7 +82,7 @@ def shown_scores(scores: DataFrame, events: DataFrame) -> DataFrame:
 
 def explained(vectors: DataFrame, centroids: DataFrame, saturate: float = 3.0, dislike: float = 0.8) -> DataFrame:
     """id, score, side, centroid, descriptors and text of vectors (id, v, bpm) against centroids (side 1 or -1, centroid, v, mass, bpm): the side whose best centroid is nearer explains the score."""
-    one = centroids.agg(F.collect_list(F.struct("side", "centroid", F.col("v").alias("c"), "mass", F.col("bpm").alias("b"))).alias("cs"))
+    one = one_row(centroids.select("side", "centroid", F.col("v").alias("c"), "mass", F.col("bpm").alias("b")), "side", "centroid", "c", "mass", "b")
     t = vectors.select("id", "v", "bpm").join(F.broadcast(one), F.lit(True))
     best = lambda side: F.array_max(F.transform(F.filter("cs", lambda x: x["side"] == side), lambda x: F.struct((cosine(F.col("v"), x["c"]) * x["mass"] / (x["mass"] + saturate)).alias("s"), (-x["centroid"]).alias("o"), x["c"].alias("c"), x["b"].alias("b"))))
     t = t.withColumns({"p": best(1), "n": best(-1)}).drop("cs")
@@ -105,10 +106,29 @@ def _heard(events: DataFrame, now: int) -> DataFrame:
 
 def ranked_by(vectors: DataFrame, centroids: DataFrame, name: str, n: int) -> DataFrame:
     """For each centroid (name, c) the n vectors most like it: name, pos from 0, id, sim. Each task cuts its own best first."""
-    one = centroids.agg(F.collect_list(F.struct(F.col(name).alias("k"), F.col("c").alias("c"))).alias("cs"))
+    one = one_row(centroids.select(F.col(name).alias("k"), "c"), "k", "c")
     t = vectors.select("id", "v").join(F.broadcast(one), F.lit(True)).select("id", "v", F.explode("cs").alias("x")).select(F.col("x.k").alias(name), "id", cosine("v", "x.c").alias("sim"))
     by = Window.partitionBy(name).orderBy(F.desc("sim"), "id")
-    return t.withColumn("pos", F.row_number().over(by) - 1).where(F.col("pos") < n)
+    return _first(t, "pos", by, n)
+
+
+def fused_lanes(vectors: DataFrame, rated: DataFrame, seeds: int = 3, n: int = 30, least: int = 4) -> DataFrame:
+    """seed, pos, id: what sounds like each of the most loved tracks (rated: id, plays, rating), which are those played or rated high, by plays and rating. A lane of fewer than least tracks is none."""
+    loved = rated.where((F.col("plays") > 0) | (F.col("rating") >= 4)).withColumn("by", F.col("plays") + F.col("rating")).join(vectors.select("id", F.col("v").alias("c")), "id")
+    top = loved.orderBy(F.desc("by"), "id").limit(seeds).select(F.col("id").alias("seed"), "c")
+    lanes = ranked_by(vectors, top, "seed", n + 1).where("id <> seed").select("seed", "id", "sim")
+    lanes = _first(lanes, "pos", Window.partitionBy("seed").orderBy(F.desc("sim"), "id"), n)
+    return lanes.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("seed"))).where(F.col("size") >= least).select("seed", "pos", "id")
+
+
+def similar_unheard(vectors: DataFrame, to: int, events: DataFrame, now: int, n: int) -> DataFrame:
+    """id, sim: the n vectors most like one of them, but for those heard just now."""
+    return similar(vectors.join(_heard(events, now).where(F.col("id") != to), "id", "left_anti"), to, n)
+
+
+def described_by_name(vectors: DataFrame, weights: dict[str, float], n: int, bpm_min: float = 0, bpm_max: float = 0) -> DataFrame:
+    """id, sim: the n vectors that point most the way of named features; names that nobody knows count for nothing."""
+    return described(vectors, {FEATURES.index(k): w for k, w in weights.items() if k in FEATURES}, n, bpm_min, bpm_max)
 
 
 def station_tracks(vectors: DataFrame, centroids: DataFrame, events: DataFrame, now: int, n: int) -> DataFrame:
@@ -135,8 +155,9 @@ def cluster_names(assigned: DataFrame, centroids: DataFrame, tokens: DataFrame)
 
 def representatives(assigned: DataFrame, centroids: DataFrame, n: int = 9) -> DataFrame:
     """cluster, pos, id: the members (id, cluster, v) most like their own centroid (cluster, c), which are few."""
-    t = assigned.join(F.broadcast(centroids), "cluster").select("cluster", "id", cosine("v", "c").alias("sim"))
-    return t.withColumn("pos", F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("sim"), "id")) - 1).where(F.col("pos") < n).select("cluster", "pos", "id")
+    own = F.broadcast(one_row(centroids, "cluster", "c")).select(F.explode("cs").alias("x")).select("x.cluster", "x.c")
+    t = assigned.join(own, "cluster").select("cluster", "id", cosine("v", "c").alias("sim"))
+    return _first(t, "pos", Window.partitionBy("cluster").orderBy(F.desc("sim"), "id"), n).select("cluster", "pos", "id")
 
 
 def kept_ids(new: DataFrame, old: DataFrame, next_id: int) -> DataFrame:
@@ -156,12 +177,12 @@ def kept_ids(new: DataFrame, old: DataFrame, next_id: int) -> DataFrame:
 
 def genre_mixes(vectors: DataFrame, centroids: DataFrame, scores: DataFrame, events: DataFrame, now: int, per: int) -> DataFrame:
     """cluster, pos, id: each track not heard just now falls to its nearest cluster (cluster, c); of a cluster's tracks the per best by score (id, score), or by nearness in a cold start."""
-    one = centroids.agg(F.sort_array(F.collect_list(F.struct("cluster", "c"))).alias("cs"))
+    one = one_row(centroids, "cluster", "c")
     near = F.array_max(F.transform("cs", lambda x: F.struct(cosine(F.col("v"), x["c"]).alias("sim"), (-x["cluster"]).alias("o"))))
     t = vectors.join(_heard(events, now), "id", "left_anti").join(F.broadcast(one), F.lit(True)).select("id", near.alias("b")).select("id", (-F.col("b.o")).alias("cluster"), F.col("b.sim").alias("sim"))
     t = t.join(scores, "id", "left").join(F.broadcast(events.agg(F.count(F.lit(1)).alias("heard"))), F.lit(True))
     by = Window.partitionBy("cluster").orderBy(F.desc(F.when(F.col("heard") < COLD, F.col("sim")).otherwise(F.coalesce("score", F.lit(0.0)))), "id")
-    return t.withColumn("pos", F.row_number().over(by) - 1).where(F.col("pos") < per).select("cluster", "pos", "id")
+    return _first(t, "pos", by, per).select("cluster", "pos", "id")
 
 
 def round_robin(lists: DataFrame, n: int) -> DataFrame:

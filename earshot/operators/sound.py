@@ -111,9 +111,9 @@ def merged_centroids(centroids: DataFrame, by: str) -> DataFrame:
     """by, v, bpm, mass of groups of centroids (by, v, bpm, mass): means by mass, at length 1."""
     long = centroids.select(by, "mass", F.posexplode("v").alias("dim", "x")).groupBy(by, "dim").agg((F.sum(F.col("x") * F.col("mass")) / F.sum("mass")).alias("x"))
     v = long.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("v"))
-    n = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rest = centroids.groupBy(by).agg((F.sum(F.col("bpm") * F.col("mass")) / F.sum("mass")).alias("bpm"), F.sum("mass").alias("mass"))
-    return v.select(by, F.transform("v", lambda x: x / n).alias("v")).join(rest, by)
+    bound = F.array(F.struct("v", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("n")))
+    return v.select(by, F.get(F.transform(bound, lambda e: F.transform(e["v"], lambda x: x / e["n"])), F.lit(0)).alias("v")).join(rest, by)
 
 
 def band_frames(seconds: DataFrame, bands: int = 12, rate: int = 4000) -> DataFrame:

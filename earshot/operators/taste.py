@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from earshot.functions.text import camelot_distance
+from earshot.operators.clusters import auto_clusters as auto_clusters
 from earshot.operators.recommend import EVENT_WEIGHTS
-from earshot.operators.vectors import cosine, dot, fold_bpm
+from earshot.operators.vectors import cosine, dot, fold_bpm, one_row
 
 # Tonal profiles of major and minor keys from C, the wheel's numbers of their roots, and note names.
 MAJOR = [6.35, 2.23, 3.48, 2.33, 4.38, 4.09, 2.52, 5.19, 2.39, 3.66, 2.29, 2.88]
@@ -25,6 +26,9 @@ WHEEL_MAJOR = [8, 3, 10, 5, 12, 7, 2, 9, 4, 11, 6, 1]
 WHEEL_MINOR = [5, 12, 7, 2, 9, 4, 11, 6, 1, 8, 3, 10]
 NOTES = ["C", "C#", "D", "D#", "E", "F", "F#", "G", "G#", "A", "A#", "B"]
 
+# Confidence without a margin and what a margin adds, and the fastest tempo that doubling gives.
+SURE, SURER, MOST_BPM = 0.35, 2.0, 240.0
+
 # Genre prototypes as subgenre, genre, bpm, tolerance, targets (low, onset, bright, atonal, flat, zcr, steady; None is any), weight of the tempo.
 PROTOTYPES = [
     ("Deep House", "Electronic", 122.0, 7.0, 0.55, 0.45, 0.40, 0.30, None, None, 0.75, 1.0),
@@ -66,7 +70,7 @@ def musical_keys(chroma: DataFrame) -> DataFrame:
 
 
 def genres(features: DataFrame) -> DataFrame:
-    """id, bpm and the seven features in 0 to 1, to id, genre, subgenre, score, octave (the multiple of bpm that fits)."""
+    """id, bpm and the seven features in 0 to 1, to id, genre, subgenre, score, octave (the multiple of bpm that fits), confidence (by the margin to the second best) and bpm, doubled where the genre is one of twice that tempo."""
     spark = features.sparkSession
     schema = "subgenre string, genre string, p_bpm double, tol double, " + ", ".join(f"p_{t} double" for t in TARGETS) + ", w double"
     t = features.join(F.broadcast(spark.createDataFrame(PROTOTYPES, schema)), F.lit(True))
@@ -76,8 +80,11 @@ def genres(features: DataFrame) -> DataFrame:
     octave = F.when(F.col("bpm") <= 0, 1.0).when((F.col("double") > F.col("one")) & (F.col("double") >= F.col("half")), 2.0).when((F.col("half") > F.col("one")) & (F.col("half") >= F.col("double")), 0.5).otherwise(1.0)
     fits = F.array_compact(F.array(*[F.when(F.col(f"p_{k}").isNotNull(), F.greatest(F.lit(0.0), 1 - F.abs(F.col(k) - F.col(f"p_{k}")))) for k in TARGETS]))
     score = (F.col("w") * tempo + F.aggregate(fits, F.lit(0.0), lambda s, x: s + x) / F.size(fits)) / (F.col("w") + 1)
-    top = t.select("id", F.struct(F.round(score, 9).alias("score"), "subgenre", "genre", octave.alias("octave")).alias("x")).groupBy("id").agg(F.max("x").alias("x"))
-    return top.select("id", "x.genre", "x.subgenre", "x.score", "x.octave")
+    top = t.select("id", "bpm", F.struct(F.round(score, 9).alias("score"), "subgenre", "genre", octave.alias("octave")).alias("x")).groupBy("id", "bpm").agg(F.max("x").alias("x"), F.sort_array(F.collect_list("x.score"), asc=False).alias("scores"))
+    second = F.get("scores", F.lit(1))
+    margin = F.when(second > 0, F.greatest(F.lit(0.0), F.col("x.score") - second)).otherwise(F.col("x.score"))
+    twice = (F.col("x.octave") == 2.0) & (F.col("bpm") > 0) & (F.col("bpm") * 2 <= MOST_BPM)
+    return top.select("id", "x.genre", "x.subgenre", "x.score", "x.octave", F.greatest(F.lit(0.0), F.least(F.lit(1.0), SURE + SURER * margin)).alias("confidence"), F.when(twice, F.col("bpm") * 2).otherwise(F.col("bpm")).alias("bpm"))
 
 
 def transition_cost(va, bpm_a, vb, bpm_b) -> Column:
@@ -94,19 +101,9 @@ def transition_score(bpm_a, key_a, bpm_b, key_b) -> Column:
     return unit(0.45 * unit(1 - F.abs(ratio - 1) / 0.12) + 0.35 * unit(1 - camelot_distance(key_a, key_b) / 4.0) + 0.20)
 
 
-#: Centroids that a table may hold: they go to every task as one row.
-MOST_CENTROIDS = 10_000
-
-
-def _one_row(centroids: DataFrame, *fields: str) -> DataFrame:
-    """The centroids as one row, cs, in order of their fields; more than MOST_CENTROIDS are an error, as that row goes to every task."""
-    row = centroids.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("cs"))
-    return row.withColumn("cs", F.when(F.size("cs") <= MOST_CENTROIDS, F.col("cs")).otherwise(F.raise_error(F.lit("too many centroids"))))
-
-
 def taste_scores(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """id, score of vectors (id, v) against the listener's centroids (side 1 or -1, v, mass), of which there are 2 K at most."""
-    c = _one_row(centroids.select("side", F.col("v").alias("c"), "mass"), "side", "c", "mass")
+    c = one_row(centroids.select("side", F.col("v").alias("c"), "mass"), "side", "c", "mass")
     t = vectors.join(F.broadcast(c), F.lit(True))
     best = lambda side: F.coalesce(F.array_max(F.transform(F.filter("cs", lambda x: x["side"] == side), lambda x: cosine(F.col("v"), x["c"]) * x["mass"] / (x["mass"] + SATURATE))), F.lit(0.0))
     return t.select("id", (best(1) - DISLIKE * best(-1)).alias("score"))
@@ -114,14 +111,14 @@ def taste_scores(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def nearest(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """id, v, cluster, sim: the most similar of at most a few dozen centroids (cluster, c)."""
-    c = _one_row(centroids, "cluster", "c")
+    c = one_row(centroids, "cluster", "c")
     scored = F.transform("cs", lambda x: F.struct(cosine(F.col("v"), x["c"]).alias("sim"), (-x["cluster"]).alias("o")))
     return vectors.join(F.broadcast(c), F.lit(True)).withColumn("b", F.array_max(scored)).select("id", "v", (-F.col("b.o")).alias("cluster"), F.col("b.sim").alias("sim"))
 
 
 def silhouette(vectors: DataFrame, centroids: DataFrame) -> DataFrame:
     """One row: mean over vectors of how much nearer their own centroid is than the next one."""
-    c = _one_row(centroids, "c")
+    c = one_row(centroids, "c")
     d = F.sort_array(F.transform("cs", lambda x: 1 - cosine(F.col("v"), x["c"])))
     t = vectors.join(F.broadcast(c), F.lit(True)).select(d.alias("d"))
     own, other = F.get("d", F.lit(0)), F.get("d", F.lit(1))
@@ -133,8 +130,7 @@ def _means(assigned: DataFrame) -> DataFrame:
     """cluster, c: the mean direction of each cluster's members. Sums are per dimension, so a hot cluster is pre-aggregated."""
     m = assigned.select("cluster", F.posexplode("v").alias("dim", "x")).groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
     c = m.groupBy("cluster").agg(F.sort_array(F.collect_list(F.struct("dim", "x")))["x"].alias("c"))
-    n = F.sqrt(dot("c", "c"))
-    return c.select("cluster", F.when(n > 0, F.transform("c", lambda x: x / n)).otherwise(F.col("c")).alias("c"))
+    return c.withColumn("n", F.sqrt(dot("c", "c"))).select("cluster", F.get(F.transform(F.array(F.struct("c", "n")), lambda e: F.when(e["n"] > 0, F.transform(e["c"], lambda x: x / e["n"])).otherwise(e["c"])), F.lit(0)).alias("c"))
 
 
 def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 12, sample: int = 50) -> DataFrame:
@@ -163,15 +159,6 @@ def spherical_kmeans(vectors: DataFrame, k: int, rounds: int = 12, sample: int =
     return table(centres)
 
 
-def auto_clusters(vectors: DataFrame, least: int = 6, most: int = 16) -> DataFrame:
-    """Centroids (cluster, c) of the number of clusters, least to most, whose silhouette is best; of equal ones the fewer. None for fewer than two vectors."""
-    n = vectors.limit(most + 1).count()
-    if n < 2:
-        return vectors.sparkSession.createDataFrame([], "cluster int, c array<double>")
-    tried = [spherical_kmeans(vectors, k) for k in range(min(least, n - 1), min(most, n - 1) + 1)]
-    return max(tried, key=lambda c: silhouette(vectors, c).first()["silhouette"])
-
-
 class Model:
     """The centroids of one listener, in the order of events: a small fold with two lists of at most K vectors."""
 

@@ -6,6 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EPSILON = 1.1920929e-07
+#: Centroids that a table may hold: they go to every task as one row.
+MOST_CENTROIDS = 10_000
+
+
+def one_row(centroids: DataFrame, *fields: str) -> DataFrame:
+    """The centroids as one row, cs, in order of their fields; more than MOST_CENTROIDS are an error, as that row goes to every task."""
+    row = centroids.agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("cs"))
+    return row.withColumn("cs", F.when(F.size("cs") <= MOST_CENTROIDS, F.col("cs")).otherwise(F.raise_error(F.lit("too many centroids"))))
 
 
 def dot(a, b) -> Column:

@@ -90,7 +90,6 @@ QUERIES: dict = {
     "song_curves": lambda s, d: k.song_curves(tracks(s, d), tracks(s, d).where("seq % 5 = 0").select("seq", F.lit("pinned").alias("curve")), tracks(s, d).where("seq % 3 = 0").select("seq", F.lit("found").alias("curve")), "flat"),
     "device_curves": lambda s, d: k.device_curves(read(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("address"), F.concat(F.lit("p"), (F.col("s_suppkey") % 6).cast("string")).alias("preset")), read(s, d, "supplier").where("s_suppkey % 2 = 0").select(F.col("s_suppkey").cast("string").alias("address"), F.col("s_name").alias("name")), s.createDataFrame([("p1", "own"), ("p2", "own")], "preset string, curve string"), s.createDataFrame([("p2", "built"), ("p3", "built")], "preset string, curve string")),
     "devices_remembered": lambda s, d: k.remembered_devices(read(s, d, "nation").select((F.col("n_nationkey") % 20).cast("string").alias("address"), F.col("n_name").alias("name")).dropDuplicates(["address"]).select("address", F.lit("old").alias("name")), read(s, d, "nation").select((F.col("n_nationkey") % 7 + 15).cast("string").alias("address"), F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_name")).alias("name"), F.col("n_nationkey").alias("seq"))),
-    "presets_upserted": lambda s, d: k.upserted(_names(s, ("a", 1, 0), ("b", 2, 0), ("c", 3, 0)), _names(s, ("b", 20, 1), ("d", 40, 1), ("b", 21, 2)), "name", "seen").orderBy("name"),
     "lyrics_beside": lambda s, d: k.first_sidecar(tracks(s, d).select("path"), tracks(s, d).select(F.explode(F.array(F.struct(F.concat(F.substring_index("path", ".", 1), F.lit(".txt")).alias("file"), F.col("title").alias("content")), F.struct(F.concat(F.substring_index("path", ".", 1), F.lit(".lrc")).alias("file"), F.when(F.col("seq") % 2 == 0, "  ").otherwise("[00:01]x").alias("content")))).alias("e")).select("e.*"), ["lrc", "txt"]),
     "folder_covers": lambda s, d: k.folder_covers(tracks(s, d).select(F.concat(F.regexp_replace("path", "/[^/]*$", ""), F.lit("/"), F.when(F.col("seq") % 4 == 0, "FRONT.png").when(F.col("seq") % 4 == 1, "Cover.jpg").when(F.col("seq") % 4 == 2, "folder.webp").otherwise("notes.txt")).alias("file"))),
     "folder_list": lambda s, d: _folders(s, d),
@@ -150,7 +149,6 @@ ORACLE: dict[str, str] = {
     "song_curves": f"with {TRACKS} select seq, case when seq % 5 = 0 then 'pinned' when seq % 3 = 0 then 'found' else 'flat' end as curve, case when seq % 5 = 0 then 'pin' when seq % 3 = 0 then 'auto' else 'base' end as source from t",
     "device_curves": "select s_suppkey::varchar as address, case when s_suppkey % 2 = 0 then s_name else s_suppkey::varchar end as device, 'p' || s_suppkey % 6 as preset, case when s_suppkey % 6 in (1, 2) then 'own' else 'built' end as curve from supplier where s_suppkey % 6 in (1, 2, 3)",
     "devices_remembered": "with k as (select distinct (n_nationkey % 20)::varchar as address from nation), s as (select (n_nationkey % 7 + 15)::varchar as address, arg_max(n_name, n_nationkey) filter (n_nationkey % 3 <> 0) as new from nation group by 1) select coalesce(k.address, s.address) as address, coalesce(new, case when k.address is not null then 'old' end, '') as name from k full join s on k.address = s.address",
-    "presets_upserted": "select * from (values ('a', 1::bigint, 0::bigint), ('b', 21, 2), ('c', 3, 0), ('d', 40, 1)) v(name, value, seen)",
     "lyrics_beside": f"with {TRACKS} select path, case when seq % 2 = 0 then title else '[00:01]x' end as content from t",
     "folder_covers": f"""with {TRACKS}, i as (select regexp_replace(path, '/[^/]*$', '') as folder, (seq % 4)::int as m from t where seq % 4 <> 3), b as (select folder, min(case m when 2 then 1 when 0 then 2 else 3 end) as k from i group by folder)
       select folder, folder || '/' || ['folder.webp', 'FRONT.png', 'Cover.jpg'][k] as cover from b""",

@@ -18,10 +18,16 @@ def _rated(spark, d):
     return r.with_stats(tracks(spark, d), stats(spark, d))
 
 
+def _hardly(spark, d):
+    """Every fifth track as if it was played once at most and never skipped."""
+    fifth = F.col("seq") % 5 == 3
+    return _rated(spark, d).withColumns({"plays": F.when(fifth, F.col("seq") % 2).otherwise(F.col("plays")), "skips": F.when(fifth, 0).otherwise(F.col("skips"))})
+
+
 QUERIES: dict = {
     "blend_scores": lambda s, d: f.blend_scores(_rated(s, d), NOW).select("seq", "score"),
     **{f"smart_blend_{k}": (lambda s, d, k=k: f.smart_blend(_rated(s, d), NOW, 50, k).select("seq", "who", "score")) for k in f.EXPLORE},
-    "hidden_gems": lambda s, d: f.hidden_gems(_rated(s, d), NOW).select("seq", "title"),
+    "hidden_gems": lambda s, d: f.hidden_gems(_hardly(s, d), NOW).select("seq", "title"),
     "because_played": lambda s, d: f.because_played(_rated(s, d), NOW).select("seed", "seq", "score"),
     "discover_weekly": lambda s, d: f.discover_weekly(_rated(s, d).withColumn("plays", F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("plays"))), WEEK).select("seq", "turn"),
     "release_radar": lambda s, d: f.release_radar(_rated(s, d), NOW).select("seq", "turn"),
@@ -33,7 +39,7 @@ QUERIES: dict = {
     "artist_groups": lambda s, d: f.artist_groups(_rated(s, d)),
     "album_groups": lambda s, d: f.album_groups(_rated(s, d), 1),
     "year_in_review": lambda s, d: f.year_in_review(_rated(s, d)),
-    "deep_cuts": lambda s, d: f.deep_cuts(_rated(s, d).withColumn("plays", F.when(F.col("seq") % 3 == 0, 0).otherwise(F.col("plays")))).select("seq"),
+    "deep_cuts": lambda s, d: f.deep_cuts(_rated(s, d).withColumn("plays", F.when(F.col("seq") % 4 == 0, 0).otherwise(F.col("plays")))).select("seq"),
     "quick_picks": lambda s, d: f.quick_picks(_rated(s, d)),
     "fresh_familiar": lambda s, d: f.fresh_familiar(_rated(s, d)),
     "track_labels": lambda s, d: _rated(s, d).select(
@@ -71,6 +77,7 @@ def _sample(pool: str, n: int, seed: int, least: int) -> str:
 
 
 _TSZ = f"{TS.rsplit(', ts as', 1)[0]}, ts0 as {TS.rsplit('ts as ', 1)[1]}, ts as (select * replace (case when seq % 3 = 0 then 0 else plays end as plays) from ts0)"
+_TSH = f"{TS.rsplit(', ts as', 1)[0]}, ts0 as {TS.rsplit('ts as ', 1)[1]}, ts as (select * replace (case when seq % 5 = 3 then seq % 2 else plays end as plays, case when seq % 5 = 3 then 0 else skips end as skips) from ts0)"
 _LISTS = """liked as (select seq, row_number() over (order by seq) - 1 as pos from ts where rating >= 4 order by seq limit 60),
   played as (select seq, row_number() over (order by plays desc, seq) - 1 as pos from ts where plays > 0 order by plays desc, seq limit 60),
   added as (select seq, row_number() over (order by coalesce(mtime, 0) desc, seq) - 1 as pos from ts order by coalesce(mtime, 0) desc, seq limit 60)"""
@@ -78,7 +85,7 @@ _LISTS = """liked as (select seq, row_number() over (order by seq) - 1 as pos fr
 ORACLE: dict[str, str] = {
     "blend_scores": f"with {TS}, {_scores(1.0)} select seq, score from sc",
     **{f"smart_blend_{k}": f"with {TS}, {_scores(e)}, c as (select * from sc where score > 0.08::double), top as {_diverse(50, 3, 'c')} select seq, who, score from top" for k, e in f.EXPLORE.items()},
-    "hidden_gems": f"with {TS}, {_AFF} select seq, title from (select ts.*, {WHO} as who from ts) t left join an using (who) where plays <= 1 and skips = 0 and (rating >= 4 or a > 0.4::double) order by seq limit 40",
+    "hidden_gems": f"with {_TSH}, {_AFF} select seq, title from (select ts.*, {WHO} as who from ts) t left join an using (who) where plays <= 1 and skips = 0 and (rating >= 4 or a > 0.4::double) order by seq limit 40",
     "because_played": f"""with {TS}, {_scores(1.0)}, sd as (select who as seed from an order by a desc, who limit 1),
       sg as (select genre from ts, sd where {WHO} = seed and genre <> '' group by genre order by count(*) desc, min(seq) limit 1),
       c as (select seed, seq, who, score + case when who = seed then 0.15::double else 0 end as score from sc, sd where who = seed or genre = (select genre from sg)),
@@ -94,7 +101,7 @@ ORACLE: dict[str, str] = {
     "artist_groups": f"with {TS} select {WHO} as artist, count(*) as n, sum(plays)::bigint as plays from ts group by 1 having sum(plays) > 0 order by plays desc, 1 limit 12",
     "album_groups": f"with {TS} select {WHO} as artist, album, count(*) as n, sum(plays)::bigint as plays, arg_min(path, seq) as cover from ts group by {WHO}, album order by sum(plays) desc, arg_min(mtime, seq) desc, 1, album limit 20",
     "year_in_review": f"with {TS} select round(sum(duration * plays) / 60)::bigint as minutes, count(*) as played from ts where plays > 0 having count(*) >= 8",
-    "deep_cuts": f"with {_TSZ} select seq from ts where plays = 0 and {WHO} in (select {WHO} from ts where plays > 0)",
+    "deep_cuts": f"with {_TSZ.replace('seq % 3 = 0', 'seq % 4 = 0')} select seq from ts where plays = 0 and {WHO} in (select {WHO} from ts where plays > 0)",
     "quick_picks": f"with {TS}, {_LISTS} select seq, min(place)::bigint as place from (select seq, pos as place from liked union all select seq, 100 + pos from played union all select seq, 200 + pos from added) group by seq order by 2 limit 27",
     "fresh_familiar": f"""with {TS}, {_LISTS}, fav as (select seq, row_number() over (order by p) - 1 as pos from (select seq, pos as p from liked union all select seq, 100 + pos from played))
       select seq, min(place)::bigint as place from (select seq, 2 * pos as place from added where pos < 24 union all select seq, 2 * pos + 1 from fav where pos < 24) group by seq order by 2 limit 40""",

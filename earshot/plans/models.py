@@ -51,7 +51,8 @@ def _latest(df, *keys):
 QUERIES: dict = {
     "hand_overs": _hand_overs,
     "musical_keys": lambda s, d: m.musical_keys(fingerprints(s, d).select("id", F.slice("v", 1, 12).alias("chroma"))),
-    "track_genres": lambda s, d: m.genres(_features(s, d)),
+    "track_genres": lambda s, d: m.genres(_features(s, d)).drop("confidence", "bpm"),
+    "genre_confidence": lambda s, d: m.genres(_features(s, d)).select("id", "confidence", "bpm"),
     "taste_scores": lambda s, d: m.taste_scores(fingerprints(s, d), _centroids(s, d).select(F.when(F.col("cluster") % 2 == 0, 1).otherwise(-1).alias("side"), F.col("c").alias("v"), (F.col("cluster") + 1.0).alias("mass"))),
     "nearest_centroid": lambda s, d: m.nearest(fingerprints(s, d), _centroids(s, d)).drop("v"),
     "cluster_silhouette": lambda s, d: m.silhouette(fingerprints(s, d), _centroids(s, d)),
@@ -69,7 +70,7 @@ QUERIES: dict = {
     "stream_scan": lambda s, d: st.drain(stores.scanned(as_tracks(st.events_stream(s, f"{d}/part.parque[t]")).select("path", "mtime"), tracks(s, d).where("year < 1980").select("path", (F.col("mtime") + (F.col("seq") % 4 == 0).cast("int")).alias("mtime"))), scratch(s, "scan")).drop("batch"),
     "json_round_trip": lambda s, d: stores.from_json(stores.as_json(fingerprints(s, d).select("id", "bpm", "v"), "id"), "bpm double, v array<float>").select("id", "bpm", F.posexplode("v").alias("dim", "x")),
     "sections_exported": lambda s, d: stores.section_files(tracks(s, d).select("title", "artist", "path", F.col("duration").alias("length"), F.lit(120.0).alias("bpm"), F.lit(0.5).alias("first_beat"), F.array(F.struct(F.lit(0.0).alias("start"), F.lit(0.5).alias("end"), F.lit(1).alias("tier"), F.lit("A").alias("label"))).alias("sections"))).select("name", F.get_json_object("text", "$.path").alias("path"), F.get_json_object("text", "$.sections[0].endSec").cast("double").alias("end_sec")),
-    "media_rows": lambda s, d: stores.below(stores.media_rows(tracks(s, d).select("path", F.when(F.col("seq") % 3 == 0, "<unknown>").when(F.col("seq") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "artist")).alias("artist")), "artist"), "/lib/PROMO POLISHED NICKEL").withColumn("album", stores.folder_album("path")),
+    "media_rows": lambda s, d: stores.below(stores.media_rows(tracks(s, d).select("path", F.when(F.col("seq") % 3 == 0, "<unknown>").when(F.col("seq") % 3 == 1, "  ").otherwise(F.concat(F.lit(" "), "artist")).alias("artist")), "artist"), "/lib/PROMO").withColumn("album", stores.folder_album("path")),
     "settings_backup": lambda s, d: stores.backup(read(s, d, "nation").select(F.concat(F.when(F.col("n_nationkey") % 2 == 0, "our-").otherwise("x-"), "n_name").alias("key"), F.when(F.col("n_nationkey") % 3 != 0, F.col("n_nationkey").cast("string")).alias("value")), "our-"),
     "stream_model": lambda s, d: _latest(_stream(s, d, "model", lambda e: st.taste_model(e, fingerprints(s, d)), "update"), "user_id").select("user_id", "side", "centroid", "mass"),
     "bucket_counts": lambda s, d: st.bucket_means(listens(s, d), "6 hours"),
@@ -117,7 +118,7 @@ ORACLE: dict[str, str] = {
     "stream_scan": f"with {TRACKS} select path, mtime, case when year < 1980 and seq % 4 <> 0 then 'unchanged' else 'changed' end as state from t",
     "json_round_trip": "select vec_id as id, (60.0 + (vec_id * 7) % 140)::double as bpm, unnest(range(0, len(embedding)))::int as dim, unnest(embedding) as x from embeddings",
     "sections_exported": f"with {TRACKS} select regexp_replace(title, '[^\\w.-]+', '_', 'g') || '.sections.json' as name, path, duration * 0.5::double as end_sec from t",
-    "media_rows": f"with {TRACKS} select path, case when seq % 3 = 2 then artist end as artist, artist as album from t where starts_with(path, '/lib/PROMO POLISHED NICKEL/')",
+    "media_rows": f"with {TRACKS} select path, case when seq % 3 = 2 then artist end as artist, artist as album from t where starts_with(path, '/lib/PROMO/')",
     "settings_backup": "select 'our-' || n_name as key, n_nationkey::varchar as value from nation where n_nationkey % 2 = 0 and n_nationkey % 3 <> 0",
     "bucket_counts": "select (floor(epoch(ts))::bigint // 21600 * 21600)::bigint as start, user_id, avg(value) as mean, count(*) as n from events group by 1, 2",
 }

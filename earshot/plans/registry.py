@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from earshot.operators import catalogue as c
 from earshot.operators import recommend as r
 from earshot.operators import vectors as v
-from earshot.plans import described, details, edits, feed, mixes, models, series, upkeep
+from earshot.plans import described, details, edits, extras, feed, growth, indexes, mixes, models, series, upkeep
 from earshot.plans.sql import EVENTS as _E
 from earshot.plans.sql import NOW, WHO
 from earshot.plans.sql import PART as _PART
@@ -20,6 +20,12 @@ def _rated(spark, d):
     return r.with_stats(tracks(spark, d), stats(spark, d))
 
 
+def _hardly(spark, d):
+    """Every fifth track as if it was played once at most and never skipped."""
+    fifth = F.col("seq") % 5 == 3
+    return _rated(spark, d).withColumns({"plays": F.when(fifth, F.col("seq") % 2).otherwise(F.col("plays")), "skips": F.when(fifth, 0).otherwise(F.col("skips"))})
+
+
 QUERIES: dict = {
     "library_page": lambda s, d: c.page(tracks(s, d), c.TrackFilter(decade=1980), "artist", offset=5, limit=50).select("path", "title", "artist", "year"),
     "library_count": lambda s, d: c.count(tracks(s, d), c.TrackFilter(search="a", decade=1970)),
@@ -38,7 +44,7 @@ QUERIES: dict = {
     "event_scores": lambda s, d: r.event_scores(listens(s, d), NOW),
     "hourly_clock": lambda s, d: r.hourly_clock(listens(s, d)),
     "hour_preferences": lambda s, d: r.hour_preferences(r.hourly_clock(listens(s, d)), 23),
-    **{f"shelf_{k}": (lambda s, d, k=k: r.shelf(_rated(s, d), k, NOW).select("seq", "title")) for k in ("liked", "forgotten", "quick", "long", "new", "gems")},
+    **{f"shelf_{k}": (lambda s, d, k=k: r.shelf(_hardly(s, d) if k == "gems" else _rated(s, d), k, NOW).select("seq", "title")) for k in ("liked", "forgotten", "quick", "long", "new", "gems")},
     "smart_playlist": lambda s, d: r.smart_playlist(_rated(s, d), [("title", "contains", "e"), ("rating", "within", 4), ("genre", "is", "nothing")], "any", NOW).select("seq"),
     "vector_moments": lambda s, d: v.moments(fingerprints(s, d)),
     "vector_similar": lambda s, d: v.similar(fingerprints(s, d), 7, 25),
@@ -49,7 +55,7 @@ QUERIES: dict = {
 
 _SHELVES = {
     "liked": "rating >= 4", "forgotten": f"(rating >= 4 or plays >= 3) and last_played < {NOW - 14 * 86400} and plays > 0", "quick": "duration <= 150", "long": "duration >= 480",
-    "new": f"mtime > {NOW - 7 * 86400}", "gems": "plays <= 1 and skips = 0 and rating >= 4"}
+    "new": f"mtime > {NOW - 7 * 86400}", "gems": "case when seq % 5 = 3 then seq % 2 else plays end <= 1 and case when seq % 5 = 3 then 0 else skips end = 0 and rating >= 4"}
 _AFF = lambda k, of: f"with {_TS}, a as (select nullif({of}, '') as {k}, {_PART} as c from ts), g as (select {k}, sum(c)::double as s from a where c > 0 and {k} is not null group by {k}) select {k}, s / max(s) over () as affinity from g"
 
 ORACLE: dict[str, str] = {
@@ -79,6 +85,6 @@ ORACLE: dict[str, str] = {
     "bpm_fold": "with b as (select vec_id as id, (60.0 + (vec_id * 7) % 140)::double as b from embeddings) select id, case when b < 70 then b * 2 when b >= 180 then b / 2 else b end as bpm from b",
 }
 
-for _more in (feed, series, models, mixes, described, upkeep, edits, details):
+for _more in (feed, series, models, mixes, described, upkeep, edits, details, indexes, growth, extras):
     QUERIES |= _more.QUERIES
     ORACLE |= _more.ORACLE

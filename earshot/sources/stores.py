@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import wave
 
 import numpy as np
 import pandas as pd
@@ -15,16 +13,47 @@ from pyspark.sql import functions as F
 UNKNOWN = "<unknown>"
 
 
-def replace_table(rows: DataFrame, folder: str) -> None:
-    """Replace the table in a folder as a whole. Readers see the old rows until the last step, one small row that names the new version; a failed write changes nothing."""
-    version = f"v-{uuid.uuid4().hex}"
+def _fs(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), lambda *names: spark._jvm.org.apache.hadoop.fs.Path("/".join([folder, *names]))
+
+
+def committed(spark: SparkSession, folder: str) -> list[str]:
+    """Names of the versions of a table that were finished, oldest first. There is one empty file a version, made once and never changed."""
+    fs, at = _fs(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(at("_done"))) if fs.exists(at("_done")) else []
+
+
+def commit(spark: SparkSession, folder: str, name: str) -> None:
+    """Declare a version finished."""
+    fs, at = _fs(spark, folder)
+    fs.create(at("_done", name), False).close()
+
+
+def forget(spark: SparkSession, folder: str, names: list[str]) -> None:
+    """Delete versions, their declarations first."""
+    fs, at = _fs(spark, folder)
+    for name in names:
+        fs.delete(at("_done", name), False)
+        fs.delete(at(name), True)
+
+
+def replace_table(rows: DataFrame, folder: str, keep: int = 2) -> None:
+    """Replace the table in a folder as a whole: a new numbered version is written, then one empty file is made that declares it finished.
+
+    Readers take the greatest finished version, so at no time do they find none or half of one, wherever a writer fails. Of two writers at
+    once the one with the greater name holds. The last keep versions stay, so that who reads the one before isn't cut off.
+    """
+    spark = rows.sparkSession
+    before = committed(spark, folder)
+    version = f"v{int(before[-1][1:].split('-')[0]) + 1 if before else 0:012d}-{uuid.uuid4().hex}"
     rows.write.parquet(f"{folder}/{version}")
-    rows.sparkSession.createDataFrame([(version,)], "version string").write.mode("overwrite").parquet(f"{folder}/current")
+    commit(spark, folder, version)
+    forget(spark, folder, before[: max(0, len(before) + 1 - keep)])
 
 
 def read_table(spark: SparkSession, folder: str) -> DataFrame:
-    version = spark.read.parquet(f"{folder}/current").first()["version"]
-    return spark.read.parquet(f"{folder}/{version}")
+    return spark.read.parquet(f"{folder}/{committed(spark, folder)[-1]}")
 
 
 def clear_table(spark: SparkSession, folder: str) -> None:
@@ -93,24 +122,89 @@ def samples_of(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.unbase64("data").alias("raw")).mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, samples array<float>")
 
 
-def wave_seconds(files: DataFrame, rate: int = 4000, longest: int = 240) -> DataFrame:
-    """id, sec, samples: the mono sound of 16-bit WAV files (path, content) a second at a time, thinned to rate, at most longest seconds. What is no such file has no rows."""
+def wave_header(head: bytes) -> tuple[int, int, int, int] | None:
+    """Rate, channels, where the samples begin and their bytes, from the first bytes of a 16-bit WAV file; nothing for another file."""
+    if head[:4] != b"RIFF" or head[8:12] != b"WAVE":
+        return None
+    at, rate, channels = 12, 0, 0
+    while at + 8 <= len(head):
+        name, size = head[at : at + 4], int.from_bytes(head[at + 4 : at + 8], "little")
+        if name == b"fmt " and at + 24 <= len(head):
+            channels, rate = int.from_bytes(head[at + 10 : at + 12], "little"), int.from_bytes(head[at + 12 : at + 16], "little")
+            if int.from_bytes(head[at + 22 : at + 24], "little") != 16 or not channels or not rate:
+                return None
+        elif name == b"data":
+            return (rate, channels, at + 8, size) if rate else None
+        at += 8 + size + size % 2
+    return None
+
+
+def own_seconds(files: DataFrame) -> DataFrame:
+    """id, sec, rate, samples: whole 16-bit WAV files (path, content) as mono seconds at their own rate. The last second is as long as it is. What is no such file has no rows."""
     def run(frames):
         for f in frames:
             for path, content in zip(f["path"], f["content"], strict=True):
-                try:
-                    with wave.open(io.BytesIO(bytes(content))) as w:
-                        width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
-                        raw = w.readframes(longest * own)
-                except (wave.Error, EOFError):
+                content = b"" if content is None else bytes(content)
+                found = wave_header(content[:65_536])
+                if not found:
                     continue
-                if width != 2:
-                    continue
-                x = np.frombuffer(raw, dtype="<i2").reshape(-1, channels)[:: max(1, round(own / rate))].mean(axis=1) / 32_768
-                parts = [x[a : a + rate].astype(np.float32).tolist() for a in range(0, len(x), rate)]
-                yield pd.DataFrame({"id": path, "sec": np.arange(len(parts), dtype=np.int32), "samples": parts})
+                rate, channels, at, size = found
+                whole = min(size, len(content) - at) // (2 * channels)
+                for sec in range(-(-whole // rate)):
+                    n = min(rate, whole - sec * rate)
+                    x = np.frombuffer(content, dtype="<i2", count=n * channels, offset=at + sec * rate * channels * 2)
+                    yield pd.DataFrame({"id": [path], "sec": np.array([sec], dtype=np.int32), "rate": np.array([rate], dtype=np.int32), "samples": [(x.reshape(-1, channels).mean(axis=1) / 32_768).astype(np.float32)]})
+
+    return files.select("path", "content").mapInPandas(run, "id string, sec int, rate int, samples array<float>")
+
+
+def low_pass(own: int, rate: int, lobes: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of a second's rate samples lies among own ones, and the weights of those around it: a windowed sinc that lets through what lies below nine tenths of half the lower rate."""
+    cutoff = 0.9 * min(rate, own) / own  # as a share of half the own rate
+    half = int(np.ceil(lobes / cutoff))
+    at = np.arange(rate) * (own / rate)
+    near = np.floor(at).astype(int)[:, None] + np.arange(-half, half + 1)
+    apart = near - at[:, None]
+    weights = cutoff * np.sinc(cutoff * apart) * (0.5 + 0.5 * np.cos(np.pi * np.clip(apart / (half + 1), -1, 1)))
+    return near, weights / weights.sum(axis=1, keepdims=True)
+
+
+def thinned(seconds: DataFrame, rate: int = 4000, longest: int | None = None) -> DataFrame:
+    """id, sec, samples: seconds (id, sec, rate, samples) thinned to a lower rate, without what that rate can't hold.
+
+    A second is filtered together with the tail of the one before and the head of the one after, which come by a join on the second, so that it
+    doesn't matter where blocks are cut, and no recording is one group. Before the first and after the last second there is silence.
+    longest: seconds taken, all by default.
+    """
+    s = seconds if longest is None else seconds.where(F.col("sec") < longest)
+    edge = 8_192  # more than any filter's half at rates up to 192 kHz
+    tail = s.select("id", (F.col("sec") + 1).alias("sec"), F.slice("samples", F.greatest(F.lit(1), F.size("samples") - edge + 1), F.lit(edge)).alias("before"))
+    head = s.select("id", (F.col("sec") - 1).alias("sec"), F.slice("samples", 1, edge).alias("after"))
+    joined = s.join(tail, ["id", "sec"], "left").join(head, ["id", "sec"], "left").select("id", "sec", "rate", "before", "samples", "after")
 
-    return files.select("path", "content").mapInPandas(run, "id string, sec int, samples array<float>")
+    def run(frames):
+        filters: dict = {}
+        for f in frames:
+            out = []
+            for own, before, x, after in zip(f["rate"], f["before"], f["samples"], f["after"], strict=True):
+                near, weights = filters.setdefault(int(own), low_pass(int(own), rate))
+                half = weights.shape[1] // 2
+                part = lambda v: np.zeros(0) if v is None else np.asarray(v, dtype=float)
+                x, before, after = part(x), part(before)[-half:], part(after)[: half + 1]
+                line = np.zeros(half + int(own) + half + 1)
+                line[half - len(before) : half] = before
+                line[half : half + len(x)] = x
+                line[half + len(x) : half + len(x) + len(after)] = after
+                n = min(rate, int(np.ceil(len(x) * rate / own)))
+                out.append((line[near[:n] + half] * weights[:n]).sum(axis=1).astype(np.float32))
+            yield pd.DataFrame({"id": f["id"], "sec": f["sec"], "samples": out})
+
+    return joined.mapInPandas(run, "id string, sec int, samples array<float>")
+
+
+def wave_seconds(files: DataFrame, rate: int = 4000, longest: int | None = None) -> DataFrame:
+    """id, sec, samples: the mono sound of whole 16-bit WAV files (path, content), a second at a time, filtered and thinned to rate."""
+    return thinned(own_seconds(files), rate, longest)
 
 
 def scanned(found: DataFrame, known: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ def hourly_clock(events: DataFrame, cap: int = 240) -> DataFrame:
 def event_log(events: DataFrame, most: int = 20_000) -> DataFrame:
     """The last events of each listener, most of them at most, and for each the place from the end (0 is the last). For tables."""
     by = Window.partitionBy("user_id").orderBy(F.desc("seq"))
-    return events.withColumn("back", F.row_number().over(by) - 1).where(F.col("back") < most)
+    return events.withColumn("_rn", F.row_number().over(by)).where(F.col("_rn") <= most).withColumn("back", F.col("_rn") - 1).drop("_rn")
 
 
 def last_played(events: DataFrame) -> DataFrame:
@@ -107,12 +107,12 @@ def events_stream(spark: SparkSession, path: str, files: int | None = None) -> D
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
-def drain(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and read what it gave out. Every batch is one folder, written as a whole, so a batch run again replaces itself."""
+def drain(stream: DataFrame, folder: str, mode: str = "append", once: bool = False) -> DataFrame:
+    """Run a stream over all that is there now and read what it gave out; once: in a single batch, as streams with timers by the clock would go on for ever. Every batch is one folder, written as a whole, so a batch run again replaces itself."""
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(availableNow=True).start()
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(write).trigger(**({"once": True} if once else {"availableNow": True})).start()
     q.awaitTermination()
     spark = stream.sparkSession
     return spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{folder}/out")
