@@ -94,7 +94,7 @@ def _discover_flow(spark, sf_dir):
 def browse_parts(spark, sf_dir: str):
     """Statistics of tracks, playlists, and which tenth of the changes each row comes in."""
     rated = stats(spark, sf_dir).join(tracks(spark, sf_dir).select("seq"), "seq")
-    lists = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("pos"), F.col("l_partkey").alias("seq"))
+    lists = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), (F.col("l_linenumber") * 10_000_000 + F.col("l_partkey")).alias("pos"), F.col("l_partkey").alias("seq")).distinct()
     return rated.select("seq", "last_played", "rating"), lists
 
 
@@ -225,7 +225,7 @@ def _inner(sql: str, name: str) -> str:
 ORACLE: dict[str, str] = {
     "scan_library": f"with {_SCANS} select h.path, h.mtime, f.title, 3 as generation from h join f on f.path = h.path and f.g = h.since where h.g = 3",
     "scan_removed": f"with {_SCANS} select path, g + 1 as generation from f where g < 3 and not exists (select 1 from f n where n.path = f.path and n.g = f.g + 1)",
-    "browse_kept": _DETAILS["browse_lists"],
+    "browse_kept": _DETAILS["browse_lists"].replace("from lineitem join", "from (select distinct l_orderkey, l_partkey, l_linenumber from lineitem) join"),
     "fingerprints_grown": _MIXES["zscore_fingerprints"],
     "vector_state": "with l as (select unnest(embedding)::double as x, unnest(range(0, len(embedding)))::int as dim from embeddings) select dim, count(*) as n, avg(x) as mean, var_pop(x) * count(*) as m2 from l group by dim",
     "stream_batches": """with e as (select case event_type when 'purchase' then 'Like' when 'signup' then 'AddedManually' when 'view' then 'FullPlay' when 'click' then 'SkipMid' when 'error' then 'SkipEarly' end as source, lpad(event_id::varchar, 12, '0') as path from events),
