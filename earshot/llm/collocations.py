@@ -16,6 +16,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ for _c in b".,;:!?\x0b\x0c\x0d":
 _PLAIN[9] = 32
 _PLAIN = bytes(_PLAIN)
 _SEGMENT, _COUNT, _QUIET = range(3)
-#: What parts write. Segments: lang, text, n (times). Counts: the keys of one bucket and how often each occurs. Quiet counts are not answered.
-STATE = "kind int, part long, lang string, text string, n long, bucket int, keys array<string>, ns array<long>"
+#: What parts write. Segments: lang, text, n (times). Counts: the keys of one bucket and how often each occurs, packed. Quiet counts are not answered.
+STATE = "kind int, part long, lang string, text string, n long, bucket int, packed binary"
 ANSWER = "part long, bucket int, mask binary, key string, f long"
 SCORED = "kind int, lang string, phrase string, a long, l long, r long, n long, score long"
 _CANDIDATE, _COVERED = range(2)
@@ -146,6 +147,22 @@ class Runs:
         return pa.array(self.names, pa.string()).take(table.column("lang").combine_chunks()), table.column("text").combine_chunks(), table.column("m_sum").to_numpy()
 
 
+def _packed(keys: pa.Array, ns: np.ndarray) -> bytes:
+    """Keys and their counts as one compressed block: neighbours share their first words, so it takes a third of their bytes."""
+    size, data = pc.binary_length(keys).to_numpy().astype("<i4"), keys.buffers()[2]
+    at = np.frombuffer(keys.buffers()[1], dtype=np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    raw = data.slice(int(at[0]), int(at[-1] - at[0])).to_pybytes() if len(keys) else b""
+    return zstandard.compress(len(keys).to_bytes(4, "little") + size.tobytes() + ns.astype("<i8").tobytes() + raw, 3)
+
+
+def _unpacked(block: bytes) -> tuple[pa.Array, np.ndarray]:
+    block = zstandard.decompress(block)
+    n = int.from_bytes(block[:4], "little")
+    size = np.frombuffer(block, dtype="<i4", count=n, offset=4)
+    at = np.concatenate(([0], np.cumsum(size, dtype=np.int64)))
+    return pa.Array.from_buffers(pa.large_string(), n, [None, pa.py_buffer(at), pa.py_buffer(block[4 + 12 * n :])]), np.frombuffer(block, dtype="<i8", count=n, offset=4 + 4 * n)
+
+
 def _dealt(bucket: np.ndarray):
     """The order of things by bucket, their own order within one, and where each bucket begins in it."""
     order = np.argsort(bucket, kind="stable")
@@ -153,7 +170,7 @@ def _dealt(bucket: np.ndarray):
     return order, np.concatenate((np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1]))), [len(order)])) if len(order) else np.zeros(1, dtype=np.int64)
 
 
-_TYPES = {"kind": pa.int32(), "part": pa.int64(), "lang": pa.string(), "text": pa.string(), "n": pa.int64(), "bucket": pa.int32(), "keys": pa.list_(pa.string()), "ns": pa.list_(pa.int64())}
+_TYPES = {"kind": pa.int32(), "part": pa.int64(), "lang": pa.string(), "text": pa.string(), "n": pa.int64(), "bucket": pa.int32(), "packed": pa.binary()}
 
 
 def _state(kind: int, part, rows: int, **columns) -> pa.Table:
@@ -169,9 +186,9 @@ def _segments(part, lang, text, n) -> pa.Table:
 def _counts(runs: Runs, size: int, part, buckets: int) -> pa.Table:
     keys, hashes, n = runs.counts(size)
     order, edges = _dealt(hashes % buckets)
-    lists = lambda values: pa.ListArray.from_arrays(edges.astype(np.int32), values.take(pa.array(order)))
-    first = order[edges[:-1]] if len(order) else order
-    return _state(_COUNT if size > 1 else _QUIET, part, len(edges) - 1, bucket=(hashes % buckets)[first], keys=lists(keys.cast(pa.string())), ns=lists(pa.array(n)))
+    keys, n, first = keys.take(pa.array(order)), n[order], order[edges[:-1]] if len(order) else order
+    packed = pa.array([_packed(keys.slice(a, b - a), n[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], pa.binary())
+    return _state(_COUNT if size > 1 else _QUIET, part, len(packed), bucket=(hashes % buckets)[first], packed=packed)
 
 
 def _begun(buckets: int):
@@ -252,13 +269,10 @@ def _answered(least: int, memory: str):
         with tempfile.TemporaryDirectory(prefix="bucket-") as folder, duckdb.connect(config={"threads": 1, "memory_limit": memory, "temp_directory": folder, "preserve_insertion_order": False}) as con:
             con.execute("create table asked(part bigint, bucket int, quiet boolean, pos int, key varchar, n bigint)")
             for b in batches:
-                for a in range(0, b.num_rows, 64):
-                    some = b.slice(a, 64)
-                    keys, ns, size = some.column("keys"), some.column("ns"), some.column("keys").value_lengths().to_numpy()
-                    of = pa.array(np.repeat(np.arange(some.num_rows), size))
-                    pos = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-                    con.register("batch", pa.table({"part": some.column("part").take(of), "bucket": some.column("bucket").take(of), "quiet": some.column("quiet").take(of), "pos": pos.astype(np.int32), "key": keys.flatten(), "n": ns.flatten()}))
-                    con.execute("insert into asked select part, bucket, quiet, pos, key, n from batch")
+                for part, bucket, quiet, block in zip(*(b.column(c).to_pylist() for c in ("part", "bucket", "quiet", "packed")), strict=True):
+                    keys, ns = _unpacked(block)
+                    con.register("batch", pa.table({"pos": np.arange(len(ns), dtype=np.int32), "key": keys, "n": ns}))
+                    con.execute("insert into asked select ?, ?, ?, pos, key, n from batch", [part, bucket, quiet])
                     con.unregister("batch")
             con.execute("create table total as select key, sum(n)::bigint as f, min(part) as part, min(bucket) as bucket from asked group by key having sum(n) >= ? or ends_with(key, chr(10))", [least])
 
@@ -291,7 +305,7 @@ def candidates(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, part
     once = cut.repartition("part").groupBy("part", "lang", "piece").agg(F.sum("m").alias("m"))
     state, totals, spent = materialize(once.groupBy("part").applyInArrow(_begun(buckets), STATE), "pieces"), [], []
     for size in range(2, longest + 1):
-        asked = state.where(F.col("kind") != _SEGMENT).select("part", "bucket", "keys", "ns", (F.col("kind") == _QUIET).alias("quiet")).repartition("bucket")
+        asked = state.where(F.col("kind") != _SEGMENT).select("part", "bucket", "packed", (F.col("kind") == _QUIET).alias("quiet")).repartition("bucket")
         answers = materialize(asked.mapInArrow(_answered(least, memory), ANSWER), "answers")
         totals.append(answers.where("key is not null").select("part", "key", "f"))
         spent.append(answers)
