@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from earshot.functions import lateral
 from earshot.operators import clock as ck
 from earshot.operators import clusters as cl
-from earshot.operators import lookups as lk
 from earshot.operators import mixes as mx
 from earshot.operators import moments as mo
 from earshot.operators import tours as tr
@@ -18,9 +17,10 @@ from earshot.operators.taste import nearest
 from earshot.plans.mixes import _assigned, _scores
 from earshot.plans.mixes import ORACLE as _MIXES
 from earshot.plans.details import ORACLE as _DETAILS
-from earshot.plans.models import _centroids, _COS, _FP
+from earshot.plans.models import _CEN, _COS, _centroids
 from earshot.plans.session import scratch
-from earshot.plans.sql import TRACK_STATS, TRACKS
+from earshot.plans.sql import TRACKS
+from earshot.plans.upkeep import ORACLE as _UPKEEP
 from earshot.sources.tables import as_listens, fingerprints, listens, read, stats, tracks
 from earshot.streaming import browse as br
 from earshot.streaming import listening as st
@@ -222,7 +222,14 @@ def _inner(sql: str, name: str) -> str:
     return f"{head}), {name} as (select {last})"
 
 
+_MIX = f"""{_CEN}, reps as (select cluster, id, v, row_number() over (partition by cluster order by {_COS('v', 'c')} desc, id) as rn from fp join ce on cluster = label),
+s as (select cluster, id as seed, v as q from reps where rn = 1 order by cluster limit 8), x as (select id, max({_COS('v', 'q')}) as near from fp, s group by id),
+chosen as (select id, 0.75::double * near + case when id in (select seed from s) then 1 else 0 end as score from x order by score desc, id limit 80)"""
+
 ORACLE: dict[str, str] = {
+    "recipe_flow": _flow_sql(_inner(_UPKEEP["recipe"], "chosen"), "chosen", "id = 3 desc, score desc, id"),
+    "supermix": _flow_sql(_MIX, "chosen", "id = (select arg_min(seed, cluster) from s) desc"),
+    "discover_flow": _flow_sql(_inner(_MIXES["discover_pool"], "chosen"), "chosen", "score desc, id"),
     "scan_library": f"with {_SCANS} select h.path, h.mtime, f.title, 3 as generation from h join f on f.path = h.path and f.g = h.since where h.g = 3",
     "scan_removed": f"with {_SCANS} select path, g + 1 as generation from f where g < 3 and not exists (select 1 from f n where n.path = f.path and n.g = f.g + 1)",
     "browse_kept": _DETAILS["browse_lists"].replace("from lineitem join", "from (select distinct l_orderkey, l_partkey, l_linenumber from lineitem) join"),

@@ -105,6 +105,12 @@ ORACLE: dict[str, str] = {
         list_avg(list_filter([{', '.join(f'case when t{i} is not null then greatest(0, 1 - abs(f[{i}] - t{i})) end' for i in range(1, 8))}], lambda z: z is not null)) as feat from f, p),
       y as (select id, sub, genre, round((w * case when bpm <= 0 then 0.3::double else greatest(one, half, dbl) end + feat) / (w + 1), 9) as score, case when bpm <= 0 then 1.0 when dbl > one and dbl >= half then 2.0 when half > one and half >= dbl then 0.5 else 1.0 end::double as octave from x)
       select id, genre, sub as subgenre, score, octave from (select *, row_number() over (partition by id order by score desc, sub desc) as rn from y) where rn = 1""",
+    "genre_confidence": f"""with {_FP}, p(sub, genre, pb, tol, t1, t2, t3, t4, t5, t6, t7, w) as (values {_PROTO}), f as (select id, case when id % 50 = 0 then 0.0 else bpm end::double as bpm, list_transform(v[1:7], lambda x: least(1.0::double, abs(x) * 3)) as f from fp),
+      x as (select f.id, sub, genre, f.bpm, w, {_BELL('1.0')} as one, {_BELL('0.5')} as half, {_BELL('2.0')} as dbl,
+        list_avg(list_filter([{', '.join(f'case when t{i} is not null then greatest(0, 1 - abs(f[{i}] - t{i})) end' for i in range(1, 8))}], lambda z: z is not null)) as feat from f, p),
+      y as (select id, bpm, sub, round((w * case when bpm <= 0 then 0.3::double else greatest(one, half, dbl) end + feat) / (w + 1), 9) as score, bpm > 0 and dbl > one and dbl >= half as twice from x),
+      z as (select *, row_number() over (partition by id order by score desc, sub desc) as rn, lead(score) over (partition by id order by score desc, sub desc) as second from y)
+      select id, least(1, greatest(0, 0.35::double + 2 * case when second > 0 then greatest(0, score - second) else score end)) as confidence, case when twice and bpm * 2 <= 240 then bpm * 2 else bpm end as bpm from z where rn = 1""",
     "taste_scores": f"with {_PAIR}, s as (select id, cluster % 2 as odd, max(sim * (cluster + 1.0::double) / (cluster + 4.0::double)) as b from pr group by 1, 2) select id, coalesce(max(b) filter (odd = 0), 0) - 0.8::double * coalesce(max(b) filter (odd = 1), 0) as score from s group by id",
     "nearest_centroid": f"with {_PAIR} select id, arg_max(cluster, sim) as cluster, max(sim) as sim from pr group by id",
     "cluster_silhouette": f"with {_PAIR}, q as (select id, 1 - sim as d, row_number() over (partition by id order by 1 - sim) as rn from pr), w as (select id, min(d) filter (rn = 1) as own, min(d) filter (rn = 2) as other from q group by id) select avg(case when greatest(own, other) > 1e-9 then (other - own) / greatest(own, other) else 0 end) as silhouette from w",

@@ -257,3 +257,25 @@ def test_ordered_mixes(spark):
     seeds = spark.createDataFrame([(0, 3), (1, 8)], "cluster int, id long")
     mix = [x.id for x in tr.supermix(t, seeds, 12).orderBy("pos").collect()]
     assert mix[0] == 3 and len(set(mix)) == 12 and 8 in mix
+
+
+def test_first_rows_are_cut_before_they_meet(spark):
+    from earshot.operators import mixes
+    from earshot.streaming import listening
+
+    t = tour_table(spark, 40).where("list = 'a'").drop("list")
+    centres = spark.createDataFrame([(0, [1.0] * 6), (1, [-1.0] * 6)], "cluster int, c array<double>")
+    events = spark.createDataFrame([(1, 1, "Like", 5)], "user_id long, seq long, kind string, track long").withColumn("ts", F.lit(0))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    for df in (mixes.ranked_by(t, centres, "cluster", 5), mixes.representatives(t.withColumn("cluster", F.lit(0)), centres, 3), mixes.genre_mixes(t, centres, t.selectExpr("id", "0.5D score"), events, 10, 4), listening.event_log(events, 3), br.shown(spark.createDataFrame([("recent", 1, 1.0, 1)], "list string, entry long, k double, seq long"))):
+        assert "WindowGroupLimit" in plan(df)
+
+
+def test_seeds_beyond_the_bound_are_an_error(spark, monkeypatch):
+    from earshot.operators import mixes, vectors
+
+    monkeypatch.setattr(vectors, "MOST_CENTROIDS", 3)
+    t = tour_table(spark, 10).where("list = 'a'").drop("list")
+    many = t.selectExpr("id cluster", "v c")
+    with pytest.raises(Exception, match="too many centroids"):
+        mixes.ranked_by(t, many, "cluster", 2).collect()
