@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import re
+from contextvars import ContextVar
 import tempfile
 import uuid
 
@@ -34,17 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
     return made.rstrip("/")
 
 
-#: Tables written for the result at hand; a pipeline deletes them once its next stage is stored.
-_written: list[str] = []
+#: Paths of the tables written inside the innermost tables_of() of this thread; what is written outside of any is the caller's to discard.
+_scope: ContextVar[list[str] | None] = ContextVar("tables written", default=None)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to a new table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation. Its shuffle files go as soon as it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if (written := _scope.get()) is not None:
+        written.append(path)
     with shuffles_dropped(spark):
         df.write.option("compression", "zstd").parquet(path)
-    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -70,18 +72,31 @@ def discard(*tables: DataFrame) -> None:
 def _delete(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _written[:] = [p for p in _written if p.rpartition("/")[2] != folder.rpartition("/")[2]]
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with the scheme of the file system that Spark takes it to be in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/+", "file:///", full)
 
 
 @contextlib.contextmanager
 def tables_of(spark: SparkSession):
-    """Tables written inside are deleted at the end, but for those that the caller puts on the list it gets."""
-    before = set(_written)
+    """Tables written inside, by this thread, are deleted at the end, whether it comes to a good one or not, but for those that the caller puts on the list it gets."""
+    written: list[str] = []
     kept: list[DataFrame] = []
-    yield kept
-    names = {f.split("/")[-2] for df in kept for f in df.inputFiles()}
-    for path in [p for p in _written if p not in before and p.rpartition("/")[2] not in names]:
-        _delete(spark, path)
+    token, names = _scope.set(written), set()
+    try:
+        yield kept
+        names = {f.split("/")[-2] for df in kept for f in df.inputFiles()}
+    finally:
+        _scope.reset(token)
+        for path in written:
+            if path.rpartition("/")[2] not in names:
+                _delete(spark, path)
+        if (outer := _scope.get()) is not None:
+            outer += [p for p in written if p.rpartition("/")[2] in names]
 
 
 def packed(docs: DataFrame, **keys) -> DataFrame:

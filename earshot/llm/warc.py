@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, shared_dir
+from .common import _delete, materialize, parallelism, qualified, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 SPLIT, CHUNK = 8 << 20, 1 << 20
@@ -175,17 +175,23 @@ def archive_digests(pages: DataFrame, folder: str | None = None, split: int = SP
     - Null html is an empty payload; a null url leaves the target out; a null page_id is kept as null.
     - Repeated rows give a record each. No pages give no archive and an empty result. Other columns are ignored.
     - The bytes and the digest come from the payload that was read; a revisit takes them from the record it refers to.
+    - folder is taken as Spark takes it: without a scheme it lies in the default file system. One that pyarrow can't reach is an error at once.
+      Without a folder the archives lie in the shared one until they are read, and then go.
     """
     spark = pages.sparkSession
-    folder = folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    if "://" not in folder:
-        folder = folder.replace("file:/", "/", 1) if folder.startswith("file:/") else folder
-        folder = "file://" + folder
+    own = folder is None
+    folder = qualified(spark, folder or f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
+    try:
+        fs.FileSystem.from_uri(folder)
+    except (ValueError, OSError) as x:  # before anything is written
+        raise ValueError(f"archives are written through pyarrow, which can't reach {folder}") from x
     write_warc(with_revisits(pages), folder)
     number = lambda c: F.when(F.col(c) != _PAGE + "null", F.substring(F.col(c), len(_PAGE) + 1, 40).cast("long"))
     read = read_warc(spark, folder, split).select(
         number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("bytes"), base32(F.sha1("payload")).alias("digest"), "record_type", number("refers_to").alias("refers_to"), F.col("payload_digest").alias("said"))
     read = materialize(read, "records")
+    if own:
+        _delete(spark, folder)
     kept = read.where("record_type = 'response'").select(F.col("page_id").alias("top"), F.col("digest").alias("found"), F.col("bytes").alias("n")).distinct()
     again = read.where("record_type = 'revisit'").alias("r").join(kept.alias("k"), (F.col("r.refers_to") == F.col("k.top")) & (F.col("r.said") == F.col("k.found")), "left")
     columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]

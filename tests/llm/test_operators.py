@@ -4,10 +4,13 @@ import base64
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
 
+import pytest
+
 from earshot.llm import chat, decontaminate, html_text, jaccard, language_model, line_dedup, mixing, quality, url_filter, warc
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -59,6 +62,72 @@ def test_warc_round_trip_in_small_ranges(spark, tmp_path):
     assert warc.archive_digests(df.where("false")).collect() == []
 
 
+def test_archives_lie_where_spark_has_its_files_and_go(spark, tmp_path):
+    from earshot.llm.common import shared_dir
+
+    df = spark.createDataFrame([(1, "u", "x")], "page_id long, url string, html string")
+    shared = os.path.normpath(shared_dir(spark).removeprefix("file:"))
+    before = set(os.listdir(shared))
+    assert warc.archive_digests(df).count() == 1
+    assert not [f for f in set(os.listdir(shared)) - before if f.startswith("warc-")]
+    assert warc.archive_digests(df, f"{tmp_path}/own").count() == 1 and os.listdir(f"{tmp_path}/own")
+    conf, key = spark._jsc.hadoopConfiguration(), "fs.defaultFS"
+    was = conf.get(key)
+    conf.set("fs.viewfs.mounttable.other.link./x", f"file://{tmp_path}")
+    conf.set(key, "viewfs://other/")
+    try:
+        with pytest.raises(ValueError, match="can't reach viewfs://other/x/y"):
+            warc.archive_digests(df, "/x/y")
+    finally:
+        conf.set(key, was)
+    assert not os.path.exists(f"{tmp_path}/y")
+
+
+def test_tables_of_one_pipeline_are_its_own(spark):
+    import threading
+
+    from earshot.llm.common import materialize, tables_of
+
+    there = lambda df: os.path.exists(os.path.dirname(df.inputFiles()[0]).removeprefix("file://").replace("file:", ""))
+    made, inside, done = {}, threading.Event(), threading.Event()
+
+    def other():
+        with tables_of(spark) as keep:
+            made["other"] = materialize(spark.range(3), "other")
+            inside.set()
+            done.wait(60)
+            keep.append(made["other"])
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    inside.wait(60)
+    with pytest.raises(KeyError), tables_of(spark):
+        made["lost"] = materialize(spark.range(3), "lost")
+        path = os.path.dirname(made["lost"].inputFiles()[0])
+        raise KeyError
+    assert not os.path.exists(path.replace("file://", "").replace("file:", ""))
+    with tables_of(spark) as keep:
+        made["kept"], made["gone"] = materialize(spark.range(3), "kept"), materialize(spark.range(3), "gone")
+        gone = os.path.dirname(made["gone"].inputFiles()[0])
+        keep.append(made["kept"])
+    assert there(made["kept"]) and there(made["other"]) and not os.path.exists(gone.replace("file://", "").replace("file:", ""))
+    done.set()
+    thread.join()
+    assert there(made["other"]) and made["other"].count() == 3
+
+
+def test_long_words_cost_what_they_are_long(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 1][:3]
+    texts = {i: "some plain words that all texts have in common, again and again" for i in range(60)}
+    for i, n in zip(ids, (400, 800, 3200), strict=True):
+        texts[i] = "zq" * (n // 2)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in language_model.score(docs).collect()}
+    a, b, c = (got[i].score for i in ids)
+    assert c < 1.5 * b < 2 * a < 0 and c < -400
+    assert all(got[i].bits_per_byte > 0.05 for i in ids)
+
+
 def test_decontamination(spark):
     r = random.Random(5)
     item = [" ".join(f"q{r.randrange(50)}" for _ in range(n)) for n in (20, 33, 3)]
