@@ -34,7 +34,7 @@ def entries_of_playlists(playlists: DataFrame) -> DataFrame:
     return playlists.select(F.concat(F.lit("pl:"), F.col("id").cast("string")).alias("list"), F.col("pos").cast("long").alias("entry"), F.col("pos").cast("double").alias("k"), F.col("seq").cast("long").alias("seq"), F.col("seq").isNotNull().alias("there"))
 
 
-def _first(entries: DataFrame, cut: DataFrame | None = None) -> DataFrame:
+def _first(entries: DataFrame) -> DataFrame:
     """The entries that are held, best first: list, entry, k, seq, rank from 1."""
     by = Window.partitionBy("list").orderBy("k", "seq", "entry")
     ranked = entries.select("list", "entry", "k", "seq", F.row_number().over(by).alias("rank"))
@@ -83,7 +83,7 @@ def shown(held: DataFrame) -> DataFrame:
     """list, pos, seq: the lists as a browser shows them."""
     by = Window.partitionBy("list").orderBy("k", "seq", "entry")
     ranked = held.where("entry is not null").withColumn("rank", F.row_number().over(by))
-    return ranked.where(F.col("rank") <= _cut("list")).select("list", (F.col("rank") - 1).alias("pos"), "seq")
+    return ranked.where(F.col("rank") <= max(BROWSE.values())).where(F.col("rank") <= _cut("list")).select("list", (F.col("rank") - 1).alias("pos"), "seq")
 
 
 def _last(rows: DataFrame, *keys: str) -> DataFrame:
