@@ -12,6 +12,8 @@ from earshot.sources.stores import clear_table, committed, read_table, replace_t
 LAYER = "visible boolean, opacity double, blend string, parent string, x double, y double, scale double, rotation double, props string, bind string"
 DEFAULTS = {"visible": True, "opacity": 1.0, "blend": "source-over", "parent": None, "x": 0.0, "y": 0.0, "scale": 1.0, "rotation": 0.0, "props": "{}", "bind": "{}"}
 SCENE_VERSION = 1
+# What a curve's file ends in, after its suffix, and what a file is called that has no other name.
+CURVE_ENDINGS, NAMELESS = (r"(?i)\s*Parametric ?EQ\s*$", r"(?i)\s*GraphicEQ\s*$"), "AutoEq"
 #: The label of knobs that are no preset's.
 CUSTOM = "custom"
 
@@ -69,8 +71,9 @@ def headphone_name(name):
     """What a curve's file says of the headphones it is for."""
     c = F.col(name) if isinstance(name, str) else name
     c = F.regexp_replace(c, r"\.[^.]+$", "")
-    c = F.regexp_replace(F.regexp_replace(c, r"(?i)\s*Parametric ?EQ\s*$", ""), r"(?i)\s*GraphicEQ\s*$", "")
-    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit("AutoEq"))
+    for ending in CURVE_ENDINGS:
+        c = F.regexp_replace(c, ending, "")
+    return F.coalesce(F.nullif(F.trim(c), F.lit("")), F.lit(NAMELESS))
 
 
 def reset_taste(spark: SparkSession, folder: str, learnt: tuple[str, ...] = ("model", "events", "last_played")) -> None:
