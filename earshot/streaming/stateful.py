@@ -148,14 +148,18 @@ class _Sections(StatefulProcessor):
 
 
 def fold_bucket(state, bucket: int, energy: float):
-    """The state after one more bucket and the sections that it ends: number, start and finish (buckets) and tier. Buckets between two that came carry the value before; a bucket before the last one is too late and changes nothing."""
+    """The state after one more bucket and the sections that it ends: number, start and finish (buckets) and tier. Buckets between two that came carry the value before; a bucket before the last one is too late and changes nothing.
+
+    Once a carried bucket leaves everything as it was, so do all others before the new one, and they are passed over at once: a gap takes a few steps, whatever its length.
+    """
     if state is None:
         return (bucket, bucket, energy, energy, 0.0, -1, bucket, 0), []
     first, last, before, now, top, tier, start, number = state
     done = []
-    for b in range(last + 1, bucket + 1):
+    while last < bucket:
+        b = last + 1
         after = energy if b == bucket else now
-        smooth = (before + now + after) / 3
+        was, smooth = (before, now, top, tier), (before + now + after) / 3
         top = max(top, smooth, 0.0001)
         new = 2 if smooth >= DROP * top else 1 if smooth >= VERSE * top else 0
         if tier == -1:
@@ -164,6 +168,8 @@ def fold_bucket(state, bucket: int, energy: float):
             done.append((number, start, last, tier))
             number, tier, start = number + 1, new, last
         before, now, last = now, after, b
+        if (before, now, top, tier) == was and b < bucket - 1:
+            last = bucket - 1
     return (first, last, before, now, top, tier, start, number), done
 
 

@@ -269,3 +269,32 @@ def test_long_mixes_are_whole(spark, tmp_path):
     wav(tmp_path / "m.wav", np.zeros(4000 * 500), 4000)
     seconds = stores.wave_seconds(seconds_of(spark, tmp_path))
     assert seconds.count() == 500 and stores.wave_seconds(seconds_of(spark, tmp_path), longest=240).count() == 240
+
+
+def test_a_gap_of_any_length_takes_a_few_steps():
+    def walked(state, bucket, energy):
+        first, last, before, now, top, tier, start, number = state
+        done = []
+        for b in range(last + 1, bucket + 1):
+            after = energy if b == bucket else now
+            smooth = (before + now + after) / 3
+            top = max(top, smooth, 0.0001)
+            new = 2 if smooth >= sf.DROP * top else 1 if smooth >= sf.VERSE * top else 0
+            if tier == -1:
+                tier, start = new, last
+            elif new != tier:
+                done.append((number, start, last, tier))
+                number, tier, start = number + 1, new, last
+            before, now, last = now, after, b
+        return (first, last, before, now, top, tier, start, number), done
+
+    r = random.Random(4)
+    for _ in range(200):
+        state = sf.fold_bucket(None, r.randrange(3), r.random())[0]
+        for _ in range(8):
+            step = state[1] + r.choice((1, 2, 3, 4, 9, 40)), r.choice((0.0, 0.1, 0.5, r.random()))
+            assert sf.fold_bucket(state, *step) == walked(state, *step)
+            state = walked(state, *step)[0]
+    began = time.time()
+    sf.fold_bucket(state, 10**12, 0.3)
+    assert time.time() - began < 1
