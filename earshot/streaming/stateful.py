@@ -7,7 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -16,6 +19,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 BATCH, FLUSH_MS, STALL_MS, DAY_MS = 200, 2_000, 30_000, 86_400_000
 #: Seconds of a bucket of live sections; shares of the loudest smoothed bucket from which a bucket is a drop or a verse.
 WIDTH, DROP, VERSE = 2, 0.72, 0.4
+#: Batches that go out in one frame.
+OUT = 1_000
+
+
+def _by_path(parts: list[pa.Array]) -> pa.Array:
+    """All parts' paths in one array, sorted."""
+    paths = pa.concat_arrays([p.cast(pa.large_string()) for p in parts] or [pa.array([], pa.large_string())])
+    return paths.take(pc.sort_indices(paths))
 
 
 class _Batches(StatefulProcessor):
@@ -43,12 +54,19 @@ class _Batches(StatefulProcessor):
         number, done, since, _ = self.told.get() if self.told.exists() else (0, False, now, now)
         held = [r[0] for r in self.rows.get()] if self.rows.exists() else []
         since = since if held else now
-        for frame in rows:
+        new = []
+        for frame in rows:  # a key's rows come in several frames, and the order is that of all of them
             done = done or bool(frame["done"].any())
-            held += [p for p in frame.sort_values("path")["path"] if p is not None and p == p]
-            while len(held) >= self.size:
-                yield self._out(key, number, "count", held[: self.size])
-                held, number, since = held[self.size :], number + 1, now
+            new.append(pa.array(frame["path"], pa.string(), from_pandas=True).drop_null())
+        new = pa.concat_arrays([pa.array(held, pa.large_string()), _by_path(new)])
+        full = len(new) // self.size
+        for a in range(0, full, OUT):
+            many = min(OUT, full - a)
+            paths = pa.ListArray.from_arrays(np.arange(many + 1, dtype=np.int32) * self.size, new.slice(a * self.size, many * self.size))
+            yield pd.DataFrame({"source": [key[0]] * many, "number": np.arange(number + a, number + a + many), "why": "count", "paths": paths.to_pylist()})
+        if full:
+            number, since = number + full, now
+        held = new.slice(full * self.size).to_pylist()
         if done and held:
             yield self._out(key, number, "done", held)
             held, number = [], number + 1
@@ -82,7 +100,7 @@ class _Batches(StatefulProcessor):
 
 
 def batches(rows: DataFrame, size: int = BATCH, flush_ms: int = FLUSH_MS, stall_ms: int = STALL_MS, kept_ms: int = DAY_MS) -> DataFrame:
-    """source, number, why, paths: rows (source, path, done) in batches of size. What has waited flush_ms goes out as it is ("time"), the rest of a source that is done at
+    """source, number, why, paths: rows (source, path, done) in batches of size; those that come in one micro-batch go by path. What has waited flush_ms goes out as it is ("time"), the rest of a source that is done at
     once ("done"), and a source without a row for stall_ms that is not done is said to be "stalled", with no paths. Needs the RocksDB state store."""
     step = _Batches(size, flush_ms, stall_ms, kept_ms)
     return rows.select("source", "path", "done").groupBy("source").transformWithStateInPandas(step, "source string, number long, why string, paths array<string>", "append", "processingTime")

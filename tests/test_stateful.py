@@ -89,6 +89,20 @@ def test_batches_by_count_time_and_stall(spark, tmp_path):
     assert sorted((r[0], r[3]) for r in got if r[2] == "stalled") == [("few", []), ("many", [])]
 
 
+def test_batches_of_many_frames_go_by_path(spark, tmp_path):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 50)  # a source's rows come in frames of 50
+    try:
+        order = random.Random(1).sample(range(1_003), 1_003)
+        stream = files(spark, f"{tmp_path}/in", [[("a", f"p{k:05d}", True) for k in order]], "source string, path string, done boolean")
+        got = with_state_lists(spark, lambda: st.drain(sf.batches(stream, 10, 10**9, 10**9), f"{tmp_path}/run", once=True).orderBy("number").collect())
+    finally:
+        spark.conf.set(key, before)
+    assert [p for r in got for p in r.paths] == [f"p{k:05d}" for k in range(1_003)]
+    assert [(r.number, r.why, len(r.paths)) for r in got] == [(n, "count", 10) for n in range(100)] + [(100, "done", 3)]
+
+
 def test_a_log_that_forgets(spark, tmp_path):
     schema = "user_id long, seq long, track long, kind string, ts long"
     r = random.Random(2)
