@@ -231,27 +231,86 @@ def _greedy(n: int, start: int, cost) -> list[int]:
     return order
 
 
-def _ordered(lists: DataFrame, cost_of, start_of, longest: int) -> DataFrame:
+def _greedies(start: np.ndarray, n: int, cost) -> np.ndarray:
+    """_greedy() of many lists of n tracks at once, a row each; cost(at, step) gives a row of costs for each list's place."""
+    rows, order, left = np.arange(len(start)), np.empty((len(start), n), dtype=np.int64), np.ones((len(start), n), dtype=bool)
+    order[:, 0] = start
+    left[rows, start] = False
+    for step in range(1, n):
+        order[:, step] = np.where(left, cost(order[:, step - 1], step), np.inf).argmin(axis=1)
+        left[rows, order[:, step]] = False
+    return order
+
+
+def _whole_lists(frames, longest: int):
+    """Frames of rows sorted by list, cut anew so that no list is in two of them."""
+    rest = None
+    for f in frames:
+        f = f if rest is None else pd.concat((rest, f), ignore_index=True)
+        same = lambda k, f=f: (f["list"] == k) if pd.notna(k) else f["list"].isna()
+        if len(f):
+            last = int(np.count_nonzero(same(f["list"].iloc[-1])))
+            if last > longest:
+                raise ValueError(f"a list of more than {longest} tracks; sets are planned for {longest} at most")
+            rest = f.iloc[len(f) - last :].reset_index(drop=True)
+            if last < len(f):
+                yield f.iloc[: len(f) - last]
+    if rest is not None:
+        yield rest
+
+
+def _ordered(lists: DataFrame, columns: tuple[str, ...], cost_of, start_of, longest: int) -> DataFrame:
+    """Lists in greedy order. cost_of() and start_of() take a dictionary of columns, each an array of lists by tracks, of lists of one length: a call for each list would cost more than its work."""
     fields = f"list {lists.schema['list'].dataType.simpleString()}, id {lists.schema['id'].dataType.simpleString()}, place int"
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > longest:
-            raise ValueError(f"a list of {len(pdf)} tracks; sets are planned for {longest} at most")
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        order = _greedy(len(pdf), start_of(pdf), cost_of(pdf))
-        return pd.DataFrame({"list": pdf["list"], "id": pdf["id"].to_numpy()[order], "place": np.arange(len(pdf), dtype=np.int32)})
+    def run(frames):
+        for f in _whole_lists(frames, longest):
+            own = f["list"]
+            first = np.flatnonzero(((own != own.shift()) & ~(own.isna() & own.shift().isna())).to_numpy() | (np.arange(len(f)) == 0))
+            sizes = np.diff(np.append(first, len(f)))
+            if sizes.max() > longest:
+                raise ValueError(f"a list of {sizes.max()} tracks; sets are planned for {longest} at most")
+            dims = f["v"].str.len().to_numpy()[first] if "v" in columns else np.zeros(len(first))
+            at = []
+            for n, dim in sorted(set(zip(sizes.tolist(), dims.tolist(), strict=True))):
+                begin = first[(sizes == n) & (dims == dim)]
+                rows = begin[:, None] + np.arange(n)
+                part = {c: (np.stack(f["v"].to_numpy()[rows.ravel()]).astype(float) if c == "v" else f[c].to_numpy()[rows.ravel()]) for c in columns}
+                part = {c: x.reshape(len(begin), n, *x.shape[1:]) for c, x in part.items()}
+                at.append((begin[:, None] + _greedies(start_of(part), n, cost_of(part)), np.broadcast_to(np.arange(n, dtype=np.int32), rows.shape)))
+            order, place = (np.concatenate([x[k].ravel() for x in at]) for k in (0, 1))
+            yield pd.DataFrame({"list": own.to_numpy()[order], "id": f["id"].to_numpy()[order], "place": place})
+
+    rows = lists.select("list", "id", *columns).repartition("list").sortWithinPartitions("list", F.asc_nulls_last("id"))
+    return rows.mapInPandas(run, fields)
+
+
+def _parsed(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Number (nan where it is none) and ring of keys, each key read once."""
+    own, names = pd.factorize(pd.Series(codes, dtype="object").fillna("").astype(str))
+    parsed = pd.Series(names, dtype="object").astype(str).str.strip().str.extract(r"^(\d+)([ABab])$")
+    num, ring = pd.to_numeric(parsed[0]).to_numpy(dtype=float), parsed[1].str.upper().fillna("").to_numpy(dtype=str)
+    return np.where((num >= 1) & (num <= 12), num, np.nan)[own], ring[own]
+
 
-    return lists.groupBy("list").applyInPandas(run, fields)
+def _apart(num, ring, own_num, own_ring) -> np.ndarray:
+    """Distances of keys, as camelot_distance() has them."""
+    d, same = (num - own_num) % 12, ring == own_ring
+    d = np.minimum(d, 12 - d)
+    return np.where(np.isnan(d), 12, np.where(d == 0, np.where(same, 0, 1), d + np.where(same, 0, 2)))
 
 
 def _wheel(codes) -> np.ndarray:
-    """Pairwise distances of keys, as camelot_distance() has them."""
-    parsed = pd.Series(codes, dtype="object").fillna("").astype(str).str.strip().str.extract(r"^(\d+)([ABab])$")
-    num, ring = pd.to_numeric(parsed[0]).to_numpy(dtype=float), parsed[1].str.upper().fillna("").to_numpy(dtype=str)
-    num = np.where((num >= 1) & (num <= 12), num, np.nan)
-    d = (num[:, None] - num[None, :]) % 12
-    d, same = np.minimum(d, 12 - d), ring[:, None] == ring[None, :]
-    return np.where(np.isnan(d), 12, np.where(d == 0, np.where(same, 0, 1), d + np.where(same, 0, 2)))
+    """Pairwise distances of keys."""
+    num, ring = _parsed(codes)
+    return _apart(num[:, None], ring[:, None], num[None, :], ring[None, :])
+
+
+def _keys_from(codes: np.ndarray):
+    """The function from a place in each list to the distances of all its keys from the one there."""
+    num, ring = (x.reshape(codes.shape) for x in _parsed(codes.ravel()))
+    rows = np.arange(len(codes))
+    return lambda at: _apart(num, ring, num[rows, at][:, None], ring[rows, at][:, None])
 
 
 def _fold(b):
@@ -260,21 +319,26 @@ def _fold(b):
 
 def flow_order(lists: DataFrame, longest: int = 500) -> DataFrame:
     """Lists (list, id, v, bpm) in an order where each next track is the one most like the last; begins with the least id. list, id, place."""
-    def costs(pdf):
-        v, bpm = np.stack(pdf["v"].to_numpy()).astype(float), _fold(pdf["bpm"].to_numpy(dtype=float))
-        unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-        return lambda at, step: 1 - unit @ unit[at] + np.where((bpm > 0) & (bpm[at] > 0), np.minimum(np.abs(bpm - bpm[at]) / 8, 1.5), 0)
+    def costs(x):
+        v, bpm, rows = x["v"], _fold(x["bpm"].astype(float)), np.arange(len(x["bpm"]))
+        unit = v / np.maximum(np.linalg.norm(v, axis=2, keepdims=True), 1e-12)
+
+        def cost(at, step):
+            own = bpm[rows, at][:, None]
+            return 1 - np.einsum("bnd,bd->bn", unit, unit[rows, at]) + np.where((bpm > 0) & (own > 0), np.minimum(np.abs(bpm - own) / 8, 1.5), 0)
+
+        return cost
 
-    return _ordered(lists, costs, lambda pdf: 0, longest)
+    return _ordered(lists, ("v", "bpm"), costs, lambda x: np.zeros(len(x["bpm"]), dtype=np.int64), longest)
 
 
 def endless_set(lists: DataFrame, longest: int = 500) -> DataFrame:
     """Lists (list, id, bpm, camelot) in an order where each hand-over scores best; begins with the least id. list, id, place."""
-    def costs(pdf):
-        bpm, wheel = np.maximum(pdf["bpm"].to_numpy(dtype=float), 1), _wheel(pdf["camelot"])
-        return lambda at, step: -(0.45 * np.clip(1 - np.abs(bpm[at] / bpm - 1) / 0.12, 0, 1) + 0.35 * np.clip(1 - wheel[at] / 4, 0, 1))
+    def costs(x):
+        bpm, away, rows = np.maximum(x["bpm"].astype(float), 1), _keys_from(x["camelot"]), np.arange(len(x["bpm"]))
+        return lambda at, step: -(0.45 * np.clip(1 - np.abs(bpm[rows, at][:, None] / bpm - 1) / 0.12, 0, 1) + 0.35 * np.clip(1 - away(at) / 4, 0, 1))
 
-    return _ordered(lists, costs, lambda pdf: 0, longest)
+    return _ordered(lists, ("bpm", "camelot"), costs, lambda x: np.zeros(len(x["bpm"]), dtype=np.int64), longest)
 
 
 def energy_target(curve: str, p: float) -> float:
@@ -294,14 +358,14 @@ def energy_set(lists: DataFrame, curve: str = "rise", harmonic: bool = True, max
     """Lists (list, id, bpm, camelot, energy) in an order that follows a curve of energy with small steps of key and tempo. list, id, place."""
     wk, wb, we = (0.45, 0.30, 0.25) if harmonic else (0.15, 0.30, 0.55)
 
-    def costs(pdf):
-        bpm, energy, wheel = pdf["bpm"].to_numpy(dtype=float), pdf["energy"].to_numpy(dtype=float), _wheel(pdf["camelot"])
+    def costs(x):
+        bpm, energy, away, rows = x["bpm"].astype(float), x["energy"].astype(float), _keys_from(x["camelot"]), np.arange(len(x["bpm"]))
 
         def cost(at, step):
-            jump = np.abs(bpm - bpm[at])
+            jump = np.abs(bpm - bpm[rows, at][:, None])
             over = np.maximum(0, jump - max_jump) / max_jump * 0.5 if max_jump > 0 else 0
-            return wk * wheel[at] / 12 + wb * (np.minimum(jump / 16, 1) + over) + we * np.abs(energy - energy_target(curve, step / max(1, len(bpm) - 1)))
+            return wk * away(at) / 12 + wb * (np.minimum(jump / 16, 1) + over) + we * np.abs(energy - energy_target(curve, step / max(1, bpm.shape[1] - 1)))
 
         return cost
 
-    return _ordered(lists, costs, lambda pdf: int((pdf["energy"] - energy_target(curve, 0)).abs().to_numpy().argmin()), longest)
+    return _ordered(lists, ("bpm", "camelot", "energy"), costs, lambda x: np.abs(x["energy"].astype(float) - energy_target(curve, 0)).argmin(axis=1), longest)

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,3 +154,45 @@ def test_suggestions_leave_out_clashes(spark):
     a = spark.createDataFrame([("Calm", "low"), ("Warm", None)], "word string, mood string")
     s = spark.createDataFrame([("rave", "high"), ("rain", "low"), ("road", None)], "scene string, mood string")
     assert {r.phrase for r in ds.suggestions(a, s).collect()} == {"Rave", "Rain", "Road", "Calm rain", "Calm road", "Warm rave", "Warm rain", "Warm road"}
+
+
+def test_lists_of_all_lengths_in_order_at_once(spark):
+    rnd = random.Random(12)
+    rows = [(k, i, float(rnd.randint(0, 190)), rnd.choice(KEYS), rnd.random(), [rnd.gauss(0, 1) for _ in range(3 + k % 2)]) for k in range(300) for i in rnd.sample(range(99), rnd.choice((1, 2, 5, 17)))]
+    t = spark.createDataFrame(rows, "list int, id int, bpm double, camelot string, energy double, v array<double>")
+    lists: dict = {}
+    for row in sorted(rows):
+        lists.setdefault(row[0], []).append(row)
+    fold = lambda b: float(m._fold(np.array([b]))[0])
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+
+    def flow(p, r, at):
+        a, b = fold(p[2]), fold(r[2])
+        return 1 - unit(p[5]) @ unit(r[5]) + (min(abs(a - b) / 8, 1.5) if a > 0 and b > 0 else 0)
+
+    def endless(p, r, at):
+        return -(0.45 * min(1, max(0, 1 - abs(max(p[2], 1) / max(r[2], 1) - 1) / 0.12)) + 0.35 * min(1, max(0, 1 - camelot(p[3], r[3]) / 4)))
+
+    def energy(p, r, at):
+        jump = abs(r[2] - p[2])
+        return 0.45 * camelot(p[3], r[3]) / 12 + 0.3 * (min(jump / 16, 1) + max(0, jump - 12) / 12 * 0.5) + 0.25 * abs(r[4] - m.energy_target("peak", at))
+
+    def best(p, r, cost, at, got):
+        costs = [cost(p, x, at) for x in r]
+        return got in [x[1] for x, c in zip(r, costs, strict=True) if c < min(costs) + 1e-9]
+
+    for of, cost, first in ((m.flow_order, flow, lambda r: r[0][1]), (m.endless_set, endless, lambda r: r[0][1]), (lambda x: m.energy_set(x, "peak", True, 12.0), energy, lambda r: min(r, key=lambda x: x[4])[1])):
+        got: dict = {}
+        for row in of(t).orderBy("list", "place").collect():
+            assert row.place == len(got.setdefault(row.list, []))
+            got[row.list].append(row.id)
+        assert got.keys() == lists.keys()
+        for k, order in got.items():
+            own = {r[1]: r for r in lists[k]}
+            assert order[0] == first(lists[k]) and sorted(order) == sorted(own)
+            for n in range(1, len(order)):
+                assert best(own[order[n - 1]], [own[i] for i in order[n:]], cost, n / max(1, len(order) - 1), order[n])
+    frame = t.toPandas().sort_values(["list", "id"])
+    cut = [frame.iloc[a : a + 7] for a in range(0, len(frame), 7)]
+    whole = list(m._whole_lists(iter(cut), 500))
+    assert sum(map(len, whole)) == len(frame) and all(set(a["list"]).isdisjoint(b["list"]) for a, b in zip(whole, whole[1:]))
