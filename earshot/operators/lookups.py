@@ -203,7 +203,7 @@ def recent_history(rated: DataFrame, n: int = 8) -> DataFrame:
 
 
 def scroll_label(sort: str) -> Column:
-    """What a fast scroll shows of a track under a sort: its letter, year, minutes, stars, plays or month."""
+    """What a fast scroll shows of a track under a sort: its letter, year, minutes, stars, plays or month; a dash where there is no year, no stars or no time after 1970."""
     letter = lambda c: F.when(F.upper(F.substring(F.trim(F.coalesce(c, F.lit(""))), 1, 1)).rlike("^[A-Z]$"), F.upper(F.substring(F.trim(c), 1, 1))).otherwise("#")
     plays, at = F.coalesce("plays", F.lit(0)), F.coalesce("mtime", F.lit(0.0))
     rules = {

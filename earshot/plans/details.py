@@ -164,8 +164,8 @@ ORACLE: dict[str, str] = {
     "year_songs": f"""with {TRACK_STATS}, sg as (select title, plays, row_number() over (order by plays desc, seq) - 1 as pos from ts where plays > 0), w as (select coalesce(nullif(album_artist, ''), nullif(artist, '')) as name, sum(plays)::bigint as plays from ts where plays > 0 group by 1),
       v as (select *, row_number() over (order by plays desc, name) - 1 as pos from w where name is not null) select 'song' as kind, pos::int as pos, title as name, plays from sg where pos < 18 union all select 'artist', pos::int, name, plays from v where pos < 3""",
     "recent_history": f"with {TRACK_STATS} select seq, last_played from ts where plays > 0 and last_played > 0 order by last_played desc, seq limit 8",
-    "scroll_labels": f"""with {TRACK_STATS} select seq, {_LETTER('title')} as title, {_LETTER('artist')} as artist, {_LETTER('album')} as album, year::varchar as year, floor(duration / 60)::bigint || 'm' as duration, case when rating > 0 then repeat('★', rating::int) else '—' end as rating,
-      case when plays >= 100 then '100+' when plays >= 10 then '10+' else plays::varchar end as plays, strftime(make_timestamp((mtime * 1000000)::bigint), '%b %y') as recent from ts""",
+    "scroll_labels": f"""with {TRACK_STATS} select seq, {_LETTER('title')} as title, {_LETTER('artist')} as artist, {_LETTER('album')} as album, case when year <> 0 then year::varchar else '—' end as year, floor(duration / 60)::bigint || 'm' as duration, case when rating > 0 then repeat('★', rating::int) else '—' end as rating,
+      case when plays >= 100 then '100+' when plays >= 10 then '10+' else plays::varchar end as plays, case when mtime > 0 then strftime(make_timestamp((case when mtime > 1e12 then mtime / 1000 else mtime end * 1000000)::bigint), '%b %y') else '—' end as recent from ts""",
     "text_derivations": f"""with {TRACKS} select seq, case seq % 3 when 0 then 'audio/mpeg' when 1 then 'audio/flac' else 'application/octet-stream' end as mime, array_to_string(list_transform(string_split(title, ' '), lambda w: upper(w[1]) || w[2:]), ' ') as capital, md5(path) as token,
       'https://genius.com/search?q=' || url_encode(artist || ' ' || title) as lyrics, case when seq % 2 = 0 then 'Music/' || seq end as tree, case seq % 3 when 0 then 'http://h:1/x' when 1 then 'http://h:1/y' else 'http://z/' end as url, '&lt;a b=&quot;c&quot;&gt;&amp;' || artist as xml from t""",
     "page_hosts": "select page_id, split_part(split_part(url, '://', 2), '/', 1) as host, case when regexp_matches(html, '(?s)<h1>.*?</h1>') then trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)) end as head from pages",

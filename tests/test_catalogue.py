@@ -59,3 +59,17 @@ def test_cosine_and_tempo(spark):
     assert [tuple(x) for x in v.similar(t, 1, 5).collect()] == [(2, 1.0), (3, 0.0)]
     assert [x[0] for x in t.orderBy("id").select(v.fold_bpm("bpm")).collect()] == [70.0, 90.0, 0.0]
     assert v.described(t, {}, 5).count() == 0
+
+
+def test_scroll_labels_of_times_before_1970_beside_sql(spark, tmp_path):
+    from earshot.plans import registry
+    from scripts.compare import TABLES, compare
+
+    for t in TABLES:
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        df = df.unionByName(df.withColumn("p_partkey", F.col("p_partkey") + 1_000_000)) if t == "part" else df
+        if t in ("part", "lineitem"):
+            df.write.parquet(f"{tmp_path}/{t}.parquet")
+        else:
+            (tmp_path / f"{t}.parquet").symlink_to(f"/root/testdata/sf0.001/{t}.parquet")
+    assert compare(spark, str(tmp_path), "scroll_labels", registry.QUERIES["scroll_labels"], registry.ORACLE["scroll_labels"]) == ""
