@@ -197,28 +197,106 @@ class Model:
         side.append([np.array(v, dtype=float), strength])
 
 
+#: Parts into which listeners are dealt, each folded as one, and listeners' sides from which on their events are taken together.
+PARTS, FEW = 256, 4
+
+
+class Models:
+    """Models of many listeners: their sides' n-th events are taken in together, so that a listener costs no calls of its own. Sides 2i and 2i + 1 are what listener i likes and dislikes."""
+
+    def __init__(self, listeners: int, dims: int):
+        self.centre, self.mass, self.size = np.zeros((2 * listeners, K, dims)), np.zeros((2 * listeners, K)), np.zeros(2 * listeners, dtype=np.int64)
+
+    def learn(self, listener: np.ndarray, vectors: np.ndarray, at: np.ndarray, weight: np.ndarray) -> None:
+        """Events in order: the listener, which of the vectors, and the weight, which is not 0."""
+        side = listener * 2 + (weight < 0)
+        order = np.argsort(side, kind="stable")
+        side, at, strength = side[order], at[order], np.abs(weight[order])
+        first = np.flatnonzero(np.diff(side, prepend=-1))
+        counts = np.diff(np.append(first, len(side)))
+        for turn in range(int(counts.max(initial=0))):
+            on = counts > turn
+            if np.count_nonzero(on) < FEW:
+                for a, n in zip(first[on].tolist(), counts[on].tolist(), strict=True):
+                    self._alone(int(side[a]), vectors[at[a + turn : a + n]], strength[a + turn : a + n])
+                return
+            now = first[on] + turn
+            self._take(side[now], vectors[at[now]], strength[now])
+
+    def _alone(self, g: int, vectors: np.ndarray, strength: np.ndarray) -> None:
+        model = Model([(1, self.centre[g, k], self.mass[g, k]) for k in range(self.size[g])])
+        for v, w in zip(vectors, strength.tolist(), strict=True):
+            model.add(v, w)
+        rows = model.rows()
+        self.size[g] = len(rows)
+        for k, (_, v, mass) in enumerate(rows):
+            self.centre[g, k], self.mass[g, k] = v, mass
+
+    def _take(self, g: np.ndarray, v: np.ndarray, strength: np.ndarray) -> None:
+        c, length, own = self.centre[g], np.linalg.norm(self.centre[g], axis=2), self.size[g]
+        share = lambda dot, n: np.divide(dot, n, out=np.zeros(dot.shape), where=n > 3.5e-4)
+        sims = np.where(np.arange(K) < own[:, None], share(np.einsum("nkd,nd->nk", c, v), length * np.linalg.norm(v, axis=1)[:, None]), -np.inf)
+        near = sims.argmax(axis=1)
+        hit = sims.max(axis=1) >= SPAWN_BELOW
+        unit = lambda x: x / (lambda n: np.where(n == 0, 1.0, n))(np.linalg.norm(x, axis=1, keepdims=True))
+        k = near[hit]
+        was = c[hit, k]
+        self.centre[g[hit], k] = unit(was + ETA * strength[hit][:, None] * (v[hit] - was))
+        self.mass[g[hit], k] += strength[hit]
+        full = ~hit & (own >= K)
+        if full.any():
+            gf, cf, m, n = g[full], c[full], self.mass[g[full]], length[full]
+            pairs = share(np.matmul(cf, cf.transpose(0, 2, 1)), n[:, :, None] * n[:, None, :])
+            pairs[:, np.tri(K, dtype=bool)] = -2
+            i, j = np.unravel_index(pairs.reshape(len(gf), -1).argmax(axis=1), (K, K))
+            rows = np.arange(len(gf))
+            both = m[rows, i] + m[rows, j]
+            cf[rows, i] = unit((cf[rows, i] * m[rows, i][:, None] + cf[rows, j] * m[rows, j][:, None]) / both[:, None])
+            m[rows, i] = both
+            rest = np.arange(K - 1) + (np.arange(K - 1) >= j[:, None])
+            self.centre[gf, : K - 1], self.mass[gf, : K - 1] = cf[rows[:, None], rest], m[rows[:, None], rest]
+            self.size[gf] = K - 1
+        new = g[~hit]
+        self.centre[new, self.size[new]], self.mass[new, self.size[new]] = v[~hit], strength[~hit]
+        self.size[new] += 1
+
+    def frame(self, users: list) -> pd.DataFrame:
+        """user_id, side, centroid, mass, v; centroids are numbered over both sides."""
+        side, k = np.nonzero(np.arange(K) < self.size[:, None])
+        start = np.where(side % 2 == 1, self.size[side - side % 2], 0)
+        return pd.DataFrame({"user_id": pd.array([users[i] for i in (side // 2).tolist()], dtype="Int64"), "side": np.where(side % 2 == 0, 1, -1).astype(np.int32), "centroid": (k + start).astype(np.int32), "mass": self.mass[side, k], "v": list(self.centre[side, k])})
+
+
+def numbered_users(user: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, list]:
+    """The number of each row's listener, and the listeners by number; one without an id is one of its own."""
+    both = np.stack((user.astype(np.int64), none.astype(np.int64)), axis=1)
+    names, own = np.unique(both, axis=0, return_inverse=True)
+    return own.ravel(), [None if n else u for u, n in names.tolist()]
+
+
 def online_model(events: DataFrame, vectors: DataFrame) -> DataFrame:
     """Events (user_id, seq, kind, track) and vectors (id, v) to user_id, side, centroid, mass, v: the model after all events in order of seq.
 
-    The order of a listener's events decides, so they are one group. A group holds its events as numbers, and each of its tracks' vectors once.
+    The order of a listener's events decides, so a listener is in one part with others. A part holds its events as numbers, and each of its tracks' vectors once.
     """
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_WEIGHTS.items() for x in kv]), F.col("kind"))
-    e = events.withColumn("w", weight).where("w <> 0 and track is not null").select("user_id", "seq", "w", "track")
-    v = e.select("user_id", "track").distinct().join(vectors.select(F.col("id").alias("track"), F.col("v").cast("array<double>").alias("v")), "track").select(F.col("user_id").alias("user_id"), F.col("track").alias("track"), "v")
+    user = [F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), F.col("user_id").isNull().alias("none")]
+    e = events.withColumn("w", weight).where("w <> 0 and track is not null").select(F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int").alias("part"), *user, "seq", "w", "track")
+    v = e.select("part", "track").distinct().join(vectors.select(F.col("id").alias("track"), F.col("v").cast("array<double>").alias("v")), "track").select(F.col("part").alias("part"), F.col("track").alias("track"), "v")
 
     def fold(e: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
-        m = Model()
-        if len(v):
-            at = pd.Series(np.arange(len(v)), index=v["track"]).reindex(e["track"]).to_numpy(dtype=float)
-            known = np.flatnonzero(~np.isnan(at))
-            known = known[np.argsort(e["seq"].to_numpy()[known], kind="stable")]
-            rows, weights = np.stack(v["v"].to_numpy()), e["w"].to_numpy(dtype=float)
-            for i in known.tolist():
-                m.add(rows[int(at[i])], weights[i])
-        out = [(e["user_id"].iloc[0], s, i, mass, x) for i, (s, x, mass) in enumerate(m.rows())]
-        return pd.DataFrame(out, columns=["user_id", "side", "centroid", "mass", "v"])
-
-    return e.groupBy("user_id").cogroup(v.groupBy("user_id")).applyInPandas(fold, "user_id long, side int, centroid int, mass double, v array<double>")
+        if not len(v) or not len(e):
+            return Models(0, 0).frame([])
+        at = pd.Series(np.arange(len(v)), index=v["track"]).reindex(e["track"]).to_numpy(dtype=float)
+        known = np.flatnonzero(~np.isnan(at))
+        known = known[np.argsort(e["seq"].to_numpy()[known], kind="stable")]
+        own, users = numbered_users(e["user"].to_numpy()[known], e["none"].to_numpy()[known])
+        rows = np.stack(v["v"].to_numpy())
+        m = Models(len(users), rows.shape[1])
+        m.learn(own, rows, at[known].astype(np.int64), e["w"].to_numpy(dtype=float)[known])
+        return m.frame(users)
+
+    return e.groupBy("part").cogroup(v.groupBy("part")).applyInPandas(fold, "user_id long, side int, centroid int, mass double, v array<double>")
 
 
 def _greedy(n: int, start: int, cost) -> list[int]:

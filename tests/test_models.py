@@ -196,3 +196,50 @@ def test_lists_of_all_lengths_in_order_at_once(spark):
     cut = [frame.iloc[a : a + 7] for a in range(0, len(frame), 7)]
     whole = list(m._whole_lists(iter(cut), 500))
     assert sum(map(len, whole)) == len(frame) and all(set(a["list"]).isdisjoint(b["list"]) for a, b in zip(whole, whole[1:]))
+
+
+def test_models_together_are_those_of_each_alone():
+    rnd = np.random.default_rng(5)
+    vectors = np.concatenate((rnd.normal(size=(40, 5)), np.zeros((1, 5))))
+    events = [(int(u), int(t), float(w)) for u, t, w in zip(rnd.integers(0, 30, 3_000) ** 2 // 30, rnd.integers(0, 41, 3_000), rnd.choice([1.5, 0.8, -0.5, -1.0], 3_000), strict=True)]
+    want = {}
+    for u, t, w in events:
+        want.setdefault(u, m.Model()).add(vectors[t], w)
+    for few in (0, m.FEW, 1_000):
+        got = m.Models(30, 5)
+        m.FEW, before = few, m.FEW
+        try:
+            for part in (events[:700], events[700:]):  # and what was learnt stays
+                u, t, w = (np.array(x) for x in zip(*part, strict=True))
+                got.learn(u, vectors, t, w)
+        finally:
+            m.FEW = before
+        rows = got.frame(list(range(30)))
+        for u, model in want.items():
+            mine = rows[rows["user_id"] == u]
+            assert [(s, round(mass, 9)) for s, _, mass in model.rows()] == [(s, round(mass, 9)) for s, mass in zip(mine["side"], mine["mass"], strict=True)]
+            assert np.allclose(np.stack(mine["v"].to_numpy()), [v for _, v, _ in model.rows()]) and mine["centroid"].tolist() == list(range(len(mine)))
+        assert len(rows) == sum(len(x.rows()) for x in want.values())
+
+
+def test_a_clock_of_many_pieces_goes_by_seq(spark, tmp_path):
+    r = random.Random(3)
+    events = [(r.choice([1, 2, None]), k, r.choice([0, 3600, None]), r.choice(["Like", "FullPlay", "SkipMid"])) for k in range(900)]
+    r.shuffle(events)
+    schema = "user_id long, seq long, ts long, kind string"
+    spark.createDataFrame(events, schema).repartition(6).write.parquet(str(tmp_path / "in"))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 20)
+    try:
+        got = st.drain(st.hourly_clock(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), cap=5), str(tmp_path / "clock"), "update").collect()
+    finally:
+        spark.conf.set(key, before)
+    hours: dict = {}
+    for user, _, ts, kind in sorted(events, key=lambda e: e[1]):
+        h = hours.setdefault((user, None if ts is None else ts // 3600), {})
+        h[kind] = h.get(kind, 0.0) + 1
+        if h[kind] >= 5:
+            for k in h:
+                h[k] /= 2
+    assert {(g.user_id, g.hour, g.kind): g.weight for g in got} == {(*k, kind): w for k, h in hours.items() for kind, w in h.items()}
