@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from earshot.operators.recommend import EVENT_WEIGHTS
-from earshot.operators.taste import Model
+from earshot.operators.taste import PARTS, Models, numbered_users
 
 
 def counters(events: DataFrame, most_skips: int = 10) -> DataFrame:
@@ -84,21 +84,35 @@ def last_played(events: DataFrame) -> DataFrame:
 
 
 def taste_model(events: DataFrame, vectors: DataFrame) -> DataFrame:
-    """user_id, side, centroid, mass, v after each batch of events; vectors (id, v) is a static table. Sink in update mode: the last rows of a user hold."""
+    """user_id, side, centroid, mass, v after each batch of events; vectors (id, v) is a static table. Sink in update mode: the last rows of a user hold. Listeners are dealt into parts, which are the keys of the state."""
     weight = F.element_at(F.create_map(*[F.lit(x) for kv in EVENT_WEIGHTS.items() for x in kv]), F.col("kind"))
-    e = events.withColumn("w", weight).where("w <> 0").join(vectors.select(F.col("id").alias("track"), F.col("v").cast("array<double>").alias("v")), "track").select("user_id", "seq", "w", "v")
+    user = [F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int").alias("part"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), F.col("user_id").isNull().alias("none")]
+    e = events.withColumn("w", weight).where("w <> 0").join(vectors.select(F.col("id").alias("track"), F.col("v").cast("array<double>").alias("v")), "track").select(*user, "seq", "w", "v")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        sides, masses, flat = state.get if state.exists else ([], [], [])
-        size = len(flat) // max(1, len(sides))
-        m = Model([(s, flat[i * size : (i + 1) * size], mass) for i, (s, mass) in enumerate(zip(sides, masses, strict=True))])
-        for r in pd.concat(batches).sort_values("seq").itertuples():
-            m.add(np.asarray(r.v, dtype=float), r.w)
-        rows = m.rows()
-        state.update(([s for s, _, _ in rows], [mass for _, _, mass in rows], [x for _, v, _ in rows for x in v]))
-        yield pd.DataFrame([(key[0], s, i, mass, v) for i, (s, v, mass) in enumerate(rows)], columns=["user_id", "side", "centroid", "mass", "v"])
-
-    return e.groupBy("user_id").applyInPandasWithState(step, "user_id long, side int, centroid int, mass double, v array<double>", "sides array<int>, masses array<double>, flat array<double>", "update", GroupStateTimeout.NoTimeout)
+        told = []
+        for b in batches:
+            told.append((b[["user", "none", "seq", "w"]], np.stack(b["v"].to_numpy()).astype(float)))
+        now, rows = pd.concat([f for f, _ in told], ignore_index=True), np.concatenate([v for _, v in told])
+        order = np.argsort(now["seq"].to_numpy(), kind="stable")
+        was = (np.frombuffer(x, dtype=kind) for x, kind in zip(state.get, (np.int64, np.int64, float, float), strict=True)) if state.exists else (np.zeros(0, dtype=k) for k in (np.int64, np.int64, float, float))
+        held, size, mass, flat = was
+        held = held.reshape(-1, 2)
+        own, users = numbered_users(np.concatenate((held[:, 0], now["user"].to_numpy())), np.concatenate((held[:, 1], now["none"].to_numpy())))
+        m, mine = Models(len(users), rows.shape[1]), own[: len(held)]
+        sides = (mine[:, None] * 2 + np.arange(2)).ravel()
+        m.size[sides] = size
+        side, k = np.nonzero(np.arange(m.mass.shape[1]) < size[:, None])
+        m.mass[sides[side], k], m.centre[sides[side], k] = mass, flat.reshape(-1, rows.shape[1])
+        m.learn(own[len(held) :][order], rows, order, now["w"].to_numpy(dtype=float)[order])
+        side, k = np.nonzero(np.arange(m.mass.shape[1]) < m.size[:, None])
+        keys = np.array([(0, 1) if u is None else (u, 0) for u in users], dtype=np.int64)
+        state.update((keys.tobytes(), m.size.tobytes(), m.mass[side, k].tobytes(), m.centre[side, k].tobytes()))
+        heard = set(own[len(held) :].tolist())
+        out = m.frame(users)
+        yield out[np.isin(side // 2, list(heard))]
+
+    return e.groupBy("part").applyInPandasWithState(step, "user_id long, side int, centroid int, mass double, v array<double>", "users binary, sizes binary, masses binary, flat binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def events_stream(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
