@@ -54,21 +54,42 @@ def finished_sessions(events: DataFrame) -> DataFrame:
 def hourly_clock(events: DataFrame, cap: int = 240) -> DataFrame:
     """user_id, hour, kind, weight: counts of the kinds that a listener heard in an hour of the day, all halved whenever one of them comes to the cap. Sink in update mode.
 
-    A batch's events come in pieces of bounded size, and no more than one piece is held; what is kept is one number a kind.
+    Listeners are dealt into PARTS parts, which are the keys of the state, as a key costs far more than its few numbers. A part holds the events of a batch as numbers, for their
+    order is that of all of them; what is kept is a listener's hours with one number a kind.
     """
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kinds, weights = (list(x) for x in state.get) if state.exists else ([], [])
-        clock = dict(zip(kinds, weights, strict=True))
+        kinds, clocks = [], {}
+        if state.exists:
+            kinds, keys, weights = list(state.get[0]), np.frombuffer(state.get[1], dtype=np.int64).reshape(-1, 2), np.frombuffer(state.get[2]).reshape(-1, len(state.get[0]))
+            clocks = {(u, h): w for (u, h), w in zip(keys.tolist(), weights.tolist(), strict=True)}
+        parts = []
         for batch in batches:
-            for kind in batch.sort_values("seq")["kind"]:
-                clock[kind] = clock.get(kind, 0.0) + 1
-                if clock[kind] >= cap:
-                    clock = {k: w / 2 for k, w in clock.items()}
-        state.update((list(clock), list(clock.values())))
-        yield pd.DataFrame([(*key, k, w) for k, w in clock.items()], columns=["user_id", "hour", "kind", "weight"])
-
-    t = events.where("kind is not null").select("user_id", F.hour(F.timestamp_seconds("ts")).cast("long").alias("hour"), "kind", "seq")
-    return t.groupBy("user_id", "hour").applyInPandasWithState(step, "user_id long, hour long, kind string, weight double", "kinds array<string>, weights array<double>", "update", GroupStateTimeout.NoTimeout)
+            codes, names = pd.factorize(batch["kind"])
+            kinds += [k for k in names if k not in kinds]
+            parts.append(np.stack((batch["seq"], batch["user"], batch["hour"], np.array([kinds.index(k) for k in names], dtype=np.int64)[codes]), axis=1))
+        now = np.concatenate(parts)
+        for _, user, hour, kind in now[np.argsort(now[:, 0], kind="stable")].tolist():
+            clock = clocks.get((user, hour))
+            if clock is None:
+                clock = clocks[user, hour] = [0.0] * len(kinds)
+            elif len(clock) < len(kinds):
+                clock += [0.0] * (len(kinds) - len(clock))
+            clock[kind] += 1
+            if clock[kind] >= cap:
+                clock[:] = [w / 2 for w in clock]
+        whole = np.array([w + [0.0] * (len(kinds) - len(w)) for w in clocks.values()])
+        state.update((kinds, np.array(list(clocks), dtype=np.int64).tobytes(), whole.tobytes()))
+        told = list({(u, h): None for u, h in now[:, 1:3].tolist()})
+        weights, keys = np.array([clocks[k] for k in told]), np.array(told, dtype=np.int64)
+        row, kind = np.nonzero(weights)  # a kind that came has more than nothing for ever
+        user, hour = keys[row, 0], keys[row, 1]
+        yield pd.DataFrame({
+            "user_id": pd.Series(user, dtype="Int64").mask(hour >= 25), "hour": pd.Series(hour % 25, dtype="Int64").mask(hour % 25 == 24), "kind": np.array(kinds, dtype=object)[kind], "weight": weights[row, kind]})
+
+    # Hour 24 is that of an event without a time, and 25 and on are those of no listener.
+    hour = F.coalesce(F.hour(F.timestamp_seconds("ts")), F.lit(24)) + F.when(F.col("user_id").isNull(), 25).otherwise(0)
+    t = events.where("kind is not null").select(F.pmod(F.xxhash64("user_id"), F.lit(PARTS)).cast("int").alias("part"), F.coalesce("user_id", F.lit(0)).cast("long").alias("user"), hour.cast("long").alias("hour"), "kind", F.col("seq").cast("long").alias("seq"))
+    return t.groupBy("part").applyInPandasWithState(step, "user_id long, hour long, kind string, weight double", "kinds array<string>, keys binary, weights binary", "update", GroupStateTimeout.NoTimeout)
 
 
 def event_log(events: DataFrame, most: int = 20_000) -> DataFrame:
