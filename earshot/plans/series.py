@@ -51,7 +51,7 @@ def _points(s, d):
 
 
 QUERIES: dict = {
-    "playlist_round_trip": lambda s, d: fm.m3u_entries(fm.to_m3u(_entries(s, d))).select("id", F.row_number().over(ts.Window.partitionBy("id").orderBy("pos")).alias("pos"), "path", "title", "artist"),
+    "playlist_round_trip": lambda s, d: fm.numbered_entries(fm.to_m3u(_entries(s, d))).select("id", F.col("n").alias("pos"), "path", "title", "artist"),
     "playlist_matched": lambda s, d: fm.matched(_entries(s, d).withColumns({"path": F.when(F.col("pos") % 2 == 0, F.concat(F.lit("x/"), "path")).otherwise(F.col("path")), "title": F.when(F.col("pos") % 4 == 0, "").otherwise("given"), "artist": F.lit(None).cast("string")}), tracks(s, d)),
     "playlist_streams": lambda s, d: fm.m3u_streams(_files(s, d, _line("stream"))).select("id", "url", "title"),
     "playlist_numbered": lambda s, d: fm.pls_entries(_files(s, d, _line("pls"))),

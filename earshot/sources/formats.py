@@ -20,27 +20,43 @@ def lines(files: DataFrame) -> DataFrame:
     return out.withColumn("line", F.btrim("line", F.lit(" \t"))).where("line <> ''")
 
 
-def _carried(rows: DataFrame, entry, info) -> DataFrame:
-    """Entry lines, each with the last info that came since the entry before it, as column info."""
-    by = Window.partitionBy("id").orderBy("pos")
-    rows = rows.withColumn("turn", F.sum(F.when(entry, 1).otherwise(0)).over(by) - F.when(entry, 1).otherwise(0))
-    rows = rows.withColumn("info", F.last(info, ignorenulls=True).over(Window.partitionBy("id", "turn").orderBy("pos")))
-    return rows.where(entry)
+def _carried(files: DataFrame, entry, info) -> DataFrame:
+    """id, pos, n (from 1), line, info: entry lines, each with the last info that came since the entry before it. entry() and info() take a line; info is null where a line says nothing.
+
+    A file is one row, so its lines stay in it: what lies between two entries is a slice, and all slices together are as long as the file.
+    """
+    bind = lambda x, of: F.get(F.transform(F.array(x), of), F.lit(0))
+    cut = F.transform(F.split("text", r"\r?\n"), lambda x, i: F.struct(i.alias("pos"), F.btrim(x, F.lit(" \t")).alias("line")))
+    rows = files.select("id", F.filter(cut, lambda x: x["line"] != "").alias("rows"))
+
+    def entries(rows):
+        at = F.filter(F.transform(rows, lambda x, i: F.when(entry(x["line"]), i)), lambda i: i.isNotNull())
+        return bind(at, lambda at: F.transform(at, lambda i, k: bind(F.when(k > 0, F.get(at, k - 1) + 1).otherwise(0), lambda begin: F.struct(
+            F.get(rows, i)["pos"].alias("pos"), (k + 1).alias("n"), F.get(rows, i)["line"].alias("line"), said(rows, begin, i).alias("info")))))
+
+    def said(rows, begin, i):
+        all_ = F.filter(F.transform(F.slice(rows, begin + 1, i - begin + 1), lambda x: info(x["line"])), lambda x: x.isNotNull())
+        return F.try_element_at(all_, F.lit(-1))
+
+    return rows.select("id", F.inline(bind(F.col("rows"), entries)))
 
 
 def m3u_entries(files: DataFrame) -> DataFrame:
     """id, pos, path, title, artist; names come from the note before a path and are null without one."""
-    label = F.regexp_extract("line", r"^#EXTINF:-?\d+\s*,\s*(.*)$", 1)
-    noted = F.when(F.col("line").rlike(r"^#EXTINF:-?\d+\s*,"), F.struct(label.alias("label")))
-    out, dash = _carried(lines(files), ~F.startswith("line", F.lit("#")), noted), F.instr("info.label", " - ")
-    return out.select("id", "pos", F.col("line").alias("path"), F.when(dash > 1, F.trim(F.substr("info.label", dash + 3))).otherwise(F.trim("info.label")).alias("title"), F.when(dash > 1, F.trim(F.substr("info.label", F.lit(1), dash - 1))).alias("artist"))
+    return numbered_entries(files).drop("n")
+
+
+def numbered_entries(files: DataFrame) -> DataFrame:
+    """m3u_entries() with each entry's number in its file, from 1."""
+    noted = lambda line: F.when(line.rlike(r"^#EXTINF:-?\d+\s*,"), F.struct(F.regexp_extract(line, r"^#EXTINF:-?\d+\s*,\s*(.*)$", 1).alias("label")))
+    out, dash = _carried(files, lambda line: ~F.startswith(line, F.lit("#")), noted), F.instr("info.label", " - ")
+    return out.select("id", "pos", "n", F.col("line").alias("path"), F.when(dash > 1, F.trim(F.substr("info.label", dash + 3))).otherwise(F.trim("info.label")).alias("title"), F.when(dash > 1, F.trim(F.substr("info.label", F.lit(1), dash - 1))).alias("artist"))
 
 
 def m3u_streams(files: DataFrame) -> DataFrame:
     """id, pos, url, title of the network addresses in playlists."""
-    title = F.nullif(F.trim(F.regexp_extract("line", r"#EXTINF:[^,]*,(.*)", 1)), F.lit(""))
-    noted = F.when(F.startswith("line", F.lit("#EXTINF")), F.struct(title.alias("title")))
-    out = _carried(lines(files), F.col("line").rlike(URL), noted)
+    title = lambda line: F.nullif(F.trim(F.regexp_extract(line, r"#EXTINF:[^,]*,(.*)", 1)), F.lit(""))
+    out = _carried(files, lambda line: line.rlike(URL), lambda line: F.when(F.startswith(line, F.lit("#EXTINF")), F.struct(title(line).alias("title"))))
     return out.select("id", "pos", F.col("line").alias("url"), F.col("info.title").alias("title"))
 
 

@@ -54,3 +54,17 @@ def test_byte_ranges_and_labels(spark):
     assert [r.n for r in s.orderBy(x.natural_key("n")).collect()] == ["A2b3", "a9", "a10"]
     c = spark.createDataFrame([(3725.9, "1:02:05"), (59.0, "0:59"), (-4.0, "0:00"), (None, "0:00")], "s double, t string")
     assert all(r[0] == r[1] for r in c.select(x.clock("s"), "t").collect())
+
+
+def test_playlists_are_read_without_sorting_their_lines(spark):
+    text = "#EXTM3U\n#EXTINF:1,A - one\n\n# note\n  /a.mp3 \n/b.mp3\r\n#EXTINF:2,B - lost\n#EXTINF:3,C - - two\n#EXTVLC\n/c.mp3\n#EXTINF:4,end"
+    t = spark.createDataFrame([(1, text), (2, ""), (3, None), (4, "#only\n"), (5, "\n".join(f"#EXTINF:1,t{k}\nhttp://h/{k}" for k in range(3_000)))], "id int, text string")
+    got = fm.numbered_entries(t)
+    assert [tuple(r) for r in got.where("id = 1").orderBy("pos").collect()] == [(1, 4, 1, "/a.mp3", "one", "A"), (1, 5, 2, "/b.mp3", None, None), (1, 9, 3, "/c.mp3", "- two", "C")]
+    assert got.where("id in (2, 3, 4)").count() == 0
+    assert [(r.n, r.title) for r in got.where("id = 5").orderBy("n").collect()] == [(k + 1, f"t{k}") for k in range(3_000)]
+    streams = fm.m3u_streams(t)
+    assert [(r.url, r.title) for r in streams.where("id = 5").orderBy("pos").collect()] == [(f"http://h/{k}", f"t{k}") for k in range(3_000)]
+    for df in (fm.m3u_entries(t), streams):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Sort" not in plan and "Window" not in plan and "Exchange" not in plan
