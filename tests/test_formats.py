@@ -68,3 +68,11 @@ def test_playlists_are_read_without_sorting_their_lines(spark):
     for df in (fm.m3u_entries(t), streams):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Sort" not in plan and "Window" not in plan and "Exchange" not in plan
+
+
+def test_hand_overs_sort_ids_alone(spark):
+    from earshot.plans import models
+
+    plan = models.QUERIES["hand_overs"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    window = plan[plan.index("Window") :]
+    assert "embedding" not in window[: window.index("Exchange")]
