@@ -147,6 +147,19 @@ def test_a_batch_reads_its_changes_alone(spark, tmp_path):
     assert [x.seq for x in kept.shown().where("list = 'recent'").orderBy("pos").limit(5).collect()] == [2, 1, 0, 496, 495]
 
 
+def test_a_batch_meets_the_lists_by_one_join(spark, tmp_path):
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    physical = lambda df: df._jdf.queryExecution().sparkPlan().toString() + df._jdf.queryExecution().executedPlan().toString()
+    kept = br.BrowseLists(spark, f"{tmp_path}/b", lambda: br.entries_of_playlists(spark.range(3000).selectExpr("id % 7 id", "id pos", "id seq")))
+    kept.begin()
+    assert kept.held().count() == 7  # one row a list
+    assert "Exchange" not in physical(kept.shown()) and "Window" not in plan(kept.shown())
+    batch = br.grouped(kept.held(), br.entries_of_playlists(spark.createDataFrame([(1, 1, None), (9, 4, 5)], "id long, pos long, seq long")), None)
+    once = br.merged(kept.held(), br.stored(batch, "batch"))
+    assert plan(once).count("Join") == 1 and "Aggregate" not in plan(once) and "Window" not in plan(once)
+    assert {r.list: (len(r.held), r.more) for r in once.collect()} == {f"pl:{i}": (339 if i == 1 else 340, True) for i in range(7)} | {"pl:9": (1, False)}
+
+
 def test_moments_merge_as_if_read_at_once(spark):
     r = np.random.default_rng(1)
     v = r.normal(3, 2, (90, 5))
