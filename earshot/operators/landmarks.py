@@ -7,53 +7,88 @@ only offsets with enough votes are correlated, second by second. No mix meets a
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from earshot.operators.sound import LEAST_FRAMES, LEAST_MIX, LEAST_SCORE
+from earshot.operators.tours import stored
 
-#: Seconds between the peaks of a landmark; votes that an offset needs, and the share of the best offset's; recordings' places of a landmark that one task joins.
-REACH, LEAST_VOTES, VOTE_SHARE, BLOCK = 3, 4, 0.5, 20_000
+#: Seconds between the peaks of a landmark; votes that an offset needs, and the share of the best offset's; recordings' places of a landmark that one task joins; seconds of a curve's stretch.
+REACH, LEAST_VOTES, VOTE_SHARE, BLOCK, SPAN = 3, 4, 0.5, 20_000, 256
 
 
-def _peak(now, before) -> Column:
-    """Bands that rose most and second most, and that fell most; null where none rose or none fell. Of equal ones the lower band rises and the higher one falls."""
-    change = F.transform(F.arrays_zip(now.alias("a"), before.alias("b")), lambda x, i: (x["a"].cast("int") - x["b"].cast("int")) * 100 + (99 - i))
-    s = F.sort_array(change, asc=False)
-    band = lambda e: 99 - F.pmod(e, F.lit(100))
-    rose, fell = F.get(s, F.lit(0)), F.get(s, F.size(s) - 1)
-    return F.when((rose >= 100) & (fell < 0), (band(rose) * 100 + band(F.get(s, F.lit(1)))) * 100 + band(fell))
+def _peaks(frames: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Of curves (arrays of a second's bands) the peak of every step from a second to the next, and which curve it is of.
 
+    A peak names the bands that rose most and second most, and that fell most; -1 where none rose or none fell, or bands are missing. Of
+    equal ones the lower band rises and the higher one falls.
+    """
+    seconds = frames.flatten()
+    bands = seconds.flatten()
+    size = pc.fill_null(pc.list_value_length(seconds), -1).to_numpy().astype(np.int64)
+    begin = np.concatenate(([0], np.cumsum(np.maximum(size, 0))))
+    v = pc.fill_null(bands, 0).to_numpy().astype(np.int64)
+    lacks = np.concatenate(([0], np.cumsum(pc.is_null(bands).to_numpy(zero_copy_only=False))))[begin]
+    curve = np.repeat(np.arange(len(frames)), pc.fill_null(pc.list_value_length(frames), 0).to_numpy())
+    step = np.flatnonzero(curve[1:] == curve[:-1])
+    whole = (size[step] == size[step + 1]) & (size[step] > 1) & (lacks[step] == lacks[np.minimum(step + 2, len(lacks) - 1)])
+    peak = np.full(len(step), -1, dtype=np.int64)
+    for n in np.unique(size[step][whole]).tolist():
+        at = np.flatnonzero(whole & (size[step] == n))
+        place = np.arange(n)
+        change = (v[begin[step[at] + 1][:, None] + place] - v[begin[step[at]][:, None] + place]) * 100 + (99 - place)
+        change.sort(axis=1)
+        rose, second, fell = change[:, -1], change[:, -2], change[:, 0]
+        band = lambda e: 99 - e % 100
+        peak[at] = np.where((rose >= 100) & (fell < 0), (band(rose) * 100 + band(second)) * 100 + band(fell), -1)
+    return peak, curve[step]
+
+
+def landmarks(curves: DataFrame, reach: int = REACH, span: int = SPAN) -> DataFrame:
+    """id, at, key: the landmarks of curves (id, frames: an array of a second's bands each). A second without change has no peak, so silence has no landmarks.
+
+    Curves are cut into stretches of span seconds, each with as many of the next as its landmarks reach.
+    """
+    cuts = F.when(F.size("frames") > 1, F.sequence(F.lit(0), F.size("frames") - 2, F.lit(span)))
+    pieces = curves.select("id", F.explode(F.transform(cuts, lambda a: F.struct(a.alias("a"), F.slice("frames", a + 1, span + reach + 1).alias("frames")))).alias("x")).select("id", "x.a", "x.frames")
+
+    def run(batches):
+        for b in batches:
+            peak, curve = _peaks(b.column(2))
+            first = np.searchsorted(curve, np.arange(len(b)))
+            at = np.arange(len(peak)) - first[curve]
+            for d in range(1, reach + 1):
+                i = np.flatnonzero((curve[d:] == curve[: len(curve) - min(d, len(curve))]) & (peak[d:] >= 0) & (peak[: len(peak) - min(d, len(peak))] >= 0) & (at[: len(at) - min(d, len(at))] < span))
+                own = curve[i]
+                start = b.column(1).to_numpy()[own] + at[i]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(start.astype(np.int32)), pa.array((peak[i] * 1_000_000 + peak[i + d]) * 10 + d)], names=["id", "at", "key"])
 
-def landmarks(curves: DataFrame, reach: int = REACH) -> DataFrame:
-    """id, at, key: the landmarks of curves (id, frames: an array of a second's bands each). A second without change has no peak, so silence has no landmarks."""
-    n = F.size("frames")
-    steps = F.when(n > 1, F.arrays_zip(F.slice("frames", F.lit(2), n - 1).alias("a"), F.slice("frames", F.lit(1), n - 1).alias("b"))).otherwise(F.array())
-    peaks = curves.select("id", F.transform(steps, lambda x: _peak(x["a"], x["b"])).alias("p"))
-    each = peaks.select("id", "p", F.posexplode("p").alias("at", "first")).where("first is not null")
-    pairs = each.select("id", "at", "first", F.explode(F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda d: F.struct(d.alias("d"), F.get("p", F.col("at") + d).alias("second")))).alias("x"))
-    return pairs.where("x.second is not null").select("id", "at", ((F.col("first").cast("long") * 1_000_000 + F.col("x.second")) * 10 + F.col("x.d")).alias("key"))
+    return pieces.mapInArrow(run, f"id {curves.schema['id'].dataType.simpleString()}, at int, key long")
 
 
 def votes(mixes: DataFrame, recordings: DataFrame, block: int = BLOCK) -> DataFrame:
     """mix, id, off, votes: how many landmarks of a recording lie off seconds later in a mix. Both are id, at, key.
 
     A landmark that many recordings have is dealt out by the places it has there: so many of the recordings' rows go to one task, and the
-    mixes' rows of that key to each of these tasks.
+    mixes' rows of that key to each of these tasks. There are at most a block-th as many such landmarks as rows, so they go to every task.
     """
+    recordings = stored(recordings, "landmarks")
     hot = recordings.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("pieces")).where("pieces > 1")
     pieces = F.coalesce("pieces", F.lit(1))
-    left = mixes.join(hot, "key", "left").select("key", F.col("id").alias("mix"), F.col("at").alias("mix_at"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
-    right = recordings.join(hot, "key", "left").select("key", "id", "at", F.pmod(F.xxhash64("id", "at"), pieces).cast("int").alias("piece"))
+    left = mixes.join(F.broadcast(hot), "key", "left").select("key", F.col("id").alias("mix"), F.col("at").alias("mix_at"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("piece"))
+    right = recordings.join(F.broadcast(hot), "key", "left").select("key", "id", "at", F.pmod(F.xxhash64("id", "at"), pieces).cast("int").alias("piece"))
     met = left.join(right, ["key", "piece"]).where("mix <> id")
     return met.groupBy("mix", "id", (F.col("mix_at") - F.col("at")).alias("off")).agg(F.count(F.lit(1)).alias("votes")).where("off >= 0")
 
 
 def hits(mixes: DataFrame, recordings: DataFrame, least_votes: int = LEAST_VOTES, share: float = VOTE_SHARE) -> DataFrame:
     """mix, id, start, finish, score: for every recording that has votes in a longer mix the offset of the greatest mean cosine over what overlaps. Both are id, length, frames."""
-    long = mixes.where((F.col("length") >= LEAST_MIX) & (F.size("frames") >= LEAST_FRAMES)).select("id", "length", "frames")
-    short = recordings.where(F.size("frames") >= LEAST_FRAMES).select("id", "length", "frames")
+    long = stored(mixes.where((F.col("length") >= LEAST_MIX) & (F.size("frames") >= LEAST_FRAMES)).select("id", "length", "frames"), "mixes")
+    short = stored(recordings.where(F.size("frames") >= LEAST_FRAMES).select("id", "length", "frames"), "recordings")
     found = votes(landmarks(long), landmarks(short)).where(F.col("votes") >= least_votes)
     best = F.max("votes").over(Window.partitionBy("mix", "id"))
     tried = found.withColumn("best", best).where(F.col("votes") >= share * F.col("best")).select("mix", "id", "off")

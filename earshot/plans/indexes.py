@@ -12,9 +12,10 @@ from earshot.sources.tables import read
 def curves(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Mixes and recordings made from events: each event is a second with twelve bands, a listener's events are a recording, and two of three listeners of fifteen follow each other in a mix, a little changed."""
     e = read(spark, sf_dir, "events").select("user_id", "event_id", F.md5(F.concat(F.lit("f"), F.col("event_id").cast("string"))).alias("h"))
-    digit = lambda i: F.conv(F.substring("h", 2 * i + 1, 2), 16, 10).cast("int")
-    e = e.select("user_id", "event_id", F.array(*[F.floor(digit(i) / 2).cast("int") for i in range(12)]).alias("b"))
-    frames = lambda by, order, b: F.transform(F.array_sort(F.collect_list(F.struct(*order, b.alias("b")))), lambda x: x["b"])
+    six = lambda a: F.conv(F.substring("h", a, 12), 16, 10).cast("long")
+    e = e.select("user_id", "event_id", six(1).alias("x"), six(13).alias("y"))
+    e = e.select("user_id", "event_id", F.array(*[F.shiftright(c, 41 - 8 * i).bitwiseAND(F.lit(127)).cast("int") for c in ("x", "y") for i in range(6)]).alias("b"))
+    frames = lambda by, order, b: F.sort_array(F.collect_list(F.struct(*order, b.alias("b"))))["b"]
     recordings = e.groupBy(F.col("user_id").alias("id")).agg(frames("id", ["event_id"], F.col("b")).alias("frames"))
     noisy = F.transform("b", lambda x, i: x + F.pmod(F.col("event_id") + i, F.lit(7)).cast("int"))
     mixes = e.where("user_id % 3 <> 0").groupBy((F.lit(1_000_000) + F.floor(F.col("user_id") / 15)).alias("id")).agg(frames("id", ["user_id", "event_id"], noisy).alias("frames"))

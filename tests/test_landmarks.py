@@ -72,3 +72,18 @@ def test_silence_and_short_recordings(spark):
     assert lm.hits(table(spark, mixes.items()), quiet).count() == 0
     assert lm.hits(quiet, table(spark, parts.items())).count() == 0
     assert lm.landmarks(quiet.where("false")).count() == 0
+
+
+def test_stretches_and_missing_bands_change_no_landmark(spark):
+    mixes, parts = library(0.0, n=26)
+    curves = table(spark, [*mixes.items(), *parts.items()])
+    rows = lambda span: sorted(map(tuple, lm.landmarks(curves, span=span).collect()))
+    assert rows(1) == rows(7) == rows(10**6) and len(rows(7)) > 5000
+    f = [x.tolist() for x in parts[0][:12]]
+    whole = {(r.at, r.key) for r in lm.landmarks(table(spark, [(1, parts[0][:12])])).collect()}
+    odd = {1: f, 2: [*f[:5], None, *f[6:]], 3: [*f[:5], f[5][:11], *f[6:]], 4: [*f[:5], [None, *f[5][1:]], *f[6:]], 5: None, 6: [], 7: f[:1], 8: [[1]] * 9}
+    got = {}
+    for r in lm.landmarks(spark.createDataFrame([*odd.items()], "id long, frames array<array<int>>"), span=4).collect():
+        got.setdefault(r.id, set()).add((r.at, r.key))
+    without = {(at, key) for at, key in whole if not {at, at + key % 10} & {4, 5}}  # the steps to and from a second that lacks bands
+    assert got == {1: whole, 2: without, 3: without, 4: without}
