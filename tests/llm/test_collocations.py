@@ -70,3 +70,46 @@ def test_a_small_bucket_spills_and_stays_exact(spark, monkeypatch):
     real = co._answered
     monkeypatch.setattr(co, "_answered", lambda least, memory: real(least, "16MB"))
     assert sorted(map(tuple, co.collocations(table(spark, rows), least=3, part_bytes=2000).collect())) == want
+
+
+def test_parts_ask_a_number_of_buckets_that_grows_slower_than_they_do(spark, monkeypatch):
+    r = random.Random(7)
+    rows = [("en", ". ".join(" ".join(f"w{r.randrange(400)}" for _ in range(12)) for _ in range(40))) for _ in range(160)]
+    asked, real = [], co.materialize
+
+    def written(df, name):
+        out = real(df, name)
+        if name == "pieces":
+            asked.append(out.where("bucket is not null").groupBy("part").count().collect())
+        return out
+
+    monkeypatch.setattr(co, "materialize", written)
+    got = co.collocations(table(spark, rows), least=5, part_bytes=3000).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 2000, 5, 5) and got
+    (parts,) = asked
+    assert len(parts) > 100 and max(p["count"] for p in parts) <= 32  # before, two for each of the more than 100 parts
+
+
+def test_phrases_of_one_hash_are_counted_apart(monkeypatch):
+    mixed = co._mixed
+    monkeypatch.setattr(co, "_mixed", lambda words: mixed(words) % co._U(3))
+    part = co.Part(["de", "en"], [b"a b a b\nb a", b"a b c\na b\n\nb a b"])
+    all_ = part.hashes((2,))[0]
+    _, _, keys, n = part.counted(2, all_)
+    found = Counter()
+    for key, m in zip(keys, n.tolist(), strict=True):
+        found[key] += m
+    assert found == {b"de\na b": 2, b"de\nb a": 2, b"en\na b": 3, b"en\nb c": 1, b"en\nb a": 1}
+
+
+def test_a_long_text_is_cut_between_pieces():
+    text = b"\n".join([b"a b", b"", b"c" * 30, b"d e f"])
+    assert list(co._shares(text, 8)) == [b"a b\n", b"c" * 30, b"d e f"] and b"\n".join(co._shares(text, 8)) == text
+    assert list(co._shares(b"x" * 20, 8)) == [b"x" * 20] and list(co._shares(b"", 8)) == [b""]
+
+
+def test_blocks_come_back_as_they_were():
+    h = co.np.array([3, 5, 1 << 40, (1 << 48) - 1], dtype=co.np.uint64)
+    n = co.np.array([1, 2, 70_000, 9])
+    first, second = map(co._unpacked, co._blocks(h, n, co.np.array([0, 1, 4])))
+    assert [first[0].tolist(), second[0].tolist()] == [[3], [5, 1 << 40, (1 << 48) - 1]] and [*first[1], *second[1]] == n.tolist()
