@@ -113,3 +113,18 @@ def test_blocks_come_back_as_they_were():
     n = co.np.array([1, 2, 70_000, 9])
     first, second = map(co._unpacked, co._blocks(h, n, co.np.array([0, 1, 4])))
     assert [first[0].tolist(), second[0].tolist()] == [[3], [5, 1 << 40, (1 << 48) - 1]] and [*first[1], *second[1]] == n.tolist()
+
+
+def test_rows_of_one_partition_are_dealt_out(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(r.choice(["en", "de"]), " ".join(r.choice("abcdef") for _ in range(30))) for _ in range(60)]
+    found, real = [], co.materialize
+
+    def written(df, name):
+        out = real(df, name)
+        found.extend({p["part"] >> 32 for p in out.select("part").distinct().collect()} if name == "pieces" else ())
+        return out
+
+    monkeypatch.setattr(co, "materialize", written)
+    got = co.collocations(table(spark, rows).coalesce(1), least=4, part_bytes=200).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 2000, 5, 4) and got and len(found) > 4
